@@ -16,7 +16,15 @@ def op2_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op2_line_dedup": op2_line_dedup}
+def op9_quality_rules(spark, sf_dir):
+    from framelens.llm.quality_rules import quality_verdicts
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    out = quality_verdicts(_docs(spark, sf_dir).select("doc_id", "text", "lang"), labels)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
+
+
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op9_quality_rules)}
 
 _FOLD = "translate(trim({x}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
