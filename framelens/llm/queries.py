@@ -16,6 +16,12 @@ def op2_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_warc(spark, sf_dir):
+    from framelens.llm.warc import capture_facts
+
+    return capture_facts(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")).drop("verified", "has_request")
+
+
 def op9_quality_rules(spark, sf_dir):
     from framelens.llm.quality_rules import quality_verdicts
 
@@ -24,7 +30,7 @@ def op9_quality_rules(spark, sf_dir):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op5_warc, op9_quality_rules)}
 
 _FOLD = "translate(trim({x}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -39,6 +45,13 @@ m AS (SELECT l.doc_id, l.pos, l.line, coalesce(l.doc_id <> o.owner, FALSE) AS go
 SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id""",
+    "op5_warc": """
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS original FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+       CASE WHEN p.page_id <> f.original THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN p.page_id <> f.original THEN f.original END AS refers_to
+FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >= 100""",
 }
 
 
