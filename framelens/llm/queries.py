@@ -16,12 +16,26 @@ def op2_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_media_chunks(spark, sf_dir):
+    from framelens.llm.media import payload_facts
+
+    return payload_facts(_docs(spark, sf_dir).select("doc_id", "text"))
+
+
 def op5_warc(spark, sf_dir):
     from framelens.llm.warc import capture_facts
 
     return capture_facts(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")).drop("verified", "has_request")
 
 
+def op8_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    from framelens.llm.token_counts import token_counts
+
+    return token_counts(_docs(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_quality_rules(spark, sf_dir):
     from framelens.llm.quality_rules import quality_verdicts
 
@@ -30,7 +44,7 @@ def op9_quality_rules(spark, sf_dir):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op5_warc, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_media_chunks, op5_warc, op8_token_counts, op9_quality_rules)}
 
 _FOLD = "translate(trim({x}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
