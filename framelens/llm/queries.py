@@ -28,6 +28,15 @@ def op5_warc(spark, sf_dir):
     return capture_facts(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")).drop("verified", "has_request")
 
 
+def op6_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    from framelens.llm.bpe import encode_decode
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return encode_decode(_docs(spark, sf_dir).select("doc_id", "text"), path, public_tokenizers.PATTERN, digests_only=True)
+
+
 def op8_token_counts(spark, sf_dir):
     import public_tokenizers
 
@@ -44,7 +53,7 @@ def op9_quality_rules(spark, sf_dir):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_media_chunks, op5_warc, op8_token_counts, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_media_chunks, op5_warc, op6_byte_bpe, op8_token_counts, op9_quality_rules)}
 
 _FOLD = "translate(trim({x}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
