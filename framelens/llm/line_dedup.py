@@ -76,8 +76,9 @@ def _bounds(docs: DataFrame, n: int) -> list[int]:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 4, fanout: int = 4, kept_col: str = "kept_text") -> DataFrame:
-    """All columns of docs, then n_lines, n_dropped (long) and the text without the dropped lines."""
+    """All columns of docs, then n_lines, n_dropped (long) and the text without the dropped lines; they replace columns of these names."""
     spark = docs.sparkSession
+    docs = docs.drop("n_lines", "n_dropped", *([kept_col] if kept_col != text_col else []))
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
     base = docs.select(
         keyed(id_col).alias("_id"), F.col(text_col).alias("_text"),

@@ -22,6 +22,15 @@ def op3_media_chunks(spark, sf_dir):
     return payload_facts(_docs(spark, sf_dir).select("doc_id", "text"))
 
 
+def op4_toxicity(spark, sf_dir):
+    from framelens.llm import toxicity
+
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op5_warc(spark, sf_dir):
     from framelens.llm.warc import capture_facts
 
@@ -53,7 +62,7 @@ def op9_quality_rules(spark, sf_dir):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_media_chunks, op5_warc, op6_byte_bpe, op8_token_counts, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_media_chunks, op4_toxicity, op5_warc, op6_byte_bpe, op8_token_counts, op9_quality_rules)}
 
 _FOLD = "translate(trim({x}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
