@@ -68,7 +68,13 @@ def op9_quality_rules(spark, sf_dir):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_line_dedup, op3_media_chunks, op4_toxicity, op5_warc, op6_byte_bpe, op8_token_counts, op9_quality_rules)}
+def op10_source_mixing(spark, sf_dir):
+    from framelens.llm.mixing import mix
+
+    return mix(_docs(spark, sf_dir).select("doc_id", "source"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_line_dedup, op3_media_chunks, op4_toxicity, op5_warc, op6_byte_bpe, op8_token_counts, op9_quality_rules, op10_source_mixing)}
 
 _FOLD = "translate(trim({x}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
