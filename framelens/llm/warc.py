@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelens.llm.common import keyed, scratch, unkeyed
+from framelens.llm.common import join_small, keyed, scratch, unkeyed, written
 
 MIN_REVISIT = 100
 RECORDS_A_FILE = 600
@@ -46,14 +46,17 @@ def _record(fields: list[tuple[str, Column]], block: Column) -> Column:
 
 
 def archive_plan(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Payload facts and the revisit decision for each page row: the digest table is aggregated before it is joined."""
+    """Payload facts and the revisit decision for each page row."""
     clean = F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\x00-\x20]", "%20")
     p = pages.select(keyed(id_col).alias("_id"), clean.alias("_url"), F.coalesce(html_col, F.lit("")).alias("_html"))
     p = p.withColumn("_digest", F.sha2("_html", 256)).withColumn("_bytes", F.octet_length("_html").cast("long"))
-    first = p.where(F.col("_bytes") >= MIN_REVISIT).groupBy("_digest").agg(F.min(F.struct("_id", "_url")).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    p = p.join(first, "_digest", "left")
     at = F.struct("_id", "_url")
-    return p.withColumn("_revisit", F.coalesce(at != F.col("_first"), F.lit(False)))
+    names = p.where(F.col("_bytes") >= MIN_REVISIT).select("_id", "_url", "_digest")
+    first = names.groupBy("_digest").agg(F.min(at).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    copies = names.join(first, "_digest").where(at != F.col("_first")).distinct()
+    # payloads stay where they are read: only the copies' names travel, if they are few enough
+    p = join_small(p, written(copies, "warc-copies"), ["_id", "_url", "_digest"], "left")
+    return p.withColumn("_revisit", F.col("_first").isNotNull())
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> str:
@@ -143,7 +146,7 @@ def capture_facts(pages: DataFrame) -> DataFrame:
     """Writes the archives of pages, reads them back, assembles the captures, and gives the facts of each."""
     spark = pages.sparkSession
     path = write_archives(pages, scratch(spark, "warc"))
-    c = assemble(read_archives(spark, path))
+    c = assemble(written(read_archives(spark, path).drop("payload").withColumn("payload", F.lit(None).cast("binary")), "warc-records"))
     return c.select(
         "page_id",
         F.coalesce("response.payload_bytes", "original.bytes").alias("payload_bytes"),
