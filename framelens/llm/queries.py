@@ -52,6 +52,12 @@ def op6_byte_bpe(spark, sf_dir):
     return encode_decode(_docs(spark, sf_dir).select("doc_id", "text"), path, public_tokenizers.PATTERN, digests_only=True)
 
 
+def op7_html_text(spark, sf_dir):
+    from framelens.llm.html_extract import main_text
+
+    return main_text(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+
+
 def op8_token_counts(spark, sf_dir):
     import public_tokenizers
 
@@ -74,7 +80,7 @@ def op10_source_mixing(spark, sf_dir):
     return mix(_docs(spark, sf_dir).select("doc_id", "source"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_line_dedup, op3_media_chunks, op4_toxicity, op5_warc, op6_byte_bpe, op8_token_counts, op9_quality_rules, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_line_dedup, op3_media_chunks, op4_toxicity, op5_warc, op6_byte_bpe, op7_html_text, op8_token_counts, op9_quality_rules, op10_source_mixing)}
 
 _FOLD = "translate(trim({x}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
