@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MODULES: list[str] = []
+MODULES = ["relations", "routes"]
 
 
 def _each(name: str) -> dict:
