@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -50,22 +50,28 @@ def tagged(**fields: Column) -> Column:
     return F.concat_ws(" ", *[F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{k.upper()} "), c)) for k, c in fields.items()])
 
 
-def invert(text: Column) -> Column:
-    """JSON inverted index {token: [positions]} of a text split at white space."""
-    words = F.split(squeeze(text), " ")
-    at = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-    keys = F.array_distinct(words)
-    return F.to_json(F.map_from_arrays(keys, F.transform(keys, lambda k: F.transform(F.filter(at, lambda x: x["w"] == k), lambda x: x["i"]))))
+def bound(value: Column, body) -> Column:
+    """body(v) with v evaluated once: a column named inside a lambda would be evaluated for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def inverted(df: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """(id, index): JSON inverted index {token: [positions]} of the text split at white space; linear in the words."""
+    words = df.select(id_col, F.posexplode(F.split(squeeze(text), " ")).alias("p", "w"))
+    lists = words.groupBy(id_col, "w").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    return lists.groupBy(id_col).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("w", "p")))).alias("index"))
 
 
 def deinvert(index: Column) -> Column:
     """Text of a JSON inverted index. Negative positions are skipped; of tokens at one position the last wins; null if nothing is left."""
     entries = F.map_entries(F.from_json(index, "map<string,array<int>>"))
     flat = F.flatten(F.transform(entries, lambda e, n: F.transform(F.coalesce(e["value"], F.array().cast("array<int>")), lambda p: F.struct(p.alias("p"), n.alias("n"), e["key"].alias("w")))))
-    ordered = F.array_sort(F.filter(flat, lambda x: x["p"] >= 0))
-    last = F.filter(ordered, lambda x, i: F.coalesce(F.get(ordered, i + 1)["p"] != x["p"], F.lit(True)))
-    out = F.array_join(F.transform(last, lambda x: x["w"]), " ")
-    return F.nullif(out, F.lit(""))
+
+    def text(ordered: Column) -> Column:
+        last = F.filter(ordered, lambda x, i: F.coalesce(F.get(ordered, i + 1)["p"] != x["p"], F.lit(True)))
+        return F.array_join(F.transform(last, lambda x: x["w"]), " ")
+
+    return F.nullif(bound(F.array_sort(F.filter(flat, lambda x: x["p"] >= 0)), text), F.lit(""))
 
 
 def tokens(text: Column) -> Column:

@@ -18,12 +18,13 @@ def ranked(df: DataFrame, id_col: str, seed: str, by: list[str]) -> DataFrame:
 
 
 def draw(df: DataFrame, id_col: str, seed: str, by: list[str], n: int) -> DataFrame:
-    """n rows of each stratum with stratum_n, pi and weight. Only the n best of a stratum are ranked: a top-n
-    aggregation comes first, so that a stratum with most of the rows is not sorted in one task."""
-    best = df.withColumn("_o", order_key(id_col, seed)).groupBy(*by).agg(F.count("*").alias("stratum_n"), F.expr(f"min_by({id_col}, struct(_o, {id_col}), {n})").alias("_best"))
-    kept = best.select(*by, "stratum_n", F.posexplode("_best").alias("_pos", id_col))
+    """n rows of each stratum with stratum_n, pi and weight. Spark keeps only the n first rows of a stratum from
+    each task before it deals them out, so a stratum with most of the rows is not sorted in one task."""
+    size = df.groupBy(*by).agg(F.count("*").alias("stratum_n"))
+    w = Window.partitionBy(*by).orderBy(order_key(id_col, seed), id_col)
+    kept = df.select(*by, id_col).withColumn("draw", F.row_number().over(w)).where(F.col("draw") <= n).join(size, by)
     taken = F.least(F.col("stratum_n"), F.lit(n)).cast("double")
-    return kept.select(*by, id_col, (F.col("_pos") + 1).alias("draw"), "stratum_n", (taken / F.col("stratum_n")).alias("pi"), (F.col("stratum_n") / taken).alias("weight"))
+    return kept.select(*by, id_col, "draw", "stratum_n", (taken / F.col("stratum_n")).alias("pi"), (F.col("stratum_n") / taken).alias("weight"))
 
 
 def chunks(df: DataFrame, id_col: str, seed: str, size: int) -> DataFrame:

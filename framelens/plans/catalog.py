@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MODULES = ["relations", "routes"]
+MODULES = ["relations", "routes", "samples", "texts", "joins"]
 
 
 def _each(name: str) -> dict:
