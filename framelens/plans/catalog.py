@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MODULES = ["relations", "routes", "samples", "texts", "joins"]
+MODULES = ["relations", "routes", "samples", "texts", "joins", "scoring"]
 
 
 def _each(name: str) -> dict:
