@@ -183,10 +183,10 @@ def read_payloads(recipes: DataFrame, path: str) -> DataFrame:
     single = recipes.where("n_chunks = 1").select(F.col("media_id").alias("digest")).distinct()
     several = recipes.where("n_chunks > 1").select("media_id", "seq", "digest").distinct()
     several = written(several, "several")
-    wanted = several.select("digest").distinct()
     # facts of every chunk as a payload of its own are small; those that no document has are dropped by the join
     ones = store.mapInArrow(_singles, "media_id binary, " + FACTS).join(single.withColumnRenamed("digest", "media_id"), "media_id", "left_semi")
-    parts = several.join(join_small(store, wanted, "digest", "left_semi"), "digest")
+    # the bytes go once, to their payloads: the recipes come to the chunks if they are few enough
+    parts = join_small(store, several, "digest", "inner")
     parts = parts.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("seq", "digest", "data"))).alias("parts"))
     return ones.unionByName(parts.mapInArrow(_joined, "media_id binary, " + FACTS))
 
