@@ -35,7 +35,9 @@ from framelens.llm.common import keyed, unkeyed
 
 MEMORY_WORDS = 400_000
 LONG_WORD = 512
-ROWS, WORDS = 2000, 1_000_000  # of a handed-on batch, at most (one document may have more words)
+#: Documents in an Arrow batch at most. Set on the session, as Spark has no setting for one plan: by default
+#: a batch would hold 10,000 documents, and step 3 would get a whole partition in one.
+ARROW_ROWS = 128
 BUCKETS = 1 << 15
 NONE = 2**31 - 1
 #: White space as the pattern's engine has it; Java's own class is ASCII only.
@@ -43,6 +45,13 @@ _SPACE = r"\t-\r \x85\xa0  -     　"
 
 
 def java_pattern(pattern: str) -> str:
+    """The pattern for Java. Words of letters or digits are tried first, and without backtracking: no other
+    alternative begins as they do, so the matches stay the same."""
+    words = (r" ?\p{L}+", r" ?\p{N}+")
+    if all(f"|{w}|" in pattern for w in words):
+        for w in words:
+            pattern = pattern.replace(f"|{w}|", "|")
+        pattern = "|".join([w.replace("?", "?+").replace("}+", "}++") for w in words] + [pattern])
     return pattern.replace(r"[^\s", f"[^{_SPACE}").replace(r"\S", f"[^{_SPACE}]").replace(r"\s", f"[{_SPACE}]")
 
 
@@ -80,7 +89,7 @@ def _rank(x: str) -> str:
 _FOLD = f"""
 if({_rank("w")} <> {NONE}, array(w), aggregate(
   sequence(1, length(w) - 1),
-  transform(array(split(w, '')), b -> named_struct('p', b, 'r', transform(sequence(0, size(b) - 2), i -> {_rank("b[i] || b[i + 1]")})))[0],
+  named_struct('p', split(w, ''), 'r', pairs[n]),
   (s, _) -> if(array_min(s.r) = {NONE}, s,
     transform(array(cast(array_position(s.r, array_min(s.r)) as int)), k ->
       transform(array(s.p[k - 1] || s.p[k]), j -> named_struct(
@@ -117,23 +126,37 @@ def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i:e]] for i, e in enumerate(end) if e]
 
 
-def _number(batches):
-    """Step 1: (id, words) to a row for each part of a batch: words new to the task, and the rows as word numbers."""
-    known: dict[str, int] = {}
-    turn = 0
-    for b in batches:
-        at = 0
-        sizes = np.diff(b.column(1).offsets.to_numpy()) if len(b) else np.array([], int)
-        while at < len(b):
-            end = at + 1
-            total = sizes[at]
-            while end < len(b) and end - at < ROWS and total + sizes[end] <= WORDS:
-                total += sizes[end]
-                end += 1
+def _pair_ranks(ranks: dict[bytes, int]) -> np.ndarray:
+    """Rank of each pair of bytes."""
+    out = np.full(65536, NONE, np.int32)
+    for piece, rank in ranks.items():
+        if len(piece) == 2:
+            out[piece[0] * 256 + piece[1]] = rank
+    return out
+
+
+def _number(table: np.ndarray):
+    """Step 1: (id, words) to one row a batch: the words new to the task with the ranks of their byte pairs, and the documents as word numbers."""
+
+    def pairs(words: list[bytes]):
+        flat = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        ends = np.cumsum([len(w) for w in words])
+        inside = np.ones(max(0, len(flat) - 1), bool)
+        inside[ends[:-1] - 1] = False
+        found = table[flat[:-1] * 256 + flat[1:]][inside]
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends - np.arange(1, len(words) + 1)]).astype(np.int32)), pa.array(found, pa.int32()))
+
+    def run(batches):
+        known: dict[str, int] = {}
+        turn = 0
+        for b in batches:
+            if not len(b):
+                continue
             if len(known) > MEMORY_WORDS:
                 known.clear()
                 turn += 1
-            words = b.column(1).slice(at, end - at).flatten().dictionary_encode()
+            sizes = np.diff(b.column(1).offsets.to_numpy())
+            words = b.column(1).flatten().dictionary_encode()
             new, codes = [], np.empty(len(words.dictionary), np.int32)
             for i, w in enumerate(words.dictionary.to_pylist()):
                 if (c := known.get(w)) is None:
@@ -141,13 +164,16 @@ def _number(batches):
                     new.append(w.encode("utf-8", "surrogatepass"))
                 codes[i] = c
             flat = codes[words.indices.to_numpy()] if len(words) else np.array([], np.int32)
-            short = [None if len(w) > LONG_WORD else w.decode("latin-1") for w in new]
+            short = [w if len(w) <= LONG_WORD else b"?" for w in new]
+            text = [w.decode("latin-1") if len(w) <= LONG_WORD else None for w in new]
+            own = pairs(short) if new else pa.array([], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([turn], pa.int32()), pa.array([short], pa.list_(pa.string())), pa.array([[w for w in new if len(w) > LONG_WORD]], pa.list_(pa.binary())),
-                 pa.array([b.column(0).slice(at, end - at).to_pylist()], pa.list_(pa.int64())), pa.array([sizes[at:end].astype(np.int32)], pa.list_(pa.int32())), pa.array([flat], pa.list_(pa.int32()))],
-                ["turn", "words", "long", "ids", "sizes", "flat"],
+                [pa.array([turn], pa.int32()), pa.array([text], pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array([0, len(new)], pa.int32()), own), pa.array([[w for w in new if len(w) > LONG_WORD]], pa.list_(pa.binary())),
+                 pa.array([b.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([sizes.astype(np.int32)], pa.list_(pa.int32())), pa.array([flat], pa.list_(pa.int32()))],
+                ["turn", "words", "pairs", "long", "ids", "sizes", "flat"],
             )
-            at = end
+
+    return run
 
 
 def _assemble(ranks, digests_only):
@@ -168,7 +194,7 @@ def _assemble(ranks, digests_only):
                 got = b.column(1)[row].values
                 lists = got.field("ids")
                 offsets = lists.offsets.to_numpy()
-                raw = lists.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+                raw = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
                 long = iter(b.column(2)[row].as_py())
                 for i, (is_set, piece) in enumerate(zip(got.field("ids").is_valid().to_pylist(), got.field("bytes").to_pylist(), strict=True)):
                     if is_set:
@@ -204,9 +230,11 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     if missing := [i for i in range(256) if bytes([i]) not in ranks]:
         raise ValueError(f"{path} has no rank for bytes {missing[:5]}")
     base = docs.select(keyed(id_col).alias("_id"), F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0)).alias("_words"))
-    numbered = base.mapInArrow(_number, "turn int, words array<string>, long array<binary>, ids array<long>, sizes array<int>, flat array<int>")
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, ARROW_ROWS + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    numbered = base.mapInArrow(_number(_pair_ranks(ranks)), "turn int, words array<string>, pairs array<array<int>>, long array<binary>, ids array<long>, sizes array<int>, flat array<int>")
     word = f"if(w is null, null, {_FOLD})"
-    encoded = f"transform(words, w -> transform(array({word}), p -> transform(p, x -> {_rank('x')}))[0])"
+    encoded = f"transform(words, (w, n) -> transform(array({word}), p -> transform(p, x -> {_rank('x')}))[0])"
     decoded = "named_struct('ids', i, 'bytes', encode(array_join(transform(i, x -> l[x]), ''), 'ISO-8859-1'))"
     both = numbered.withColumns({"m": rank_map(ranks), "l": piece_list(ranks)}).select("turn", F.expr(f"transform({encoded}, i -> {decoded})").alias("got"), "long", "ids", "sizes", "flat")
     kept = "n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests_only else "ids array<int>, decoded binary")
