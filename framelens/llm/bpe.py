@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelens.llm.common import keyed, unkeyed
+from framelens.llm.common import bound, keyed, unkeyed
 
 MEMORY_WORDS = 400_000
 LONG_WORD = 512
@@ -236,7 +236,9 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     word = f"if(w is null, null, {_FOLD})"
     encoded = f"transform(words, (w, n) -> transform(array({word}), p -> transform(p, x -> {_rank('x')}))[0])"
     decoded = "named_struct('ids', i, 'bytes', encode(array_join(transform(i, x -> l[x]), ''), 'ISO-8859-1'))"
-    both = numbered.withColumns({"m": rank_map(ranks), "l": piece_list(ranks)}).select("turn", F.expr(f"transform({encoded}, i -> {decoded})").alias("got"), "long", "ids", "sizes", "flat")
+    # bound once each: a literal is copied to every place that names its column, and again for every task
+    got = bound("_ranks", bound("_pieces", f"transform({encoded}, i -> {decoded})", "l"), "m")
+    both = numbered.withColumns({"_ranks": rank_map(ranks), "_pieces": piece_list(ranks)}).select("turn", F.expr(got).alias("got"), "long", "ids", "sizes", "flat")
     kept = "n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests_only else "ids array<int>, decoded binary")
     out = both.mapInArrow(_assemble(spark.sparkContext.broadcast(ranks), digests_only), "_id long, " + kept)
     return out.select(unkeyed("_id").alias(id_col), *out.columns[1:])
