@@ -46,19 +46,15 @@ def typeahead(spark, d):
     return table(spark, d, "part").groupBy("p_brand").agg(F.count("*").cast("int").alias("works")).where(F.col("p_brand").ilike("%#1%"))
 
 
-def _start(n):
-    return F.array_join(F.slice(F.split(T.squeeze(F.col("text")), " "), 1, n), " ")
-
-
 def invert_index(spark, d):
-    """Positions of each token of the first 40 words, through the JSON index and back to rows."""
+    """Positions of each token of every text, through the JSON index and back to rows."""
     m = F.from_json("index", "map<string,array<int>>")
-    out = T.inverted(_docs(spark, d).where("lang = 'en'"), "doc_id", _start(40)).select("doc_id", F.explode(m).alias("token", "at"))
+    out = T.inverted(_docs(spark, d), "doc_id", F.col("text")).select("doc_id", F.explode(m).alias("token", "at"))
     return out.select("doc_id", "token", F.size("at").alias("n"), F.array_join(F.transform("at", lambda x: x.cast("string")), ",").alias("positions"))
 
 
 def deinvert_roundtrip(spark, d):
-    return T.inverted(_docs(spark, d), "doc_id", _start(200)).select("doc_id", T.deinvert(F.col("index")).alias("text"))
+    return T.inverted(_docs(spark, d), "doc_id", F.col("text")).select("doc_id", T.deinvert(F.col("index")).alias("text"))
 
 
 def render_tagged(spark, d):
