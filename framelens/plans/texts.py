@@ -87,7 +87,7 @@ def fts_title(spark, d):
 def top_values(spark, d):
     """Cleaned and exploded '; '-like lists, top 15 with a total order."""
     w = F.explode(F.split(F.regexp_replace("text", r"[\n.]", ";"), ";")).alias("w")
-    e = _docs(spark, d).where("n_chars < 400").select(w).select(F.regexp_replace(F.trim("w"), r"^\+", "").alias("value")).where("value <> ''")
+    e = _docs(spark, d).select(w).select(F.regexp_replace(F.trim("w"), r"^\+", "").alias("value")).where("value <> ''")
     return e.groupBy("value").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(15)
 
 

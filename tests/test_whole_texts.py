@@ -32,3 +32,14 @@ def test_deinvert_roundtrip_whole(spark, corpus):
     d, rows = corpus
     got = [(r["doc_id"], r["text"]) for r in texts.deinvert_roundtrip(spark, d).collect()]
     assert sorted(got) == [(i, " ".join(t.split())) for i, t in sorted(rows.items())]
+
+
+def test_top_values_long_texts(spark, corpus):
+    from collections import Counter
+
+    d, rows = corpus
+    count = Counter()
+    for t in rows.values():
+        count.update(v for x in t.replace("\n", ";").replace(".", ";").split(";") if (v := x.strip(" ").removeprefix("+")))
+    got = [(r["value"], r["n"]) for r in texts.top_values(spark, d).collect()]
+    assert sorted(got) == sorted(count.items()) and any(len(v) > 400 for v, _ in got)
