@@ -12,7 +12,8 @@ through WARC-Refers-To.
 
 Defined cases: null html is an empty payload; payloads under MIN_REVISIT bytes never become revisits; of
 equal payloads the smallest page_id is the response; rows that repeat a page_id get a capture each (the
-first by url is the response); a null page_id sorts first; an empty table gives no captures.
+first by url is the response); equal rows get a capture each too, told apart by an occurrence number;
+a null page_id sorts first; an empty table gives no captures.
 """
 
 from __future__ import annotations
@@ -50,19 +51,29 @@ def archive_plan(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     clean = F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\x00-\x20]", "%20")
     p = pages.select(keyed(id_col).alias("_id"), clean.alias("_url"), F.coalesce(html_col, F.lit("")).alias("_html"))
     p = p.withColumn("_digest", F.sha2("_html", 256)).withColumn("_bytes", F.octet_length("_html").cast("long"))
-    at = F.struct("_id", "_url")
-    names = p.where(F.col("_bytes") >= MIN_REVISIT).select("_id", "_url", "_digest")
-    first = names.groupBy("_digest").agg(F.min(at).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    copies = names.join(first, "_digest").where(at != F.col("_first")).distinct()
-    # payloads stay where they are read: only the copies' names travel, if they are few enough
-    p = join_small(p, written(copies, "warc-copies"), ["_id", "_url", "_digest"], "left")
-    return p.withColumn("_revisit", F.col("_first").isNotNull())
+    at, key = F.struct("_id", "_url"), ["_id", "_url", "_digest"]
+    names = written(p.select(*key, "_bytes"), "warc-names")
+    long = names.where(F.col("_bytes") >= MIN_REVISIT).drop("_bytes")
+    first = long.groupBy("_digest").agg(F.min(at).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    copies = long.join(first, "_digest").where(at != F.col("_first")).distinct()
+    repeats = written(names.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1"), "warc-repeats")
+    # payloads stay where they are read: only the names of copies and of equal rows travel, if they are few enough
+    p = join_small(p, written(copies.join(repeats, key, "full"), "warc-copies"), key, "left")
+    one = p.where("_n IS NULL").drop("_n").withColumn("_copy", F.lit(None).cast("long"))
+    if not repeats.isEmpty():
+        # equal rows are folded to one and unfolded again, a number each; the first has none
+        fold = p.where("_n IS NOT NULL").groupBy(*key).agg(*[F.first(c).alias(c) for c in ("_html", "_bytes", "_first", "_n")])
+        part = fold.withColumn("_part", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / RECORDS_A_FILE)))).repartition(*key, "_part")
+        low = F.col("_part") * RECORDS_A_FILE
+        many = part.withColumn("_copy", F.explode(F.sequence(low, F.least(low + RECORDS_A_FILE, F.col("_n")) - 1)))
+        one = one.unionByName(many.drop("_part", "_n").withColumn("_copy", F.when(F.col("_copy") > 0, F.col("_copy"))))
+    return one.withColumn("_revisit", F.col("_first").isNotNull())
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> str:
     """Writes the records of pages under path."""
     p = archive_plan(pages, id_col, url_col, html_col)
-    p = p.withColumn("_rid", _uuid("response", F.col("_id"), F.col("_url"), F.col("_digest")))
+    p = p.withColumn("_rid", _uuid("response", F.col("_id"), F.col("_url"), F.col("_digest"), F.col("_copy")))
     first_rid = _uuid("response", F.col("_first._id"), F.col("_first._url"), F.col("_digest"))
     common = lambda kind: [("WARC-Type", kind), ("WARC-Date", F.lit(DATE)), ("WARC-Target-URI", F.nullif(F.col("_url"), F.lit("")))]
     rid = lambda c: F.concat(F.lit("<"), c, F.lit(">"))
