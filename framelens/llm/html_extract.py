@@ -11,7 +11,7 @@ The potentials are smoothed counts over labelled pages (`fit`): pages whose elem
 a Spark-side model is fitted once on the driver from at most TRAIN_PAGES of them.
 
 Defined cases: null or empty html has the text ""; unclosed, unopened and wrongly nested tags are closed where
-their parent ends; head, scripts, styles, templates and comments have no text; rows that repeat a page_id get
+their parent ends, an open head where something comes that can't stand in it; head, scripts, styles, templates and comments have no text; rows that repeat a page_id get
 a row each; an empty table gives no rows; pages of any size and depth are handled without recursion.
 """
 
@@ -33,6 +33,7 @@ TRAIN_PAGES, SEED, SMOOTH = 600, 5, 0.5
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 SILENT = frozenset("head script style template noscript svg math select option button textarea title iframe object canvas audio video map datalist xmp noembed noframes".split())
+HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 BLOCK = frozenset("html body address article aside blockquote caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - frozenset("td th tr tbody thead tfoot caption html body".split())
 SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("thead", "tbody", "tfoot", "tr", "td", "th"), "tfoot": ("thead", "tbody", "tr", "td", "th")}
@@ -68,6 +69,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     silent, links, at, n = 0, 0, 0, len(page)
 
     def say(raw: str) -> None:
+        if stack[-1][0] == "head" and raw.strip():
+            close(len(stack) - 1)
         if raw and not silent:
             t = _html.unescape(raw)
             node = nodes[stack[-1][1]]
@@ -109,6 +112,11 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         if tag in ("html", "body") and any(t == tag for t, _ in stack) or tag == "html":
             continue
+        if tag not in HEAD:
+            where = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "head"), 0)
+            inside = {t for t, _ in stack[where:]}
+            if where and "template" not in inside and (tag == "body" or "noscript" not in inside):
+                close(where)
         if tag in VOID:
             if tag in ("br", "hr", "wbr") and not silent and tag != "wbr":
                 texts.append((stack[-1][1], BREAK))

@@ -1,4 +1,19 @@
-"""Pages rows that are equal."""
+"""Pages whose head is never closed, and pages rows that are equal."""
+
+
+def test_open_head():
+    from framelens.llm import html_extract as H
+
+    model = H.fit(H.labelled_pages())
+    text = "This text is kept here, it is long enough to be read. And so is this sentence."
+    want = model.extract(f"<html><head><title>x</title></head><body><article><p>{text}</p></article></body></html>")
+    assert text in want
+    for page in (f"<head><title>x</title><body><article><p>{text}</p></article>", f"<head><title>x</title><meta charset=utf-8><article><p>{text}</article>",
+                 f"<html><head><script>a<b</script><noscript><style>p</style></noscript><body><article><p>{text}</p></article></body></html>"):
+        assert model.extract(page) == want
+    said = lambda page: "".join(t for _, t in H.parse(page)[1] if t != H.BREAK)
+    assert said(f"<head><title>x</title>{text}") == text
+    assert said("<head><template><div>no</div></template><noscript><img><p>no</p></noscript><title>no</title></head><p>yes") == "yes"
 
 
 def test_equal_rows(spark):
