@@ -3,17 +3,25 @@
 A text is split by the public pattern in the JVM, each match is a word. In one narrow stage, without a
 shuffle, three steps follow each other on every partition:
 
-1. an Arrow function replaces the words by numbers and hands on each distinct word of the task once, its
-   bytes as a string of the code points 0 to 255;
+1. an Arrow function replaces the words by numbers and hands on each distinct word of the task once: its
+   bytes as a string of the code points 0 to 255, and as numbers of neighbouring bytes;
 2. a fold over each distinct word's byte array does the ranked merges: of all neighbours the pair of lowest
-   rank, leftmost first, joins, until no pair has a rank. Ranks come from a literal rank map, an array of
-   buckets by hash, so that a look-up costs the same at any vocabulary size; the ids are decoded again
-   through a literal list of pieces, by concatenation;
+   rank, leftmost first, joins, until no pair has a rank. Ranks come from literal maps: one by the number of
+   a pair of bytes, one, an array of buckets by hash, by piece, so that a look-up costs the same at any
+   vocabulary size. The state of a fold is one array: for each part the rank of its pair with the next part,
+   times 2^32, plus where the part begins, so that the smallest element is the next merge. The ids are
+   decoded again through a literal list of pieces, by concatenation;
 3. an Arrow function puts the ids and the decoded pieces of each document together.
 
 The word memory of a task is emptied beyond MEMORY_WORDS. The fold is quadratic in a word's length, so
-words over LONG_WORD bytes (long runs of one kind of character) are merged in step 3 with a heap instead,
-by the same ranks and the same order.
+words over LONG_WORD bytes (long runs of one kind of character) are merged in step 3 with a heap instead.
+Both routes do the same: a heap of (rank, place) gives the pair of lowest rank, leftmost first, as the smallest
+element of the fold's array does, and an entry whose parts have since been joined is passed over; each
+merge adds the same two pairs. The tests hold both routes, and the library, against each other on the same
+words.
+
+The letter and number classes of the JVM are older than the library's. `java_pattern` asks both for the class
+of every code point and writes the difference into the pattern.
 
 Defined cases: a null or empty text has no ids; rows that repeat a doc_id get a row each; an empty table
 gives no rows; special tokens are ordinary text.
@@ -28,31 +36,76 @@ import json
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelens.llm.common import bound, keyed, unkeyed
 
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 1_000_000
 LONG_WORD = 512
-#: Documents in an Arrow batch at most. Set on the session, as Spark has no setting for one plan: by default
-#: a batch would hold 10,000 documents, and step 3 would get a whole partition in one.
-ARROW_ROWS = 128
+#: Most words of a block, the unit in which documents go through the steps; a longer text is a block by itself.
+BLOCK_WORDS = 500_000
 BUCKETS = 1 << 15
 NONE = 2**31 - 1
-#: White space as the pattern's engine has it; Java's own class is ASCII only.
-_SPACE = r"\t-\r \x85\xa0  -     　"
 
 
-def java_pattern(pattern: str) -> str:
-    """The pattern for Java. Words of letters or digits are tried first, and without backtracking: no other
-    alternative begins as they do, so the matches stay the same."""
+def _every() -> str:
+    return "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+
+
+def library_class(name: str) -> set[int]:
+    """The code points that the tokenizer library takes for members of a class."""
+    import tiktoken
+
+    one = tiktoken.Encoding("class", pat_str=name, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+    return set(map(ord, one.decode(one.encode_ordinary(_every()))))
+
+
+def java_class(spark: SparkSession, name: str) -> set[int]:
+    """The same for the JVM's regular expressions."""
+    kept = spark.createDataFrame([(_every(),)], "t string").select(F.regexp_replace("t", f"[^{name}]+", "")).first()[0]
+    return set(map(ord, kept))
+
+
+def _ranges(points: set[int]) -> str:
+    out: list[list[int]] = []
+    for x in sorted(points):
+        if out and out[-1][1] == x - 1:
+            out[-1][1] = x
+        else:
+            out.append([x, x])
+    return "".join(rf"\x{{{a:X}}}" + (rf"-\x{{{b:X}}}" if b > a else "") for a, b in out)
+
+
+def _member(name: str, more: set[int], less: set[int]) -> tuple[str, str]:
+    """A class of the JVM with more and less code points, and its complement. A range that holds all of `more` is
+    asked first, so that common characters cost no long list of ranges."""
+    inside, outside = name, f"[^{name}]"
+    if more:
+        low = min(more)
+        inside = rf"[{inside}[[\x{{{low:X}}}-\x{{10FFFF}}]&&[{_ranges(more)}]]]"
+        outside = rf"[{outside}&&[[\x{{0}}-\x{{{low - 1:X}}}][^{_ranges(more)}]]]"
+    if less:
+        inside, outside = f"[{inside}&&[^{_ranges(less)}]]", f"[{outside}[{_ranges(less)}]]"
+    return inside, outside
+
+
+def java_pattern(spark: SparkSession, pattern: str) -> str:
+    """The pattern for the JVM, with the library's classes. Words of letters or digits are tried first, and without
+    backtracking: no other alternative begins as they do, so the matches stay the same."""
     words = (r" ?\p{L}+", r" ?\p{N}+")
     if all(f"|{w}|" in pattern for w in words):
         for w in words:
             pattern = pattern.replace(f"|{w}|", "|")
         pattern = "|".join([w.replace("?", "?+").replace("}+", "}++") for w in words] + [pattern])
-    return pattern.replace(r"[^\s", f"[^{_SPACE}").replace(r"\S", f"[^{_SPACE}]").replace(r"\s", f"[{_SPACE}]")
+    letter, digit = (_member(c, library_class(c) - java_class(spark, c), java_class(spark, c) - library_class(c)) for c in (r"\p{L}", r"\p{N}"))
+    space = _ranges(library_class(r"\s"))
+    put = [(r"[^\s\p{L}\p{N}]", f"[[^{space}]&&{letter[1]}&&{digit[1]}]"), (r"\p{L}", letter[0]), (r"\p{N}", digit[0]), (r"\S", f"[^{space}]"), (r"\s", f"[{space}]")]
+    for i, (old, _) in enumerate(put):  # by marks first, as what is put in holds such names itself
+        pattern = pattern.replace(old, f"\x00{i}\x00")
+    for i, (_, new) in enumerate(put):
+        pattern = pattern.replace(f"\x00{i}\x00", new)
+    return pattern
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -74,11 +127,11 @@ def rank_map(ranks: dict[bytes, int]) -> Column:
 
 
 def piece_list(ranks: dict[bytes, int]) -> Column:
-    """Literal array of the pieces by id."""
+    """Literal array of the binary pieces by id."""
     out = [""] * (max(ranks.values(), default=-1) + 1)
     for piece, rank in ranks.items():
-        out[rank] = piece.decode("latin-1")
-    return _literal(json.dumps(out), "array<string>")
+        out[rank] = base64.b64encode(piece).decode()
+    return _literal(json.dumps(out), "array<binary>")
 
 
 def _rank(x: str) -> str:
@@ -86,19 +139,34 @@ def _rank(x: str) -> str:
     return f"coalesce(try_element_at(m[cast(xxhash64({x}) & {BUCKETS - 1} as int)], {x}), {NONE})"
 
 
+_AT = 1 << 32
+
+
+def _let(var: str, value: str, body: str, kind: str) -> str:
+    """SQL text that evaluates `value` once and `body`, which is of the type `kind`, with it as `var`."""
+    return f"aggregate(array({value}), cast(null as {kind}), (z_, {var}) -> {body})"
+
+
+def _begin(x: str) -> str:
+    return f"({x} & {_AT - 1}L)"
+
+
+def _joined(x: str, after: str) -> str:
+    """Rank of the word's bytes from where x begins to where `after` does; of none, where there is no such element."""
+    return _let("v", f"substring(w, cast({_begin(x)} as int), cast({_begin(after)} - {_begin(x)} as int))", _rank("v"), "int")
+
+
+# s: an element for each part, and one where the word ends. k: the place of the smallest, from 1, so s[k] is the part that
+# joins it and goes, and only the elements from h on, the part before it, to k change. x: each element, i: its place from 0.
+_STATE = "array<bigint>"
+_MERGE = f"array_remove(transform(s, (x, i) -> if(i > k or i < h, x, if(i = k, -1L, {_joined('x', 'get(s, i + 3)')} * {_AT}L + {_begin('x')}))), -1L)"
+_STEP = _let("k", "cast(array_position(s, array_min(s)) as int)", f"if(s[k - 1] >= {NONE * _AT}L, s, {_let('h', 'k - 2', _MERGE, _STATE)})", _STATE)
 _FOLD = f"""
-if({_rank("w")} <> {NONE}, array(w), aggregate(
+if({_rank("w")} <> {NONE}, array({_rank("w")}), aggregate(
   sequence(1, length(w) - 1),
-  named_struct('p', split(w, ''), 'r', pairs[n]),
-  (s, _) -> if(array_min(s.r) = {NONE}, s,
-    transform(array(cast(array_position(s.r, array_min(s.r)) as int)), k ->
-      transform(array(s.p[k - 1] || s.p[k]), j -> named_struct(
-        'p', concat(slice(s.p, 1, k - 1), array(j), slice(s.p, k + 2, size(s.p))),
-        'r', concat(slice(s.r, 1, greatest(k - 2, 0)),
-                    if(k > 1, array({_rank("s.p[k - 2] || j")}), cast(array() as array<int>)),
-                    if(k + 1 < size(s.p), array({_rank("s.p[k + 1]").replace("s.p[k + 1]", "j || s.p[k + 1]")}), cast(array() as array<int>)),
-                    slice(s.r, k + 2, size(s.r)))))[0])[0]),
-  s -> s.p))
+  transform(pairs[n], (x, i) -> t[x] * {_AT}L + i + 1),
+  (s, _) -> {_STEP},
+  s -> transform(slice(s, 1, size(s) - 1), (x, i) -> {_joined("x", "s[i + 1]")})))
 """
 
 
@@ -126,52 +194,63 @@ def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i:e]] for i, e in enumerate(end) if e]
 
 
-def _pair_ranks(ranks: dict[bytes, int]) -> np.ndarray:
-    """Rank of each pair of bytes."""
-    out = np.full(65536, NONE, np.int32)
+#: Stands for "no pair" in the place of the number of a pair of bytes.
+LAST = 65536
+
+
+def pair_map(ranks: dict[bytes, int]) -> Column:
+    """Literal array of the ranks of the pairs of bytes, by first byte times 256 plus second."""
+    out = [NONE] * (LAST + 1)
     for piece, rank in ranks.items():
         if len(piece) == 2:
             out[piece[0] * 256 + piece[1]] = rank
-    return out
+    return _literal(json.dumps(out), "array<int>")
+
+
+def _neighbours(words: list[bytes]) -> pa.Array:
+    """For each word the numbers of its pairs of bytes, then LAST for its last byte and LAST for its end."""
+    flat = np.frombuffer(b"\0".join(words) + b"\0", np.uint8).astype(np.int32)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    pairs = flat * 256
+    pairs[:-1] += flat[1:]
+    pairs[ends - 1] = pairs[ends - 2] = LAST
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(pairs))
 
 
-def _number(table: np.ndarray):
-    """Step 1: (id, words) to one row a batch: the words new to the task with the ranks of their byte pairs, and the documents as word numbers."""
+def _number(long_word: int):
+    """Step 1: (id, words) to one row a block: the words new to the task, and the documents as word numbers."""
 
-    def pairs(words: list[bytes]):
-        flat = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
-        ends = np.cumsum([len(w) for w in words])
-        inside = np.ones(max(0, len(flat) - 1), bool)
-        inside[ends[:-1] - 1] = False
-        found = table[flat[:-1] * 256 + flat[1:]][inside]
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends - np.arange(1, len(words) + 1)]).astype(np.int32)), pa.array(found, pa.int32()))
+    def blocks(offsets):
+        at = 0
+        while at < len(offsets) - 1:
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK_WORDS, "right")) - 1)
+            yield at, end
+            at = end
 
     def run(batches):
         known: dict[str, int] = {}
         turn = 0
         for b in batches:
-            if not len(b):
-                continue
-            if len(known) > MEMORY_WORDS:
-                known.clear()
-                turn += 1
-            sizes = np.diff(b.column(1).offsets.to_numpy())
-            words = b.column(1).flatten().dictionary_encode()
-            new, codes = [], np.empty(len(words.dictionary), np.int32)
-            for i, w in enumerate(words.dictionary.to_pylist()):
-                if (c := known.get(w)) is None:
-                    c = known[w] = len(known)
-                    new.append(w.encode("utf-8", "surrogatepass"))
-                codes[i] = c
-            flat = codes[words.indices.to_numpy()] if len(words) else np.array([], np.int32)
-            short = [w if len(w) <= LONG_WORD else b"?" for w in new]
-            text = [w.decode("latin-1") if len(w) <= LONG_WORD else None for w in new]
-            own = pairs(short) if new else pa.array([], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([turn], pa.int32()), pa.array([text], pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array([0, len(new)], pa.int32()), own), pa.array([[w for w in new if len(w) > LONG_WORD]], pa.list_(pa.binary())),
-                 pa.array([b.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([sizes.astype(np.int32)], pa.list_(pa.int32())), pa.array([flat], pa.list_(pa.int32()))],
-                ["turn", "words", "pairs", "long", "ids", "sizes", "flat"],
-            )
+            offsets = b.column(1).offsets.to_numpy()
+            for at, end in blocks(offsets):
+                if len(known) > MEMORY_WORDS:
+                    known.clear()
+                    turn += 1
+                words = b.column(1).values[offsets[at] : offsets[end]].dictionary_encode()
+                new, codes = [], np.empty(len(words.dictionary), np.int32)
+                for i, w in enumerate(words.dictionary.to_pylist()):
+                    if (c := known.get(w)) is None:
+                        c = known[w] = len(known)
+                        new.append(w.encode("utf-8", "surrogatepass"))
+                    codes[i] = c
+                flat = codes[words.indices.to_numpy()] if len(words) else np.array([], np.int32)
+                text = [w.decode("latin-1") if len(w) <= long_word else None for w in new]
+                pairs = _neighbours([w if len(w) <= long_word else b"?" for w in new]) if new else pa.array([], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([turn], pa.int32()), pa.array([text], pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array([0, len(new)], pa.int32()), pairs), pa.array([[w for w in new if len(w) > long_word]], pa.list_(pa.binary())),
+                     pa.array([b.column(0).to_pylist()[at:end]], pa.list_(pa.int64())), pa.array([np.diff(offsets[at : end + 1]).astype(np.int32)], pa.list_(pa.int32())), pa.array([flat], pa.list_(pa.int32()))],
+                    ["turn", "words", "pairs", "long", "ids", "sizes", "flat"],
+                )
 
     return run
 
@@ -221,7 +300,7 @@ def _assemble(ranks, digests_only):
     return run
 
 
-def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests_only: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests_only: bool = False, long_word: int = LONG_WORD) -> DataFrame:
     """id, n_tokens, ids (array<int>) and decoded (binary) for each row; digests_only: their digests instead of both.
     path: a rank file that the driver can read."""
     spark = docs.sparkSession
@@ -229,16 +308,12 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     # a rank file need not have all bytes or nothing but pieces of bytes; every single byte must have a rank
     if missing := [i for i in range(256) if bytes([i]) not in ranks]:
         raise ValueError(f"{path} has no rank for bytes {missing[:5]}")
-    base = docs.select(keyed(id_col).alias("_id"), F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0)).alias("_words"))
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, ARROW_ROWS + 1):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-    numbered = base.mapInArrow(_number(_pair_ranks(ranks)), "turn int, words array<string>, pairs array<array<int>>, long array<binary>, ids array<long>, sizes array<int>, flat array<int>")
-    word = f"if(w is null, null, {_FOLD})"
-    encoded = f"transform(words, (w, n) -> transform(array({word}), p -> transform(p, x -> {_rank('x')}))[0])"
-    decoded = "named_struct('ids', i, 'bytes', encode(array_join(transform(i, x -> l[x]), ''), 'ISO-8859-1'))"
+    base = docs.select(keyed(id_col).alias("_id"), F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(java_pattern(spark, pattern)), F.lit(0)).alias("_words"))
+    numbered = base.mapInArrow(_number(long_word), "turn int, words array<string>, pairs array<array<int>>, long array<binary>, ids array<long>, sizes array<int>, flat array<int>")
+    decoded = "named_struct('ids', i, 'bytes', aggregate(i, x'', (a, x) -> a || l[x]))"
     # bound once each: a literal is copied to every place that names its column, and again for every task
-    got = bound("_ranks", bound("_pieces", f"transform({encoded}, i -> {decoded})", "l"), "m")
-    both = numbered.withColumns({"_ranks": rank_map(ranks), "_pieces": piece_list(ranks)}).select("turn", F.expr(got).alias("got"), "long", "ids", "sizes", "flat")
+    got = bound("_ranks", bound("_pairs", bound("_pieces", f"transform(words, (w, n) -> if(w is null, null, {_let('i', _FOLD, decoded, 'struct<ids: array<int>, bytes: binary>')}))", "l"), "t"), "m")
+    both = numbered.withColumns({"_ranks": rank_map(ranks), "_pairs": pair_map(ranks), "_pieces": piece_list(ranks)}).select("turn", F.expr(got).alias("got"), "long", "ids", "sizes", "flat")
     kept = "n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests_only else "ids array<int>, decoded binary")
     out = both.mapInArrow(_assemble(spark.sparkContext.broadcast(ranks), digests_only), "_id long, " + kept)
     return out.select(unkeyed("_id").alias(id_col), *out.columns[1:])
