@@ -2,14 +2,19 @@
 
 Fitting (labelled rows only, at most TRAIN_ROWS of them by hash order of the id): terms are words, and stems
 of words with varied endings, that stand in toxic documents so much more often than in others that chance
-is excluded at MAX_CHANCE over all candidates. The lexicon is a trie; a Levenshtein automaton for the number
-of edits that a term's length allows is intersected with it, state by state as words need it. Words near a
-term that clean labelled documents use are exceptions. A logistic regression weighs the matches: exact,
-misspelled and stem matches, those in quotation or report, and those that address someone.
+is excluded at MAX_CHANCE over all candidates. The lexicon is a trie of all of them; a Levenshtein automaton for the
+number of edits that a term's length allows is intersected with it, state by state as words need it. Words near a
+term that clean labelled documents use are exceptions. Of labelled rows that are near copies with the same label, which
+would be so many witnesses of one thing, the one of smallest id counts.
 
-Scoring reads whole texts in Arrow functions. A task matches each distinct word once. For documents with a
-match, a window of WINDOW words around it is searched for quotation marks and reporting words (quotation)
-and for words of address (abuse).
+Each match has a quotation score from the window of WINDOW words around it, 0 to 1: marks on both sides and words of
+report raise it. A match counts as much as it is not quoted, and a misspelled one a little less than an exact one;
+those that stand near a word of address are summed apart. To the fixed words of report and of address come those that
+the labelled rows show: words that stand nearer to the matches of clean, or of toxic, documents than chance explains. A logistic regression weighs the sums; a quoted match can't raise a score above that of one that is
+aimed at someone, as its weights may not have the wrong sign.
+
+Scoring reads whole texts in Arrow functions. A task matches each distinct word once. The number of terms is bounded
+by the labelled rows only.
 
 Inputs of a score are the text and the fitted model only. Defined cases: a null or empty text has no match
 and gets the model's base score; without labels, or labels of one kind, the score is the smoothed share of
@@ -31,10 +36,14 @@ from pyspark.sql import functions as F
 
 from framelens.llm.common import written
 
-TRAIN_ROWS, MAX_TERMS = 20_000, 2_000
+TRAIN_ROWS = 20_000
 MIN_SUPPORT, MIN_SHARE, MIN_STEM_SHARE, MAX_CHANCE = 4, 0.8, 0.5, 0.1
 STEM_LENGTHS, STEM_ENDINGS = (4, 5, 6, 7), 3
 WINDOW, THRESHOLD = 6, 0.3
+#: What a misspelled match counts beside an exact one; what marks and what each word of report add to a quotation score.
+MISSPELLED, IN_MARKS, REPORTED = 0.7, 0.6, 0.4
+#: Signs that the weights of Scorer.features may have; 0: either.
+SIGNS = (1, 0, 0, -1, 1, 1)
 MEMORY_WORDS, MEMORY_STATES = 400_000, 50_000
 WORD = re.compile(r"\w+")
 
@@ -125,9 +134,10 @@ class Automaton:
 class Model:
     """What fitting gives; small, and sent to the tasks with the function that uses it."""
 
-    def __init__(self, terms=(), stems=(), exceptions=(), weights=None, base=0.1):
+    def __init__(self, terms=(), stems=(), exceptions=(), weights=None, base=0.1, report=(), address=()):
         self.terms, self.stems, self.exceptions = dict(terms), dict(stems), frozenset(exceptions)
         self.weights, self.base = weights, base
+        self.report, self.address = REPORT.union(report), ADDRESS.union(address)
 
 
 class Scorer:
@@ -145,28 +155,40 @@ class Scorer:
             self.known[word] = k
         return k
 
-    def features(self, text: str) -> list[float]:
-        """Logarithms of the summed weights of exact, misspelled and stem matches, then of the counts of those quoted and those addressed, and matches a word."""
+    def matches(self, text: str):
+        """(kind, weight, the words around, whether it stands in marks) of each match, and the number of words."""
         low = text.lower()
         hits = {w: k for w in set(WORD.findall(low)) if (k := self.kind(w))[0]}
         if not hits:
-            return [0.0] * 6
+            return [], 0
         spans = [(m.start(), m.end(), m.group()) for m in WORD.finditer(low)]
-        n = [0.0, 0.0, 0.0]
-        quoted = addressed = total = 0
+        found = []
         for i, (a, b, w) in enumerate(spans):
-            if not (k := hits.get(w)):
-                continue
-            left, right = spans[max(0, i - WINDOW)][0], spans[min(len(spans) - 1, i + WINDOW)][1]
-            around = [x for _, _, x in spans[max(0, i - WINDOW) : i + WINDOW + 1]]
-            in_marks = any(c in QUOTES for c in low[left:a]) and any(c in QUOTES for c in low[b:right])
-            if in_marks or not REPORT.isdisjoint(around):
-                quoted += 1
-                continue
-            n[k[0] - 1] += k[1]
-            total += 1
-            addressed += not ADDRESS.isdisjoint(around)
-        return [math.log1p(n[0]), math.log1p(n[1]), math.log1p(n[2]), math.log1p(quoted), math.log1p(addressed), total / len(spans)]
+            if k := hits.get(w):
+                left, right = spans[max(0, i - WINDOW)][0], spans[min(len(spans) - 1, i + WINDOW)][1]
+                # a mark may stand right after the last word of the window, or before its first
+                in_marks = any(c in QUOTES for c in low[max(0, left - 1) : a]) and any(c in QUOTES for c in low[b : right + 1])
+                found.append((*k, {x for _, _, x in spans[max(0, i - WINDOW) : i + WINDOW + 1] if x not in hits}, in_marks))
+        return found, len(spans)
+
+    def features(self, text: str) -> list[float]:
+        """Logarithms of the sums of what is not quoted of all, of misspelled and of stem matches, of the quotation
+        scores, and of the addressed ones, and what is not quoted a word."""
+        found, words = self.matches(text)
+        if not found:
+            return [0.0] * 6
+        n = [0.0, 0.0, 0.0]
+        quoted = addressed = total = 0.0
+        for kind, weight, around, in_marks in found:
+            quote = min(1.0, IN_MARKS * in_marks + REPORTED * len(self.model.report & around))
+            own = (1 - quote) * weight * (MISSPELLED if kind == 2 else 1.0)
+            n[0] += own
+            if kind > 1:
+                n[kind - 1] += own
+            quoted += quote
+            addressed += own * (not self.model.address.isdisjoint(around))
+            total += 1 - quote
+        return [math.log1p(n[0]), math.log1p(n[1]), math.log1p(n[2]), math.log1p(quoted), math.log1p(addressed), total / words]
 
     def score(self, text: str) -> float:
         if self.model.weights is None:
@@ -201,17 +223,63 @@ def _word_counts(batches):
     yield flush()
 
 
+#: Signature values of a labelled text; near copies have BAND neighbouring ones in common.
+SIGNATURE, BAND = 9, 3
+
+
 def _signatures(batches):
-    """(text, toxic) with the smallest 3-word hash under four multipliers: near copies share most of them."""
-    odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+    """(id, text, toxic) with hashes of each band of the smallest 3-word hashes under several multipliers: texts that share 0.8
+    of their 3-word windows share a band with a chance of 0.88, those that share 0.3 with one of 0.08."""
+    odd = np.array([xxhash.xxh64_intdigest(str(k)) | 1 for k in range(SIGNATURE)], np.uint64)
     for b in batches:
-        sig = []
-        for text in b.column(0).to_pylist():
+        bands = []
+        for text in b.column(1).to_pylist():
             w = text.lower().split()
             h = np.array([xxhash.xxh64_intdigest(" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))], np.uint64)
-            sig.append((h[None, :] * odd[:, None]).min(axis=1).astype(np.int64))
-        sig = np.array(sig).reshape(-1, len(odd))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(sig[:, k]) for k in range(len(odd))]], ["_text", "_toxic", *[f"s{k}" for k in range(len(odd))]])
+            own = (h[None, :] * odd[:, None]).min(axis=1)
+            bands.append([xxhash.xxh64_intdigest(own[k : k + BAND].tobytes()) for k in range(0, SIGNATURE, BAND)])
+        bands = np.array(bands, np.uint64).astype(np.int64).reshape(-1, SIGNATURE // BAND)
+        yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(bands[:, k]) for k in range(bands.shape[1])]], ["_id", "_text", "_toxic", *[f"s{k}" for k in range(bands.shape[1])]])
+
+
+def _around(model: "Model"):
+    """(text, toxic) to (word, toxic, inside, every): how often a word stands within WINDOW words of a match, and how
+    often at all, in the documents that have one."""
+
+    def run(batches):
+        s, counts = Scorer(model), {}
+        for b in batches:
+            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words = WORD.findall(text.lower())
+                hits = {i for i, w in enumerate(words) if s.kind(w)[0]}
+                near = {j for i in hits for j in range(i - WINDOW, i + WINDOW + 1)}
+                for i, w in enumerate(words) if hits else ():
+                    if i not in hits:
+                        own = counts.setdefault((w, toxic), [0, 0])
+                        own[0] += i in near
+                        own[1] += 1
+        keys = list(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), *[pa.array([counts[k][j] for k in keys], pa.int64()) for j in (0, 1)]], ["w", "toxic", "inside", "every"])
+
+    return run
+
+
+def _learn_context(sample: DataFrame, model: "Model") -> tuple[list[str], list[str]]:
+    """Words that stand nearer to the matches than chance explains, by the words of their own documents: in clean
+    documents words of report, in toxic ones words of address."""
+    near = sample.mapInArrow(_around(model), "w string, toxic int, inside long, every long").groupBy("w", "toxic").agg(F.sum("inside").alias("inside"), F.sum("every").alias("every"))
+    near = written(near, "toxic-around")
+    whole = near.groupBy("toxic").agg((F.sum("inside") / F.sum("every")).alias("share")).where("share < 1")
+    some = near.where(F.col("every") >= MIN_SUPPORT).join(F.broadcast(whole), "toxic").withColumn("p", F.col("inside") / F.col("every"))
+    odd = some.where(F.col("p") > F.col("share")).withColumn("surprise", _divergence(F.col("p"), F.col("share")) * F.col("every"))
+    odd = odd.where(F.col("surprise") >= math.log(max(1, some.count()) / MAX_CHANCE)).select("w", "toxic").collect()
+    return [r["w"] for r in odd if not r["toxic"]], [r["w"] for r in odd if r["toxic"]]
+
+
+def _divergence(p: Column, share: Column) -> Column:
+    """Of a share p from the base rate (Kullback and Leibler)."""
+    part = lambda x, y: F.when(x > 0, x * F.log(x / y)).otherwise(0.0)
+    return part(p, share) + part(1 - p, 1 - share)
 
 
 def _choose(rows: list, clean: int, toxic: int) -> tuple[dict[str, float], dict[str, float]]:
@@ -224,10 +292,24 @@ def _choose(rows: list, clean: int, toxic: int) -> tuple[dict[str, float], dict[
             continue
         stems.append(max((s for s in counts if s.startswith(short) and counts[s] >= 0.95 * counts[short]), key=len))
     weight = {(r["term"], r["stem"]): max(0.25, math.log((r["toxic"] + 0.5) / (toxic + 1)) - math.log((r["clean"] + 0.5) / (clean + 1))) / 4 for r in rows}
-    return {w: weight[w, False] for w in words if not any(w.startswith(s) for s in stems)}, {s: weight[s, True] for s in stems}
+    return {w: weight[w, False] for w in words}, {s: weight[s, True] for s in stems}
 
 
-def _regress(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def _regress(x: np.ndarray, y: np.ndarray, signs: tuple[int, ...] = SIGNS) -> np.ndarray:
+    """The intercept, then the weights: features whose weights have the wrong sign are left out."""
+    free = list(range(x.shape[1]))
+    while True:
+        got = _newton(x[:, free], y)
+        wrong = [j for j, w in zip(free, got[1:], strict=True) if signs[j] * w < 0]
+        if not wrong:
+            out = np.zeros(1 + x.shape[1])
+            out[[0, *[1 + j for j in free]]] = got
+            out[2:4] = np.maximum(out[2:4], -out[1])  # a misspelled or stem match may count for nothing, but not against
+            return out
+        free = [j for j in free if j not in wrong]
+
+
+def _newton(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     """Logistic regression by Newton's method with a ridge on all but the intercept."""
     x = np.column_stack([np.ones(len(x)), x])
     w, r = np.zeros(x.shape[1]), np.full(x.shape[1], ridge * max(1.0, len(x) ** 0.5))
@@ -247,10 +329,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     own = written(own.orderBy(F.xxhash64("_id"), "_id").limit(rows), "toxic-labels")
     text = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     # own has at most `rows` rows, whatever the size of the corpus
-    sample = text.join(F.broadcast(own), "_id").select("_text", "_toxic").mapInArrow(_signatures, "_text string, _toxic int, s0 long, s1 long, s2 long, s3 long")
+    bands = [f"s{k}" for k in range(SIGNATURE // BAND)]
+    sample = text.join(F.broadcast(own), "_id").select("_id", "_text", "_toxic").mapInArrow(_signatures, "_id long, _text string, _toxic int, " + ", ".join(f"{s} long" for s in bands))
     sample = written(sample, "toxic-signed")
-    for k in range(4):  # near copies of one document would count as so many witnesses
-        sample = sample.dropDuplicates([f"s{k}"])
+    rest = F.struct("_id", "_text", *bands)
+    for s in bands:
+        sample = sample.groupBy(F.col(s).alias("_band"), "_toxic").agg(F.min(rest).alias("_row")).select("_toxic", "_row.*")
     sample = written(sample.select("_text", "_toxic"), "toxic-sample")
     n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("_toxic"), F.lit(0))).first()
     share = (toxic + 0.5) / (n + 1)
@@ -260,41 +344,49 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     counts = written(counts, "toxic-words")
     odd = counts.where(F.col("toxic") >= MIN_SUPPORT).withColumn("p", F.col("toxic") / (F.col("toxic") + F.col("clean")))
     # chance of at least this share by the base rate (Chernoff), for all candidates
-    kl = F.col("p") * F.log(F.col("p") / share) + F.when(F.col("p") < 1, (1 - F.col("p")) * F.log((1 - F.col("p")) / (1 - share))).otherwise(0.0)
+    kl = _divergence(F.col("p"), F.lit(share))
     odd = odd.where((F.col("p") >= F.when(F.col("stem"), MIN_STEM_SHARE).otherwise(MIN_SHARE)) & (F.col("p") > share)).withColumn("surprise", kl * (F.col("toxic") + F.col("clean")))
     candidates = max(1, odd.count() + counts.where(F.col("toxic") >= MIN_SUPPORT).count())
     odd = odd.where(F.col("surprise") >= math.log(candidates / MAX_CHANCE))
     words = counts.where(~F.col("stem") & (F.col("toxic") > 0)).select(F.col("term").alias("w"))
     ends = words.select(F.explode(F.array(*[F.when(F.char_length("w") > k, F.substring("w", 1, k)) for k in STEM_LENGTHS])).alias("term")).where("term is not null").groupBy("term").agg(F.count("*").alias("endings"))
-    best = odd.join(ends, "term", "left").select("term", "stem", "clean", "toxic", F.coalesce("endings", F.lit(0)).alias("endings"), "surprise").orderBy(F.desc("surprise"), "term").limit(MAX_TERMS)
+    best = odd.join(ends, "term", "left").select("term", "stem", "clean", "toxic", F.coalesce("endings", F.lit(0)).alias("endings"), "surprise").orderBy(F.desc("surprise"), "term")
     terms, stems = _choose(best.collect(), n - toxic, toxic)
     near = Model(terms, stems)
 
     def clean_words(batches):
         auto = Automaton(near.terms, near.stems)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([w for w in b.column(0).to_pylist() if auto.match(w)[0] == 2], pa.string())], ["term"])
+            yield b.filter(pa.array([auto.match(w)[0] == 2 for w in b.column(0).to_pylist()], pa.bool_()))
 
     # of the sample's words, those of mostly clean documents that the automaton would take for a term
-    plain = counts.where(~F.col("stem") & (F.col("clean") > 0) & (F.col("toxic") < MIN_SHARE * (F.col("toxic") + F.col("clean")))).select("term")
-    model = Model(terms, stems, [r["term"] for r in plain.mapInArrow(clean_words, "term string").collect()])
-    got = sample.mapInArrow(_features(model), "f array<double>, y double").toPandas()
+    plain = counts.where(~F.col("stem") & (F.col("clean") > 0) & (F.col("toxic") < MIN_SHARE * (F.col("toxic") + F.col("clean")))).select("term", "clean")
+    plain = {r["term"]: r["clean"] for r in plain.mapInArrow(clean_words, "term string, clean long").collect()}
+    model = Model(terms, stems, plain)
+    report, address = _learn_context(sample, model)
+    model = Model(terms, stems, plain, report=report, address=address)
+    # a clean document may not owe an exception to itself: new documents' words are not among the exceptions either
+    others = Model(terms, stems, [w for w, n in plain.items() if n > 1], report=report, address=address)
+    got = sample.mapInArrow(_features([others, model]), "f array<double>, y double").toPandas()
     model.weights = _regress(np.stack(got["f"].to_numpy()), got["y"].to_numpy()).tolist()
     return model
 
 
-def _features(model: Model):
+def _features(models: list[Model]):
+    """models: for clean and for toxic documents."""
+
     def run(batches):
-        s = Scorer(model)
+        s = [Scorer(m) for m in models]
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([s.features(t) for t in b.column(0).to_pylist()], pa.list_(pa.float64())), b.column(1).cast(pa.float64())], ["f", "y"])
+            own = [s[y].features(t) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.float64())), b.column(1).cast(pa.float64())], ["f", "y"])
 
     return run
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """All columns of docs, then score (double) and predicted (int); they replace columns of these names."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # terms and weights, bounded by MAX_TERMS and the sample
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # terms and weights, bounded by the labelled rows
 
     @F.pandas_udf("double")
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
