@@ -11,8 +11,10 @@ together by their recipes, and computes the facts from what was read. Payloads o
 the chunk is read; only payloads of several chunks shuffle bytes. Recipes are deduplicated first, so a group
 of copies is read once.
 
-The stored form of a payload, whose length and digest are media_bytes and media_sha256, is its container:
-b"CDC1", the payload length and the number of chunks as little-endian 64-bit, the recipe, then the samples.
+The stored form of a payload, whose length and digest are media_bytes and media_sha256, is its container: a
+head, which is b"CDC1", the payload length and the number of chunks as little-endian 64-bit and the recipe, then the
+samples. The store holds the head of a payload of one chunk beside the chunk, and that of a payload of several with
+its recipe; both are taken from there, as the samples are, and a head that doesn't fit its chunks is an error.
 
 Defined cases: a null or empty text is 64 zero bytes; rows that repeat a doc_id get a row each; an empty
 table gives no rows; texts of any length are cut into chunks of at most MAX_CHUNK bytes.
@@ -91,10 +93,16 @@ def feature(samples: np.ndarray) -> str:
     return "h=" + ",".join(map(str, counts.tolist())) + f";e={energy};c={changes}"
 
 
-def facts(parts: list[tuple[bytes, bytes]]) -> dict:
-    """parts: (digest, bytes) of a payload's chunks in order, as read back."""
+def container_head(chunks: list[tuple[bytes, int]]) -> bytes:
+    """The head for a recipe, (digest, length) of each chunk in order."""
+    return b"CDC1" + struct.pack("<QQ", sum(n for _, n in chunks), len(chunks)) + b"".join(d + struct.pack("<I", n) for d, n in chunks)
+
+
+def facts(head: bytes, parts: list[tuple[bytes, bytes]]) -> dict:
+    """head, and (digest, bytes) of a payload's chunks in order, as read back."""
+    if head != container_head([(d, len(_checked(d, x))) for d, x in parts]):
+        raise ValueError("a stored head does not fit its chunks")
     data = b"".join(x for _, x in parts)
-    head = b"CDC1" + struct.pack("<QQ", len(data), len(parts)) + b"".join(d + struct.pack("<I", len(x)) for d, x in parts)
     media = hashlib.sha256(head)
     media.update(data)
     return {"payload_bytes": len(data), "payload_sha256": hashlib.sha256(data).hexdigest(), "tail_crc32": zlib.crc32(data[-PAD:]), "media_bytes": len(head) + len(data),
@@ -103,36 +111,39 @@ def facts(parts: list[tuple[bytes, bytes]]) -> dict:
 
 FACTS = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 FACT_FIELDS = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
-RECIPE = "_id long, _tx long, n_bytes long, media_id binary, seq int, n_chunks int, digest binary, length int"
+STORE = "digest binary, head binary, data binary"
+RECIPE = "_id long, _tx long, n_bytes long, media_id binary, seq int, n_chunks int, digest binary, length int, head binary"
 
 
 def _recipes(batches):
     for b in batches:
-        cols: list[list] = [[] for _ in range(8)]
+        cols: list[list] = [[] for _ in range(9)]
         for i, tx, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
             raw = text.encode("utf-8", "surrogatepass")
             own = recipe(pad(raw))
             media = own[0][0] if len(own) == 1 else hashlib.sha256(b"".join(d for d, _ in own)).digest()
+            head = container_head(own) if len(own) > 1 else None
             for seq, (d, n) in enumerate(own):
-                for c, v in zip(cols, (i, tx, len(raw), media, seq, len(own), d, n), strict=True):
+                for c, v in zip(cols, (i, tx, len(raw), media, seq, len(own), d, n, None if seq else head), strict=True):
                     c.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int32())
-        names = ("_id", "_tx", "n_bytes", "media_id", "seq", "n_chunks", "digest", "length")
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary())
+        names = ("_id", "_tx", "n_bytes", "media_id", "seq", "n_chunks", "digest", "length", "head")
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], list(names))
 
 
 def _owned(batches):
-    """(text, seqs to skip) to (digest, data) of the other chunks."""
+    """(text, seqs to skip) to the other chunks, each with its head as a payload of one chunk."""
     for b in batches:
-        digests, data = [], []
+        digests, heads, data = [], [], []
         for text, skip in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             payload, start, skip = pad(text.encode("utf-8", "surrogatepass")), 0, set(skip or ())
             for seq, end in enumerate(cuts(payload)):
                 if seq not in skip:
                     digests.append(hashlib.sha256(payload[start:end]).digest())
+                    heads.append(container_head([(digests[-1], end - start)]))
                     data.append(payload[start:end])
                 start = end
-        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(data, pa.binary())], ["digest", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(heads, pa.binary()), pa.array(data, pa.binary())], ["digest", "head", "data"])
 
 
 def _checked(digest: bytes, data: bytes) -> bytes:
@@ -145,7 +156,7 @@ def _singles(batches):
     """Chunks read back, as payloads of one chunk."""
     for b in batches:
         d = b.column(0).to_pylist()
-        rows = [facts([(x, _checked(x, y))]) for x, y in zip(d, b.column(1).to_pylist(), strict=True)]
+        rows = [facts(h, [(x, y)]) for x, h, y in zip(d, b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(d, pa.binary()), *[pa.array([r[k] for r in rows], t) for k, t in FACT_FIELDS]], ["media_id", *[k for k, _ in FACT_FIELDS]])
 
 
@@ -153,7 +164,7 @@ def _joined(batches):
     """(media_id, parts in order) to facts."""
     for b in batches:
         ids = b.column(0).to_pylist()
-        rows = [facts([(p["digest"], _checked(p["digest"], p["data"])) for p in parts]) for parts in b.column(1).to_pylist()]
+        rows = [facts(parts[0]["head"], [(p["digest"], p["data"]) for p in parts]) for parts in b.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), *[pa.array([r[k] for r in rows], t) for k, t in FACT_FIELDS]], ["media_id", *[k for k, _ in FACT_FIELDS]])
 
 
@@ -172,22 +183,22 @@ def store_payloads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     again = recipes.groupBy("_id", "_tx", "seq").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     src = base.dropDuplicates(["_id", "_tx"]) if again else base
     src = join_small(src, copies, ["_id", "_tx"], "left").select("_text", "skip")
-    src.mapInArrow(_owned, "digest binary, data binary").write.option("compression", "zstd").parquet(path)
+    src.mapInArrow(_owned, STORE).write.option("compression", "zstd").parquet(path)
     return recipes, path
 
 
 def read_payloads(recipes: DataFrame, path: str) -> DataFrame:
     """media_id and the facts of each distinct payload, from the chunk store under path."""
     spark = recipes.sparkSession
-    store = spark.read.schema("digest binary, data binary").parquet(path)
+    store = spark.read.schema(STORE).parquet(path)
     single = recipes.where("n_chunks = 1").select(F.col("media_id").alias("digest")).distinct()
-    several = recipes.where("n_chunks > 1").select("media_id", "seq", "digest").distinct()
+    several = recipes.where("n_chunks > 1").select("media_id", "seq", "digest", "head").distinct()
     several = written(several, "several")
     # facts of every chunk as a payload of its own are small; those that no document has are dropped by the join
     ones = store.mapInArrow(_singles, "media_id binary, " + FACTS).join(single.withColumnRenamed("digest", "media_id"), "media_id", "left_semi")
     # the bytes go once, to their payloads: the recipes come to the chunks if they are few enough
-    parts = join_small(store, several, "digest", "inner")
-    parts = parts.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("seq", "digest", "data"))).alias("parts"))
+    parts = join_small(store.drop("head"), several, "digest", "inner")
+    parts = parts.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("seq", "digest", "head", "data"))).alias("parts"))
     return ones.unionByName(parts.mapInArrow(_joined, "media_id binary, " + FACTS))
 
 
