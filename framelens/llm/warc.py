@@ -3,8 +3,9 @@
 Each page gives three records: a request, a response (or a revisit, where an earlier record has the same
 payload) and a metadata record. Request and metadata name the response's or revisit's record id in
 WARC-Concurrent-To. A record is one value of Spark's text writer with the record end as line separator,
-so the files are plain concatenated WARC records, written and committed like any other output; a file
-holds at most RECORDS_A_FILE records, so that it can be read back as one value of bounded size.
+so the files are plain concatenated WARC records, written and committed like any other output. A file is read
+back as one value, so its size is bounded: it holds at most RECORDS_A_FILE records with payloads of at most
+LONG_PAYLOAD bytes, or the three records of one longer page.
 
 Reading parses whole files by Content-Length. `assemble` joins request and metadata to the response
 through Concurrent-To and gives one nested row for each capture; a revisit's payload is resolved by a join
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from framelens.llm.common import join_small, keyed, scratch, unkeyed, written
 
 MIN_REVISIT = 100
-RECORDS_A_FILE = 600
+RECORDS_A_FILE, LONG_PAYLOAD = 600, 256 << 10
 END = "\r\n\r\n"
 #: The date of records whose page has none: the archives depend on nothing but the pages.
 DATE = "2000-01-01T00:00:00Z"
@@ -88,8 +89,13 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     metadata = _record([*common(F.lit("metadata")), ("WARC-Record-ID", rid(_uuid("metadata", F.col("_rid")))), ("WARC-Concurrent-To", rid(F.col("_rid"))),
                         ("Content-Type", F.lit("application/warc-fields"))],
                        F.concat(F.lit("page-id: "), F.coalesce(unkeyed("_id").cast("string"), F.lit("")), F.lit("\r\n")))
-    records = p.select(F.explode(F.array(response, request, metadata)).alias("value"))
-    records.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    long = F.col("_bytes") > LONG_PAYLOAD
+    parts = [("pages", p.where(~long), RECORDS_A_FILE)]
+    if not pages.where(F.octet_length(html_col) > LONG_PAYLOAD).isEmpty():
+        parts.append(("long", p.where(long), 3))
+    for name, part, most in parts:
+        records = part.select(F.explode(F.array(response, request, metadata)).alias("value"))
+        records.write.option("lineSep", END).option("maxRecordsPerFile", most).text(f"{path}/{name}")
     return path
 
 
@@ -137,7 +143,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 rows = list(parse_file(data.as_py()))
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").options(pathGlobFilter="part-*", recursiveFileLookup=True).load(path).select("content")
     return files.mapInArrow(parse, RECORD_SCHEMA)
 
 
