@@ -16,6 +16,8 @@ blocks of BLOCK texts, a task a pair of blocks at a time, so a large component i
 text and a spanning set of links leave a block pair, never all pairs. Results are whole: no cap on groups,
 candidates or partners.
 
+A text is named by a 64-bit hash of its words' 128-bit digest; texts that share a name get others until none do.
+
 Defined cases: null and empty texts have no words and are copies of each other, linked to nothing else; a
 null id is smaller than any other; rows that repeat an id are one document if their words are the same, else
 they are separate rows under one id; an empty table gives no rows.
@@ -27,7 +29,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelens.llm.common import join_small, keyed, unkeyed, written
@@ -112,7 +114,7 @@ def _texts(trees: int, depth: int):
                 keys.append(text_key(w))
                 sizes.append(len(own))
                 sigs.append(signature(own, a, b).astype(">u4").tobytes() if len(own) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary())], ["_id", "_key", "_size", "_sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary())], ["_id", "_tx", "_key", "_size", "_sig"])
 
     return run
 
@@ -249,14 +251,28 @@ def _verify(limit: Fraction):
     return run
 
 
+def _named(texts: DataFrame) -> DataFrame:
+    """texts with an id of their own for each _key."""
+    texts = written(texts.withColumn("id", F.xxhash64("_key")), "ngram-texts")
+    for turn in range(1, 20):
+        twice = written(texts.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit(True).alias("_twice")), "ngram-twice")
+        if twice.isEmpty():
+            return texts
+        again = F.when(F.col("_twice"), F.xxhash64("_key", F.lit(turn))).otherwise(F.col("id"))
+        texts = written(join_small(texts, twice, "id", "left").withColumn("id", again).drop("_twice"), "ngram-texts")
+    raise RuntimeError("texts still share names")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: Fraction = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH, least: int = LEAST, block: int = BLOCK) -> DataFrame:
     """A row for each row of docs: id, class_id (the smallest id that it is connected to by links), n_links
-    (other rows at threshold or above, copies among them), n_texts (different texts among these), n_copies."""
+    (other rows at threshold or above, copies among them), n_texts (different texts among these), n_copies, and
+    text_hash (row_hash of the text) and is_first: of each class the rows of one id and text_hash, the smallest."""
     base = docs.select(keyed(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    rows = written(base.mapInArrow(_texts(trees, depth), "_id long, _key binary, _size int, _sig binary"), "ngram-rows")
+    hashed = base.select("_id", "_text", row_hash(F.col("_text")).alias("_tx"))
+    rows = written(hashed.mapInArrow(_texts(trees, depth), "_id long, _tx long, _key binary, _size int, _sig binary"), "ngram-rows")
     # a text is known by its smallest id and, as an id may repeat, by a number of its own
-    texts = rows.groupBy("_key").agg(F.min("_id").alias("first"), F.count("*").alias("copies"), F.first("_size").alias("size"), F.first("_sig").alias("sig"))
-    texts = written(texts.withColumn("id", F.xxhash64("_key")), "ngram-texts")
+    texts = rows.groupBy("_key").agg(F.min("_id").alias("first"), F.min(F.struct("_id", "_tx")).alias("first_row"), F.count("*").alias("copies"), F.first("_size").alias("size"), F.first("_sig").alias("sig"))
+    texts = _named(texts)
 
     label = lambda t: F.substring("sig", 4 * depth * t + 1, 4 * depth)
     forest = texts.where("size > 0").select("id", F.posexplode(F.array(*[label(t) for t in range(trees)])).alias("tree", "label"))
@@ -294,11 +310,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")), "ngram-classes")
     # the class of a text is named by the smallest document id in it
     named = texts.join(linked, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    lowest = named.groupBy("root").agg(F.min("first").alias("class_id"))
-    facts = named.join(lowest, "root").join(counts, "id", "left").select("_key", "class_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("texts", F.lit(0)).alias("texts"), "copies")
-    return rows.select("_id", "_key").join(facts, "_key").select(
-        unkeyed("_id").alias(id_col), unkeyed("class_id").alias("class_id"), (F.col("copies") - 1 + F.col("links")).alias("n_links"), F.col("texts").alias("n_texts"), F.col("copies").alias("n_copies")
-    )
+    lowest = named.groupBy("root").agg(F.min("first").alias("class_id"), F.min("first_row").alias("class_row"))
+    facts = named.join(lowest, "root").join(counts, "id", "left").select("_key", "class_id", "class_row", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("texts", F.lit(0)).alias("texts"), "copies")
+    return rows.select("_id", "_tx", "_key").join(facts, "_key").select(
+        unkeyed("_id").alias(id_col), unkeyed("class_id").alias("class_id"), (F.col("copies") - 1 + F.col("links")).alias("n_links"), F.col("texts").alias("n_texts"), F.col("copies").alias("n_copies"),
+        F.col("_tx").alias("text_hash"), (F.struct("_id", "_tx") == F.col("class_row")).alias("is_first"),
+    )
+
+
+def row_hash(text: Column) -> Column:
+    """With the id, this tells rows apart that repeat an id."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def _keyed_sets(batches):

@@ -12,7 +12,7 @@ def _docs(spark, sf_dir):
 def op1_ngram_jaccard(spark, sf_dir):
     from framelens.llm.ngram_join import near_duplicates
 
-    return near_duplicates(_docs(spark, sf_dir).select("doc_id", "text"))
+    return near_duplicates(_docs(spark, sf_dir).select("doc_id", "text")).drop("text_hash", "is_first")
 
 
 def op2_line_dedup(spark, sf_dir):
