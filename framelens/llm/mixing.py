@@ -32,80 +32,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from framelens.llm.common import join_small, keyed, unkeyed, written
+from framelens.llm.common import NULL_ID, join_small, keyed, unkeyed, written
 
 BLOCK, PERIOD, TEMPERATURE, SALT_ROWS, PLAN_ROWS = 16, 1024, 0.7, 20_000, 8_192
 NULL_SOURCE = "\u0000null"
 
 
-def integer_weights(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Weights of 1 or more that sum to the period (or to the number of sources): largest remainders."""
-    total = sum(weights.values())
-    exact = {s: w / total * max(period, len(weights)) for s, w in weights.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: max(0, period - sum(out.values()))]:
-        out[s] += 1
-    while sum(out.values()) > max(period, len(out)):
-        out[max(out, key=lambda s: (out[s] - exact[s] if out[s] > 1 else -1e9, s))] -= 1
-    return out
-
-
-def edf_period(parts: dict[str, int], have: dict[str, int] | None = None) -> list[tuple[str, int, int]]:
-    """(source, block, slot) of one period for integer weights. have: blocks left where fewer than the weight; their
-    slots are used up by who is next."""
-    total = sum(parts.values())
-    windows = []
-    for s, a in parts.items():
-        for k in range(a if have is None else min(a, have[s])):
-            windows.append(((k * total) // a, -(-(k + 1) * total // a), s, k))
-    windows.sort()
-    out, ready, at, slot = [], [], 0, 0
-    while at < len(windows) or ready:
-        if not ready and windows[at][0] > slot and have is None:
-            slot = windows[at][0]
-        while at < len(windows) and (windows[at][0] <= slot or (not ready and have is not None)):
-            release, due, s, k = windows[at]
-            heapq.heappush(ready, (due, s, k))
-            at += 1
-        _, s, k = heapq.heappop(ready)
-        out.append((s, k, slot))
-        slot += 1
-    return out
-
-
-def schedule(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> list[dict]:
-    """The plan: for each source and stretch of periods, the first block, the blocks a period, how many periods,
-    the first slot, the slots a period and the slots within one."""
-    left = {s: n for s, n in blocks.items() if n > 0}
-    out, base = [], 0
-    rank = {s: weights[s] > 0 for s in left}
-    done = dict.fromkeys(left, 0)
-    while left:
-        active = [s for s in left if rank[s]] or list(left)
-        parts = integer_weights({s: weights[s] if rank[s] else 1.0 for s in active}, period)
-        total = sum(parts.values())
-        times = min(left[s] // parts[s] for s in active)
-        if times:
-            slots = {}
-            for s, k, slot in edf_period(parts):
-                slots.setdefault(s, []).append((k, slot))
-            length = total
-        else:
-            times, slots = 1, {}
-            got = edf_period(parts, {s: left[s] for s in active})
-            for s, k, slot in got:
-                slots.setdefault(s, []).append((k, slot))
-            length = len(got)
-        for s, own in slots.items():
-            n = len(own)
-            out.append({"source": s, "start": done[s], "each": n, "times": times, "base": base, "length": length, "slots": [slot for _, slot in sorted(own)]})
-            done[s] += n * times
-            left[s] -= n * times
-        base += length * times
-        left = {s: n for s, n in left.items() if n > 0}
-    return out
-
-
 def _windows(own: int, blocks: int, ends: list[tuple[int, int]], before: int = 0):
     """(release, due) of each block of a source of integer weight own. ends: (blocks, weight) of all sources by the time they
     run out."""
@@ -148,11 +80,12 @@ def mix(docs: DataFrame, targets: dict[str, float] | None = None, id_col: str =
     """id, source, block, place (within the block), and slot (of the block) for each row: the mix is the order of (slot, place)."""
     spark = docs.sparkSession
     rows = docs.select(keyed(id_col).alias("_id"), F.coalesce(F.col(source_col).cast("string"), F.lit(NULL_SOURCE)).alias("_source"))
-    rows = rows.withColumn("_group", F.col("_source"))
-    rows = written(rows, "mix-rows")
+    # rows without an id are told apart by a number that is written with them
+    number = F.when(F.col("_id") == NULL_ID, F.monotonically_increasing_id()).otherwise(0)
+    rows = written(rows.withColumns({"_group": F.col("_source"), "_number": number}), "mix-rows")
     total = rows.count()
     salts = max(16, -(-total // SALT_ROWS))
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(salts)))
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_id", F.lit(11), "_number"), F.lit(salts)))
     cells = written(rows.groupBy("_group", "_salt").agg(F.count("*").alias("n")), "mix-cells")
     sizes = {r["_group"]: r["n"] for r in cells.groupBy("_group").agg(F.sum("n").alias("n")).collect()}
     given = targets or {s: n**TEMPERATURE for s, n in sizes.items()}
@@ -163,7 +96,7 @@ def mix(docs: DataFrame, targets: dict[str, float] | None = None, id_col: str =
     # ranks: within a cell, then over the cells of a source
     before = F.coalesce(F.sum("n").over(Window.partitionBy("_group").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = cells.select("_group", "_salt", before.alias("_before"))
-    w = Window.partitionBy("_group", "_salt").orderBy(F.xxhash64("_id", F.lit(11)), "_id", "_source")
+    w = Window.partitionBy("_group", "_salt").orderBy(F.xxhash64("_id", F.lit(11), "_number"), "_id", "_source")
     ranked = rows.withColumn("_rank", F.row_number().over(w) - 1).join(offsets, ["_group", "_salt"])
     ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_before")).withColumns({"_block": F.floor(F.col("_rank") / block).cast("long"), "_place": (F.col("_rank") % block).cast("int")})
     # rows of `period` slots, found by source and number
@@ -178,14 +111,3 @@ def _plan_table(spark: SparkSession, plan: dict[str, array], period: int) -> Dat
     rows = [(s, k // period, slots[k : k + period].tolist()) for s, slots in plan.items() for k in range(0, len(slots), period)]
     return spark.createDataFrame(rows, "_group string, _part long, slots array<long>")
 
-
-def lag_bound(plan: list[dict], weights: dict[str, int]) -> Fraction:
-    """Largest deviation in blocks of any source from its share over the first stretch of a plan; less than 1."""
-    first = [p for p in plan if p["base"] == 0]
-    total = sum(weights.values())
-    at = sorted((slot, p["source"]) for p in first for slot in p["slots"])
-    got, worst = dict.fromkeys(weights, 0), Fraction(0)
-    for t, (_, s) in enumerate(at, 1):
-        got[s] += 1
-        worst = max(worst, *(abs(got[x] - Fraction(a * t, total)) for x, a in weights.items()))
-    return worst
