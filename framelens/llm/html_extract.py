@@ -12,7 +12,8 @@ a Spark-side model is fitted once on the driver from at most TRAIN_PAGES of them
 
 Defined cases: null or empty html has the text ""; unclosed, unopened and wrongly nested tags are closed where
 their parent ends, an open head where something comes that can't stand in it; head, scripts, styles, templates and comments have no text; rows that repeat a page_id get
-a row each; an empty table gives no rows; pages of any size and depth are handled without recursion.
+a row each; an empty table gives no rows; pages of any size and depth are handled without recursion, in time linear in
+the page.
 """
 
 from __future__ import annotations
@@ -66,6 +67,12 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     nodes = [Node(-1, "html", "none", None)]
     texts: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements with the block that holds their text
+    places: dict[str, list[int]] = {}  # of each name's open elements in the stack, so that no tag has to search it
+
+    def last(*tags: str) -> int:
+        """Place of the innermost open element of these names; 0 if there is none."""
+        return max((p[-1] for t in tags if (p := places.get(t))), default=0)
+
     silent, links, at, n = 0, 0, 0, len(page)
 
     def say(raw: str) -> None:
@@ -85,6 +92,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         nonlocal silent, links
         while len(stack) > to:
             tag, _ = stack.pop()
+            places[tag].pop()
             silent -= tag in SILENT
             links -= tag == "a"
             if tag in BLOCK and stack:
@@ -104,34 +112,25 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         tag = tag.lower()
         if end:
-            where = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            if where:
+            if where := last(tag):
                 close(where)
             elif tag == "p" or tag == "br":
                 texts.append((stack[-1][1], BREAK))
             continue
-        if tag in ("html", "body") and any(t == tag for t, _ in stack) or tag == "html":
+        if tag == "html" or tag == "body" and last("body"):
             continue
-        if tag not in HEAD:
-            where = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "head"), 0)
-            inside = {t for t, _ in stack[where:]}
-            if where and "template" not in inside and (tag == "body" or "noscript" not in inside):
-                close(where)
+        if tag not in HEAD and (where := last("head")) and last("template") < where and (tag == "body" or last("noscript") < where):
+            close(where)
         if tag in VOID:
             if tag in ("br", "hr", "wbr") and not silent and tag != "wbr":
                 texts.append((stack[-1][1], BREAK))
             continue
         if tag in CLOSES_P:
-            where = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "p"), 0)
-            if where and not any(t in ("td", "th", "table", "button", "object") for t, _ in stack[where:]):
+            where = last("p")
+            if where and last("td", "th", "table", "button", "object") < where:
                 close(where)
-        if tag in SELF_CLOSING:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in SCOPE[tag]:
-                    break
-                if stack[i][0] in SELF_CLOSING[tag]:
-                    close(i)
-                    break
+        if tag in SELF_CLOSING and (where := last(*SELF_CLOSING[tag])) > last(*SCOPE[tag]):
+            close(where)
         own = stack[-1][1]
         if tag in BLOCK and not silent:
             attrs = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(rest)} if "=" in rest else {}
@@ -139,6 +138,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             nodes.append(Node(own, tag, hints(attrs), nodes[own].label if said is None else int(said == "1")))
             own = len(nodes) - 1
             texts.append((own, BREAK))
+        places.setdefault(tag, []).append(len(stack))
         stack.append((tag, own))
         silent += tag in SILENT
         links += tag == "a"
