@@ -7,21 +7,25 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 #: A null id is worked on as this id, smaller than any other, and given back as null.
 NULL_ID = -(2**63)
 
-#: Most rows that an explicitly broadcast side of two or three narrow columns may have (about 64 MB).
-BROADCAST_ROWS = 2_000_000
+#: Most rows and bytes that an explicitly broadcast side may have.
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where driver and executors are one process
+    (tests) may it be unset; it is a local one then."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         sc = spark.sparkContext
         base = sc.getCheckpointDir()
         if not base:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="framelens-"))
             base = sc.getCheckpointDir()
     return f"{base.rstrip('/')}/framelens-{spark.sparkContext.applicationId}"
@@ -49,9 +53,27 @@ def unkeyed(col: str) -> Column:
     return F.when(F.col(col) != F.lit(NULL_ID), F.col(col))
 
 
-def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True if df, a written table, has at most so many rows: only then may it be broadcast."""
-    return df.limit(rows + 1).count() <= rows
+def _width(c: Column, kind: DataType) -> Column:
+    """Bytes of a value, about: 16 for it and its place in a row, and what it holds."""
+    if isinstance(kind, (StringType, BinaryType)):
+        own = F.octet_length(c)
+    elif isinstance(kind, StructType):
+        own = sum((_width(c[f.name], f.dataType) for f in kind.fields), F.lit(0))
+    elif isinstance(kind, ArrayType):
+        own = F.aggregate(c, F.lit(0), lambda s, x: s + _width(x, kind.elementType).cast("int"))
+    elif isinstance(kind, MapType):
+        own = 64 * F.size(c)
+    else:
+        own = F.lit(0)
+    return 16 + F.coalesce(own, F.lit(0))
+
+
+def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """True if df, a written table, has at most so many rows and bytes: only then may it be broadcast."""
+    if df.limit(rows + 1).count() > rows:
+        return False
+    width = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16))
+    return (df.agg(F.sum(width.cast("long"))).first()[0] or 0) <= size
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str, rows: int = BROADCAST_ROWS) -> DataFrame:
