@@ -3,6 +3,8 @@ repeated rows, clashing columns, and on empty tables."""
 
 import hashlib
 import random
+import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -12,6 +14,8 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SF
+
 WS = " \t\n\x0b\x0c\r"
 SCHEMA = "doc_id long, text string, lang string, source string, n_lines string, h int, _id int"
 
@@ -115,16 +119,39 @@ def test_components(spark):
 def test_media(docs, none, rows):
     from framelens.llm import media
 
-    got = table(media.payload_facts(docs).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32"))
+    got = table(media.payload_facts(docs).drop("n_chunks"))
     want = []
     for i, t, *_ in rows:
         b = (t or "").encode()
         p = b + bytes(-len(b) % 64 or (0 if b else 64))
-        want.append((i, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])))
+        head, start = b"CDC1" + struct.pack("<QQ", len(p), len(ends := media.cuts(p))), 0
+        for end in ends:
+            head += hashlib.sha256(p[start:end]).digest() + struct.pack("<I", end - start)
+            start = end
+        nibbles = Counter(x >> 4 for x in p)
+        feature = "h=" + ",".join(str(nibbles[k]) for k in range(16)) + f";e={sum(x * x for x in p)};c={sum(x != y for x, y in zip(p, p[1:]))}"
+        want.append((i, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(head) + len(p), hashlib.sha256(head + p).hexdigest(), feature))
     assert got == sorted(want, key=repr)
+    assert max(len(media.cuts(media.pad((t or "").encode()))) for _, t, *_ in rows) > 1
     assert media.payload_facts(none).count() == 0
 
 
+def test_media_tampering(spark, docs):
+    from framelens.llm import media
+
+    recipes, path = media.store_payloads(docs)
+    assert media.read_payloads(recipes, path).count() > 0
+    store = spark.read.schema(media.STORE).parquet(path)
+    changes = {"data": F.overlay("data", F.unhex(F.lit("00")), F.lit(1)), "head": F.overlay("head", F.unhex(F.lit("07")), F.lit(5))}
+    for col, changed in changes.items():
+        bad = path + "-" + col
+        store.withColumn(col, changed).write.parquet(bad)
+        with pytest.raises(Exception, match="does not match its digest|does not fit its chunks"):
+            media.read_payloads(recipes, bad).collect()
+    with pytest.raises(ValueError):
+        media.facts(media.container_head([(b"x" * 32, 64)]), [(hashlib.sha256(bytes(64)).digest(), bytes(64))])
+
+
 def test_gear_cuts_follow_content():
     from framelens.llm import media
 
@@ -162,6 +189,15 @@ def test_toxicity(spark, docs, none):
     assert right >= 0.95 * len(labels)
     s = T.Scorer(model)
     assert s.score("you are a loathsme wreched person") > s.score("you are a person") and 0 <= s.score("") <= 1
+    # misspelled and quoted forms against the term aimed at someone, in each language
+    for aimed, report in (("you are a wretched person", 'she said the word "wretched" was wrong'), ("du bist ein wretched mensch", "er schrieb das wort „wretched“ in dem text"),
+                          ("tu es un wretched homme", "il a écrit le mot « wretched » dans un texte"), ("eres un wretched hombre tú", "escribió la palabra «wretched» en un texto")):
+        assert s.score(aimed) > s.score(report)
+        slip = aimed.replace("wretched", "wretchd")
+        assert s.score(aimed) >= s.score(slip) > s.score(aimed.replace("wretched", "kindly"))
+    again = T.fit(train.repartition(7), lab.repartition(5))
+    assert (again.terms, again.stems, again.exceptions, again.report, again.address) == (model.terms, model.stems, model.exceptions, model.report, model.address)
+    assert np.allclose(again.weights, model.weights)
     out = T.score(docs.withColumn("score", F.lit("clash")), model)
     assert out.count() == docs.count() and out.where("score IS NULL").count() == 0
     assert T.score(none, T.fit(none, lab)).count() == 0
@@ -201,6 +237,12 @@ def test_warc(spark):
         r = got[i, hashlib.sha256(b).hexdigest()[:6]]
         later = h == big and i != 1
         assert (r["payload_bytes"], r["record_type"], r["refers_to"]) == (len(b), "revisit" if later else "response", 1 if later else None)
+    # exact repeats, a long payload in a file of its own, columns of clashing names
+    long = "ü" * 200_000
+    again = spark.createDataFrame([(i, u, h, k, "x") for k, (i, u, h) in enumerate([*data, *data, data[0], (20, "l", long), (21, "m", long)])], "page_id long, url string, html string, _id int, type string")
+    got = warc.capture_facts(again.repartition(3)).collect()
+    assert len(got) == 2 * len(data) + 3 and all(r["verified"] and r["has_request"] for r in got)
+    assert sorted(r["refers_to"] for r in got if r["record_type"] == "revisit") == [1] * 5 + [20]
     assert warc.capture_facts(pages.limit(0)).count() == 0
     with pytest.raises(ValueError):
         list(warc.parse_file(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort\r\n\r\n"))
@@ -218,8 +260,39 @@ def test_bpe(docs, none, rows):
     got = sorted(((r["doc_id"], list(r["ids"]), bytes(r["decoded"])) for r in bpe.encode_decode(docs, path, P.PATTERN).collect()), key=repr)
     assert got == want
     assert bpe.encode_decode(none, path, P.PATTERN, digests_only=True).count() == 0
-    for w in (b"a" * 700, b" " * 600, "éñ".encode() * 300, b"abcabcabd" * 80):
-        assert bpe.heap_merge(w, ranks) == enc.encode_single_token(w) if w in ranks else enc._encode_single_piece(w)
+    # long words by the fold and by the heap, against the library's own merges of one piece
+    words = [b"a" * 150, "éñ".encode() * 40, b"abcabcabd" * 15, "".join(random.Random(5).choice("abcdeéñ") for _ in range(120)).encode()]
+    few = docs.sparkSession.createDataFrame([(k, w.decode()) for k, w in enumerate(words)], "doc_id long, text string")
+    one = [enc._encode_single_piece(w) for w in words]
+    assert [bpe.heap_merge(w, ranks) for w in words] == one
+    assert bpe.heap_merge(b"abcabcabd" * 800, ranks) == enc._encode_single_piece(b"abcabcabd" * 800)
+    for long_word in (4, 512):
+        got = {r["doc_id"]: list(r["ids"]) for r in bpe.encode_decode(few, path, P.PATTERN, long_word=long_word).collect()}
+        assert [got[k] for k in range(len(words))] == one
+    before = dict(docs.sparkSession.conf.getAll)
+    bpe.encode_decode(docs, path, P.PATTERN).count()
+    assert before == dict(docs.sparkSession.conf.getAll)
+
+
+def test_bpe_classes(spark):
+    """Every code point is of the library's class; those whose class differs from the JVM's, and common ones, are split
+    before, after and between letters, digits, marks and spaces as the library does."""
+    import tiktoken
+
+    from framelens.llm import bpe
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    every, other = set(map(ord, bpe._every())), set(range(0x2100)) | set(range(0x3000, 0x3100))
+    for name in (r"\p{L}", r"\p{N}"):
+        here, there = bpe.java_class(spark, name), bpe.library_class(name)
+        inside, outside = bpe._member(name, there - here, here - there)
+        assert bpe.java_class(spark, inside) == there and bpe.java_class(spark, outside) == every - there
+        other |= {c + k for c in here ^ there for k in (-1, 0, 1)}
+    points = sorted(other & every)
+    rows = [(k, "".join(f"a{chr(c)}1{chr(c)}{chr(c)} {chr(c)}.{chr(c)} \n" for c in points[k : k + 256])) for k in range(0, len(points), 256)]
+    got = {r["doc_id"]: list(r["ids"]) for r in bpe.encode_decode(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), path, P.PATTERN).collect()}
+    assert all(got[k] == enc.encode_ordinary(t) for k, t in rows)
 
 
 def test_token_counts(docs, none, rows):
@@ -248,10 +321,37 @@ def test_html():
     assert right >= 0.8 * len(held)
     assert model.extract(None) == "" == model.extract("")
     assert "kept" in model.extract("<article><p>This text is kept here, it is long enough.<p>And so is this.")
-    model.extract("<div>" * 20_000 + "deep")
+    began = time.time()
+    for deep in ("<div>" * 60_000, "<b>" * 60_000, "<p><button>" + "<div>" * 60_000, "<ul><li>" * 30_000, "<span><p>" * 30_000, "<table><tr><td>" * 20_000):
+        model.extract(deep + "deep")
+        model.extract(deep + "deep" + deep.replace("<", "</"))
+    assert time.time() - began < 60
     model.extract("<a <b> '\"<!-- open")
 
 
+def test_html_on_spark(spark):
+    import html
+    import re
+
+    from framelens.llm import html_extract as H
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    # by hand: these pages hold one article element and nothing else in it
+    want = {}
+    for r in pages.collect():
+        inner = re.search("<article>(.*?)</article>", r["html"], re.S).group(1)
+        want[r["page_id"]] = " ".join(html.unescape(re.sub("<[^>]*>", lambda m: "" if re.match("</?[ab][ >]", m.group()) else " ", inner)).split())
+    got = {r["page_id"]: r for r in H.main_text(pages).collect()}
+    same = sum(got[i]["text"] == t for i, t in want.items())
+    assert same >= 0.98 * len(want) and all(r["n_chars"] == len(r["text"]) for r in got.values())
+    odd = [(None, "u", "<article><p>Some text stands here, it is quite long.</p></article>", "c"), (1, None, None, "c"), (1, None, None, "c"), (2, "", "", "c"), (3, "v", "<div>" * 5000, "c")]
+    out = H.main_text(spark.createDataFrame(odd, "page_id long, url string, html string, text string"))
+    assert out.columns == ["page_id", "url", "text", "n_chars"]
+    assert table(out)[:4] == sorted([(1, None, "", 0), (1, None, "", 0), (2, "", "", 0), (3, "v", "", 0)], key=repr)
+    assert [r["text"] for r in out.where("page_id IS NULL").collect()] == ["Some text stands here, it is quite long."]
+    assert H.main_text(pages.limit(0)).count() == 0
+
+
 def test_marginals_against_enumeration():
     import itertools
 
@@ -305,6 +405,14 @@ def test_binomial_tail(spark):
         assert r["p"] == pytest.approx(exact, rel=1e-6)
 
 
+def test_names_of_texts(spark):
+    """Texts whose names meet get others."""
+    from framelens.llm import ngram_join as N
+
+    texts = spark.range(50).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("_key"))
+    assert N._named(texts).select("id").distinct().count() == 50
+
+
 def test_mixing(docs, none, rows):
     from framelens.llm import mixing as M
 
@@ -312,14 +420,3 @@ def test_mixing(docs, none, rows):
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in got) == sorted((i is None, i) for i, *_ in rows)
     assert len({(r["slot"], r["place"]) for r in got}) == len(rows)
     assert M.mix(none).count() == 0
-    rng = random.Random(4)
-    for _ in range(40):
-        w = {f"s{i}": rng.random() ** 3 + 0.001 for i in range(rng.randint(1, 9))}
-        parts = M.integer_weights(w, 64)
-        total = sum(parts.values())
-        for s, k, t in M.edf_period(parts):
-            assert k * total // parts[s] <= t < -(-(k + 1) * total // parts[s])
-        assert M.lag_bound(M.schedule(dict.fromkeys(w, 10**6), w, 64), parts) < 1
-        blocks = {s: rng.randint(0, 300) for s in w}
-        slots = [p["base"] + j // p["each"] * p["length"] + p["slots"][j % p["each"]] for p in M.schedule(blocks, w, 64) for j in range(p["each"] * p["times"])]
-        assert sorted(slots) == list(range(sum(blocks.values())))

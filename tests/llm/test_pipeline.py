@@ -40,6 +40,24 @@ def test_pipeline(spark):
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
 
 
+def test_rows_of_one_id(spark):
+    """Repeated and null ids, clashing columns: what goes is a copy, what stays is whole."""
+    import corpus_pipeline as c
+
+    words = [" ".join(f"{x}{(k * k + i) % 97}" for i in range(80)) for k, x in enumerate("tuvw")]
+    t, u, v, w = words
+    rows = [(3, t), (8, t), (8, u), (8, u), (9, t + " more"), (None, v), (None, w), (5, v), (6, None), (7, ""), (7, "")]
+    docs = spark.createDataFrame([(i, x, "en", "a", 0, k, "s") for k, (i, x) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, _id int, score string")
+    got = c.drop_near_copies(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted([(3, t), (8, u), (None, v), (None, w), (6, None)], key=repr)
+    for stage in (c.drop_toxic, c.mix_sources, c.drop_repeated_lines):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        kept = sorted(((r["doc_id"], r["_id"], r["score"]) for r in out.collect()), key=repr)
+        assert kept == sorted(((i, k, "s") for k, (i, _) in enumerate(rows)), key=repr)
+
+
 def test_empty(spark):
     import corpus_pipeline as c
 
