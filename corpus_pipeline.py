@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelens.llm import bpe, line_dedup, mixing, ngram_join, toxicity
-from framelens.llm.common import join_small, written
+from framelens.llm.common import join_small, keyed, written
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
@@ -20,32 +20,44 @@ TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 ORACLE_SQL = None
 
 
+def _kept_aside(docs: DataFrame, *more, leave: tuple[str, ...] = ()) -> DataFrame:
+    """Each row, but what is to be left out, as the struct _row, so that none of its columns meets those of a stage, and the
+    columns that the stage needs."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in leave]).alias("_row"), *more)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the fitted model calls toxic go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.fit(docs.select("doc_id", "text"), labels)
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    return toxicity.score(_kept_aside(docs, "text"), model).where("predicted = 0").select("_row.*")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document has go; n_chars follows the text. A document that loses all lines stays, empty."""
-    out = line_dedup.dedup_lines(docs)
     cols = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
-    return out.select(*[cols[c].alias(c) if c in cols else F.col(c) for c in docs.columns])
+    out = line_dedup.dedup_lines(_kept_aside(docs, "doc_id", "text", leave=tuple(cols)))
+    return out.select(*[(cols[c] if c in cols else F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of smallest id stays."""
-    classes = ngram_join.near_duplicates(docs.select("doc_id", "text"))
-    others = written(classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct(), "near-copies")
-    return join_small(docs, others, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies one row stays, that of smallest id. Rows are known by id and text, as ids may
+    repeat; of rows that repeat both, which are copies, any one stays."""
+    found = written(ngram_join.near_duplicates(docs.select("doc_id", "text")).select(keyed().alias("_id"), F.col("text_hash").alias("_tx"), "is_first"), "near-copies")
+    key = ["_id", "_tx"]
+    others = written(found.where("NOT is_first").select(*key).distinct(), "other-copies")
+    rows = _kept_aside(docs, keyed().alias("_id"), ngram_join.row_hash(F.col("text")).alias("_tx"))
+    out = join_small(rows, others, key, "left_anti")
+    if not found.where("is_first").groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        out = out.dropDuplicates(key)
+    return out.select("_row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the mix: the files of the result follow each other slot by slot."""
-    order = mixing.mix(docs.select("doc_id", "source")).groupBy("doc_id").agg(F.min(F.struct("slot", "place")).alias("_at"))
-    out = docs.join(order, docs["doc_id"].eqNullSafe(order["doc_id"]), "left").drop(order["doc_id"])
-    return out.repartitionByRange("_at").sortWithinPartitions("_at").select(*docs.columns)
+    order = mixing.mix(docs.select("doc_id", "source")).groupBy(keyed().alias("_id")).agg(F.min(F.struct("slot", "place")).alias("_at"))
+    out = _kept_aside(docs, keyed().alias("_id")).join(order, "_id", "left")
+    return out.repartitionByRange("_at").sortWithinPartitions("_at").select("_row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
