@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def quoted(term: str) -> str:
+    """A term as a pattern that matches itself."""
+    return re.sub(r"([^\w\s])", r"\\\1", term)
+
+
 def bounded_lexicon(text: Column, terms: list[str]) -> Column:
     """True where a term stands in text with no ASCII letter on either side, in any letter case."""
-    alternatives = "|".join(t.replace(".", r"\.") for t in terms)
+    alternatives = "|".join(map(quoted, terms))
     return text.rlike(rf"(?iu)(^|[^\p{{Alpha}}])({alternatives})([^\p{{Alpha}}]|$)")
 
 
@@ -56,10 +63,16 @@ def bound(value: Column, body) -> Column:
 
 
 def inverted(df: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """(id, index): JSON inverted index {token: [positions]} of the text split at white space; linear in the words."""
-    words = df.select(id_col, F.posexplode(F.split(squeeze(text), " ")).alias("p", "w"))
-    lists = words.groupBy(id_col, "w").agg(F.array_sort(F.collect_list("p")).alias("p"))
-    return lists.groupBy(id_col).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("w", "p")))).alias("index"))
+    """(id, index): JSON inverted index {token: [positions]} of the text split at white space. Each row by itself, without a
+    shuffle: the words are sorted with their positions, and each run of a word is one entry."""
+    z = F.array_sort(F.transform(F.split(squeeze(text), " "), lambda w, p: F.struct(w.alias("w"), p.alias("p"))))
+
+    def entries(z: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(z) - 1), lambda k: (k == 0) | (F.get(z, k - 1)["w"] != z[k]["w"]))
+        end = lambda s, i: F.coalesce(F.get(s, i + 1), F.size(z)) - 1
+        return bound(starts, lambda s: F.transform(s, lambda at, i: F.struct(z[at]["w"].alias("w"), F.transform(F.sequence(at, end(s, i)), lambda k: z[k]["p"]).alias("p"))))
+
+    return df.select(id_col, F.to_json(F.map_from_entries(bound(z, entries))).alias("index"))
 
 
 def deinvert(index: Column) -> Column:
@@ -80,7 +93,9 @@ def tokens(text: Column) -> Column:
 
 
 def pg_array(a: Column) -> Column:
-    return F.concat(F.lit("{"), F.array_join(F.transform(a, lambda x: F.concat(F.lit('"'), x, F.lit('"'))), ","), F.lit("}"))
+    """Array literal of PostgreSQL: elements in quotes, quotes and backslashes in them escaped, a null element as NULL."""
+    item = lambda x: F.coalesce(F.concat(F.lit('"'), F.regexp_replace(x, r'(["\\])', r"\\$1"), F.lit('"')), F.lit("NULL"))
+    return F.concat(F.lit("{"), F.array_join(F.transform(a, item), ","), F.lit("}"))
 
 
 def packed_scores(scores: Column) -> Column:

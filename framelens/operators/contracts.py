@@ -28,3 +28,44 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> Dat
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
     kept = [c for c in old.columns if c not in keys]
     return both.groupBy(*keys).agg(F.max_by(F.struct(*kept), F.struct(version, "_new")).alias("r")).select(*keys, "r.*")
+
+
+def replace_versions(old: DataFrame, new: DataFrame, version: str) -> DataFrame:
+    """Rows of old whose version new doesn't have, and all rows of new."""
+    return old.join(new.select(version).distinct(), version, "left_anti").select(*old.columns).unionByName(new)
+
+
+def activated(registry: DataFrame, rows: DataFrame, version: str, chosen) -> DataFrame:
+    """registry with `chosen` active and all others not. Refused where its rows aren't as many as row_count says."""
+    said = [r["row_count"] for r in registry.where(F.col(version) == chosen).select("row_count").collect()]
+    have = rows.where(F.col(version) == chosen).count()
+    if said != [have]:
+        raise ValueError(f"version {chosen!r} has {have} rows, its registry says {said}")
+    return registry.withColumn("active", F.col(version) == chosen)
+
+
+def among(df: DataFrame, column: str, values: list) -> DataFrame:
+    """Rows whose value is in a list given as a parameter; null is in no list."""
+    some = sorted({v for v in values if v is not None})
+    given = df.sparkSession.createDataFrame([(v,) for v in some], df.select(column).schema)
+    return df.join(given, column, "left_semi").select(*df.columns)
+
+
+def inventory(df: DataFrame, part: str, id_col: str) -> DataFrame:
+    """Rows, bounds and ordered digest of each part: SHA-256 over the ids in order, each after its length as 4 big-endian
+    bytes. A part is of bounded size, as its ids are brought together."""
+    own = F.col(id_col).cast("string")
+    framed = F.concat(F.lpad(F.hex(F.octet_length(own).cast("long")), 8, "0"), F.hex(own.cast("binary")))
+    g = df.groupBy(part).agg(F.count("*").alias("rows"), F.min(id_col).alias("first"), F.max(id_col).alias("last"), F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("i"), framed.alias("f")))).alias("ids"))
+    return g.select(part, "rows", "first", "last", F.sha2(F.unhex(F.array_join(F.transform("ids", lambda x: x["f"]), "")), 256).alias("digest"))
+
+
+def differing(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Ids that only one side has, each with the side that lacks it."""
+    x, y = a.select(key).distinct().withColumn("_a", F.lit(1)), b.select(key).distinct().withColumn("_b", F.lit(1))
+    return x.join(y, key, "outer").where("_a IS NULL OR _b IS NULL").select(key, F.when(F.col("_a").isNull(), "first").otherwise("second").alias("missing_in"))
+
+
+def unserved(df: DataFrame, fields: list[str]) -> list[str]:
+    """Fields that df has no column for, sorted."""
+    return sorted(set(fields) - set(df.columns))

@@ -28,9 +28,12 @@ def draw(df: DataFrame, id_col: str, seed: str, by: list[str], n: int) -> DataFr
 
 
 def chunks(df: DataFrame, id_col: str, seed: str, size: int) -> DataFrame:
-    """A chunk number for each row of a bounded sample, in hash order."""
-    w = Window.orderBy(order_key(id_col, seed), id_col)
-    return df.withColumn("chunk", (F.floor((F.row_number().over(w) - 1) / size) + 1).cast("int"))
+    """A chunk number for each row, in hash order: ranks within cells of the hash, after the counts of the cells before."""
+    keyed = df.withColumn("_cell", F.substring(order_key(id_col, seed), 1, 3))
+    before = F.sum("_in").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))  # at most 4,096 cells
+    cells = keyed.groupBy("_cell").agg(F.count("*").alias("_in")).select("_cell", F.coalesce(before, F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_cell").orderBy(order_key(id_col, seed), id_col)) - 1 + F.col("_before")
+    return keyed.join(F.broadcast(cells), "_cell").withColumn("chunk", (F.floor(rank / size) + 1).cast("int")).drop("_cell", "_before")
 
 
 def group_fold(group: Column, k: int) -> Column:

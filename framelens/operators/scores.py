@@ -69,12 +69,16 @@ def confusion(label: Column, decision: Column, weight: Column) -> list[Column]:
 
 def quota_flags(df: DataFrame, score: str, id_col: str, rate: float, by: list[str]) -> DataFrame:
     """flag: among the first bround(rate * n) rows of the group by score, then id. Groups are whole heads, so the
-    boundary row is found by a top-k on counts of distinct scores, not by sorting a head in one task."""
-    s = df.groupBy(*by, F.col(score).alias("_s")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by).orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, 0)
+    boundary row is found on the steps of distinct scores, whose totals go by ranges, not by sorting a head in one task."""
     n = df.groupBy(*by).agg(F.bround(F.count("*") * F.lit(rate)).cast("long").alias("k"))
-    at = s.withColumn("cum", F.sum("c").over(w)).join(n, by).where((F.col("cum") >= F.col("k")) & (F.col("cum") - F.col("c") < F.col("k")))
-    at = at.select(*by, F.col("_s").alias("threshold"), (F.col("k") - (F.col("cum") - F.col("c"))).alias("need"))
+    return first_rows(df, score, id_col, n, by)
+
+
+def first_rows(df: DataFrame, score: str, id_col: str, n: DataFrame, by: list[str]) -> DataFrame:
+    """flag: among the first k rows of the group by score, then id. n: by and k."""
+    s = steps(df, score, F.lit(True), F.lit(1.0), by)
+    at = s.join(n, by).where((F.col("cum") >= F.col("k")) & (F.col("cum") - F.col("ga") < F.col("k")))
+    at = at.select(*by, F.col("score").alias("threshold"), (F.col("k") - (F.col("cum") - F.col("ga"))).cast("long").alias("need"))
     tied = df.join(at, by).where(F.col(score) == F.col("threshold"))
     edge = tied.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(id_col))).where("_r = need").select(*by, F.col(id_col).alias("boundary"))
     return df.join(at.join(edge, by), by, "left").withColumn("flag", F.coalesce((F.col(score) > F.col("threshold")) | ((F.col(score) == F.col("threshold")) & (F.col(id_col) <= F.col("boundary"))), F.lit(False)))

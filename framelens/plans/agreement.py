@@ -154,11 +154,11 @@ def log_odds(spark, d):
 
 
 def permutation_p(spark, d):
-    """Share of 200 within-language shuffles, by hash order, whose agreement reaches the observed one."""
+    """Share of 2,000 within-language shuffles, by hash order, whose agreement reaches the observed one."""
     from pyspark.sql.window import Window
 
     a = arms(spark, d).where("b_quality IS NOT NULL").select("doc_id", "lang", "a_quality", "b_quality")
-    x = a.select("*", F.explode(F.sequence(F.lit(0), F.lit(200))).alias("k"))
+    x = a.select("*", F.explode(F.sequence(F.lit(0), F.lit(2000))).alias("k"))
     seat = Window.partitionBy("lang", "k")
     own = x.withColumn("seat", F.row_number().over(seat.orderBy("doc_id"))).withColumn("to", F.when(F.col("k") == 0, F.col("seat")).otherwise(F.row_number().over(seat.orderBy(F.md5(F.concat_ws("-", "doc_id", "k")), "doc_id"))))
     left, right = own.select("lang", "k", "seat", "a_quality"), own.select("lang", "k", F.col("to").alias("seat"), "b_quality")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MODULES = ["relations", "routes", "samples", "texts", "joins", "scoring", "agreement", "publishing"]
+MODULES = ["relations", "routes", "samples", "texts", "joins", "scoring", "agreement", "publishing", "records"]
 
 
 def _each(name: str) -> dict:

@@ -96,32 +96,38 @@ def nested_export(spark, d):
     return li.select("l_orderkey", F.to_json(F.struct(F.col("l_orderkey").alias("id"), "members")).alias("document"))
 
 
-def json_array_salvage(spark, d):
-    """First JSON array in noisy output that parses to the contract; attempts by turn, the first valid wins."""
-    noisy = F.concat(F.lit("note "), F.when(F.col("turn") % 2 == 0, F.lit("[broken")).otherwise(F.concat(F.lit('[{"id":"'), F.col("conv_id").cast("string"), F.lit('"}]'))), F.lit(" end"))
-    c = table(spark, d, "conversations").select("conv_id", "turn", F.regexp_extract(noisy, r"(\[\{.*?\}\])", 1).alias("raw"))
-    ok = c.withColumn("rows", F.from_json("raw", "array<struct<id:string>>")).where((F.size("rows") > 0) & F.col("rows")[0]["id"].isNotNull())
-    return ok.groupBy("conv_id").agg(F.min("turn").alias("attempt"), F.min_by("raw", "turn").alias("accepted"))
+FOLDS = 5
 
 
 def tfidf_logreg(spark, d):
-    """Out-of-fold scores of a hashed tf-idf and logistic model, folds by source. Rows only: numbers depend on the solver."""
+    """Out-of-fold scores of hashed tf-idf of words and word pairs and a logistic model with balanced classes, five folds by
+    source; a fold whose training rows have one class gets that class. Rows only: numbers depend on the solver."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
+    from pyspark.ml.feature import IDF, HashingTF, NGram, Normalizer, RegexTokenizer, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     data = table(spark, d, "documents").select("doc_id", "text", "source").join(table(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
-    data = data.withColumn("fold", F.pmod(F.conv(F.substring(F.md5("source"), 1, 4), 16, 10).cast("int"), F.lit(2)))
+    data = data.withColumn("fold", F.pmod(F.conv(F.substring(F.md5("source"), 1, 4), 16, 10).cast("int"), F.lit(FOLDS)))
+    counts = {(r["fold"], r["label"]): r["count"] for r in data.groupBy("fold", "label").count().collect()}
     out = None
-    for k in range(2):  # the vocabulary weights are fitted without the fold they score
-        steps = [RegexTokenizer(inputCol="text", outputCol="w", pattern=r"\W+"), HashingTF(inputCol="w", outputCol="tf", numFeatures=1 << 14), IDF(inputCol="tf", outputCol="features"), LogisticRegression(maxIter=10, regParam=0.1)]
-        got = Pipeline(stages=steps).fit(data.where(F.col("fold") != k)).transform(data.where(F.col("fold") == k)).select("doc_id", "fold", vector_to_array("probability")[1].alias("score"))
+    for k in sorted({f for f, _ in counts}):  # the vocabulary weights are fitted without the fold they score
+        n = {y: sum(c for (f, z), c in counts.items() if f != k and z == y) for y in (0.0, 1.0)}
+        train, test = data.where(F.col("fold") != k), data.where(F.col("fold") == k)
+        if not all(n.values()):
+            got = test.select("doc_id", "fold", F.lit(float(n[1.0] > 0)).alias("score"))
+        else:
+            steps = [RegexTokenizer(inputCol="text", outputCol="w1", pattern=r"\W+"), NGram(n=2, inputCol="w1", outputCol="w2")]
+            for w in ("w1", "w2"):
+                steps += [HashingTF(inputCol=w, outputCol=f"{w}_tf", numFeatures=1 << 15), IDF(inputCol=f"{w}_tf", outputCol=f"{w}_idf", minDocFreq=2)]
+            steps += [VectorAssembler(inputCols=["w1_idf", "w2_idf"], outputCol="both"), Normalizer(inputCol="both", outputCol="features"), LogisticRegression(maxIter=10, regParam=0.01, weightCol="balance")]
+            balance = F.when(F.col("label") == 1, sum(n.values()) / (2 * n[1.0])).otherwise(sum(n.values()) / (2 * n[0.0]))
+            got = Pipeline(stages=steps).fit(train.withColumn("balance", balance)).transform(test).select("doc_id", "fold", vector_to_array("probability")[1].alias("score"))
         out = got if out is None else out.unionByName(got)
     return out
 
 
-QUERIES = {f.__name__: f for f in (quantize_pack, pg_arrays, permalinks, id_digest, contract_violations, chunk_contract, fk_orphans, check_enum, unique_active, upsert_last_wins, recent_window_sync, filter_agg, facet_tables, replace_columns, nested_export, json_array_salvage, tfidf_logreg)}
+QUERIES = {f.__name__: f for f in (quantize_pack, pg_arrays, permalinks, id_digest, contract_violations, chunk_contract, fk_orphans, check_enum, unique_active, upsert_last_wins, recent_window_sync, filter_agg, facet_tables, replace_columns, nested_export, tfidf_logreg)}
 _HEX = "lpad(lower(to_hex(CAST(floor(v * 65535.0::DOUBLE + 0.5::DOUBLE) AS BIGINT))), 4, '0')"
 ORACLE = {
     "quantize_pack": f"WITH x AS (SELECT vec_id, i, round(abs(embedding[i]::DOUBLE), 4) AS v FROM embeddings, (VALUES (1), (2), (3), (4)) AS t(i)) SELECT vec_id, CASE WHEN max(v) <= 1 THEN string_agg(substr({_HEX}, 3, 2) || substr({_HEX}, 1, 2), '' ORDER BY i) END AS packed FROM x GROUP BY 1",
@@ -134,6 +140,8 @@ ORACLE = {
     "check_enum": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus NOT IN ('F', 'O')",
     "unique_active": "SELECT s_nationkey, count(*) AS active FROM supplier WHERE s_acctbal > 0 GROUP BY 1 HAVING count(*) > 1",
     "upsert_last_wins": "SELECT user_id, event_type, round(value, 4) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1",
+    "recent_window_sync": "SELECT user_id, last(event_type ORDER BY ts, event_id) AS event_type, CAST(min(ts) AS VARCHAR) AS first_seen, CAST(max(ts) AS VARCHAR) AS last_seen FROM events GROUP BY 1",
+    "nested_export": "SELECT l_orderkey, '{\"id\":' || l_orderkey || ',\"members\":[' || string_agg('{\"line\":' || l_linenumber || ',\"place\":' || l_suppkey || '}', ',' ORDER BY l_linenumber, l_suppkey) || ']}' AS document FROM lineitem GROUP BY 1",
     "filter_agg": "SELECT l_returnflag, count(*) FILTER (WHERE l_discount > 0.05::DOUBLE) AS discounted, round(sum(l_quantity) FILTER (WHERE l_tax > 0.04::DOUBLE), 2) AS taxed, count(*) AS n FROM lineitem GROUP BY 1",
     "facet_tables": "SELECT 'status' AS facet, o_orderstatus AS value, CAST(count(*) AS INTEGER) AS works FROM orders GROUP BY 2 UNION ALL SELECT 'priority', o_orderpriority, CAST(count(*) AS INTEGER) FROM orders GROUP BY 2",
     "replace_columns": "SELECT c_custkey, c_name, c_nationkey, lower(c_mktsegment) AS c_mktsegment, 'v1' AS version FROM customer",

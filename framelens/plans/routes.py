@@ -83,12 +83,12 @@ def nulls_to_false(spark, d):
 
 
 def invariant_routes(spark, d):
-    """Violations of: an admitted row has a true route. No rows."""
-    admitted = flags(spark, d).where(_any())
+    """Rule: a published row has a true route. Rows that were let in without one are planted."""
+    published = flags(spark, d).where(F.coalesce(_any(), F.lit(False)) | (F.col("o_orderkey") % 97 == 0))
     p = F.lit(False)
     for r in ROUTES:
         p = p | known_true(F.col(r))
-    return admitted.where(~p).select("o_orderkey")
+    return published.agg(F.count("*").alias("checked"), F.count_if(~p).alias("violations"), F.min(F.when(~p, F.col("o_orderkey"))).alias("first"))
 
 
 def zero_probability(spark, d):
@@ -120,7 +120,7 @@ ORACLE = {
     "strata_overlap": f"WITH {_F} " + " UNION ALL ".join(f"SELECT '{a}' AS first, '{b}' AS second, count(*) FILTER (WHERE {a} AND {b}) AS n FROM f" for i, a in enumerate(_names) for b in _names[i + 1 :]),
     "partition_check": f"WITH {_F}, s AS (SELECT {_CASE} AS stratum FROM f) SELECT count(*) AS frame, count(stratum) AS covered, count(DISTINCT stratum) AS strata, count(*) - count(stratum) AS unassigned FROM s",
     "nulls_to_false": f"WITH {_F} SELECT o_orderkey, {', '.join(f'coalesce({r}, FALSE) AS {r}' for r in ROUTES)} FROM f",
-    "invariant_routes": f"WITH {_F} SELECT o_orderkey FROM f WHERE ({_ANY}) AND NOT ({' OR '.join(f'coalesce({r}, FALSE)' for r in ROUTES)})",
+    "invariant_routes": f"WITH {_F}, g AS (SELECT o_orderkey, {' OR '.join(f'coalesce({r}, FALSE)' for r in ROUTES)} AS ok FROM f) SELECT count(*) AS checked, count(*) FILTER (WHERE NOT ok) AS violations, min(o_orderkey) FILTER (WHERE NOT ok) AS first FROM g WHERE ok OR o_orderkey % 97 = 0",
     "zero_probability": f"WITH {_F} SELECT count(*) FILTER (WHERE route_venue OR route_about) AS covered, count(*) FILTER (WHERE NOT (route_venue OR route_about)) AS orphan, count(*) FILTER (WHERE (route_venue OR route_about) IS NULL) AS invisible FROM f",
     "priority_strata": "SELECT doc_id, CASE WHEN contains(lower(text), 'ation') THEN 'a_term' WHEN lang = 'fr' THEN 'b_french' WHEN n_chars > 4000 THEN 'c_long' ELSE 'd_rest' END AS stratum FROM documents WHERE text IS NOT NULL AND length(text) > 10 AND doc_id NOT IN (SELECT item_id FROM benchmark)",
 }

@@ -25,10 +25,13 @@ def hash_draw_weights(spark, d):
 
 
 def hash_extend_prefix(spark, d):
-    """Rows of the draw of 20 that the draw of 50 by the same seed lacks. None."""
+    """A draw of 20 extended to 50 by the same seed: rows of both, kept and new ones, how many were lost (none), and how many
+    weights fell."""
     docs = _docs(spark, d)
-    small, large = (sampling.draw(docs, "doc_id", SEED, ["lang"], n).select("lang", "doc_id") for n in (20, 50))
-    return small.join(large, ["lang", "doc_id"], "left_anti")
+    small, large = (sampling.draw(docs, "doc_id", SEED, ["lang"], n).select("lang", "doc_id", F.col("weight").alias(f"w{n}")) for n in (20, 50))
+    j = small.join(large, ["lang", "doc_id"], "outer")
+    a, b = F.col("w20"), F.col("w50")
+    return j.groupBy("lang").agg(F.count("w20").alias("n_old"), F.count_if(a.isNotNull() & b.isNotNull()).alias("n_kept"), F.count_if(a.isNull()).alias("n_new"), F.count_if(b.isNull()).alias("n_lost"), F.count_if(b < a - 1e-9).alias("n_lighter"))
 
 
 def certainty_sample(spark, d):
@@ -58,9 +61,12 @@ def chunk_assign(spark, d):
 
 
 def group_folds(spark, d):
-    """Five folds by source: groups in more than one fold. None."""
-    f = _docs(spark, d).select("source", sampling.group_fold(F.col("source"), 5).alias("fold"))
-    return f.groupBy("source").agg(F.count_distinct("fold").alias("folds")).where("folds > 1")
+    """Five folds by source, and the same by document, which split sources: sources, documents and split sources of each."""
+    docs = _docs(spark, d)
+    both = {"by_source": F.col("source"), "by_document": F.col("doc_id").cast("string")}
+    f = docs.select("source", F.explode(F.array(*[F.struct(F.lit(n).alias("how"), sampling.group_fold(c, 5).alias("fold")) for n, c in both.items()])).alias("x"))
+    g = f.groupBy("x.how", "source").agg(F.count("*").alias("docs"), F.count_distinct("x.fold").alias("folds"))
+    return g.groupBy("how").agg(F.count("*").alias("sources"), F.sum("docs").alias("docs"), F.count_if(F.col("folds") > 1).alias("split"))
 
 
 def group_holdout(spark, d):
@@ -85,7 +91,7 @@ _S = "e AS (SELECT vec_id, greatest(a, b, c) - least(a, b, c) AS spread, abs((a
 ORACLE = {
     "hash_draw": f"WITH {_R} SELECT lang, doc_id, CAST(draw AS INTEGER) AS draw FROM r WHERE draw <= 20",
     "hash_draw_weights": f"WITH {_R} SELECT lang, max(stratum_n) AS stratum_n, count(*) AS n, round(least(max(stratum_n), 20)::DOUBLE / max(stratum_n), 9) AS pi, round(count(*) * (max(stratum_n) / least(max(stratum_n), 20)::DOUBLE), 6) AS weight_sum FROM r WHERE draw <= 20 GROUP BY lang",
-    "hash_extend_prefix": f"WITH {_R} SELECT lang, doc_id FROM r WHERE draw <= 20 AND draw > 50",
+    "hash_extend_prefix": f"WITH {_R} SELECT lang, count(*) FILTER (WHERE draw <= 20) AS n_old, count(*) FILTER (WHERE draw <= 20) AS n_kept, count(*) FILTER (WHERE draw BETWEEN 21 AND 50) AS n_new, CAST(0 AS BIGINT) AS n_lost, count(*) FILTER (WHERE draw <= 20 AND stratum_n > 20) AS n_lighter FROM r WHERE draw <= 50 GROUP BY 1",
     "certainty_sample": f"""WITH s AS (SELECT doc_id, CASE WHEN n_chars > 8000 THEN 'long' ELSE lang END AS stratum FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5(CAST(doc_id AS VARCHAR) || '{SEED}'), doc_id) AS k, count(*) OVER (PARTITION BY stratum) AS stratum_n FROM s)
 SELECT stratum, doc_id, stratum_n, CASE WHEN stratum = 'long' THEN 1.0::DOUBLE ELSE round(stratum_n / least(stratum_n, 30)::DOUBLE, 6) END AS weight FROM r WHERE stratum = 'long' OR k <= 30""",
@@ -93,7 +99,7 @@ SELECT stratum, doc_id, stratum_n, CASE WHEN stratum = 'long' THEN 1.0::DOUBLE E
 c AS (SELECT vec_id FROM e WHERE vec_id NOT IN (SELECT vec_id FROM a UNION ALL SELECT vec_id FROM b) ORDER BY md5(CAST(vec_id AS VARCHAR) || '{SEED}'), vec_id LIMIT 20)
 SELECT vec_id, 'spread' AS why FROM a UNION ALL SELECT vec_id, 'uncertain' FROM b UNION ALL SELECT vec_id, 'hash' FROM c""",
     "chunk_assign": f"WITH {_R} SELECT doc_id, CAST((row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR) || 'chunk'), doc_id) - 1) // 25 + 1 AS INTEGER) AS chunk FROM r WHERE draw <= 40",
-    "group_folds": "SELECT source, count(*) AS folds FROM documents WHERE FALSE GROUP BY 1",
+    "group_folds": "WITH f AS (SELECT source, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 5 AS fold FROM documents), g AS (SELECT source, count(*) AS docs, count(DISTINCT fold) AS folds FROM f GROUP BY 1) SELECT 'by_source' AS how, count(*) AS sources, CAST(sum(docs) AS BIGINT) AS docs, CAST(0 AS BIGINT) AS split FROM g UNION ALL SELECT 'by_document', count(*), CAST(sum(docs) AS BIGINT), count(*) FILTER (WHERE folds > 1) FROM g",
     "group_holdout": "SELECT source, bool_or(substr(md5(source), 1, 2) < '40') AS held_out, count(*) AS docs FROM documents GROUP BY 1",
     "fixed_size_parts": "SELECT part, count(*) AS rows, min(c_custkey) AS first, max(c_custkey) AS last FROM (SELECT c_custkey, CAST((row_number() OVER (ORDER BY c_custkey) - 1) // 1000 AS INTEGER) AS part FROM customer) GROUP BY 1",
 }

@@ -44,11 +44,11 @@ def f2_low_tie(spark, d):
 
 def crossfit_f2(spark, d):
     """Threshold from the other folds, measured on the fold held out."""
-    s = long_scores(spark, d).where("arm = 'a'").withColumn("fold", (F.col("vec_id") % 3).cast("int"))
+    s = long_scores(spark, d).withColumn("fold", (F.col("vec_id") % 3).cast("int"))
     other = s.select("*", F.explode(F.array(*[F.lit(k) for k in range(3)])).alias("k")).where("fold <> k")
-    t = S.best_threshold(other, "score", F.col("positive"), _w(), 2.0, True, ["head", "k"]).withColumnRenamed("k", "fold")
-    m = s.join(t.select("head", "fold", "threshold"), ["head", "fold"]).groupBy("head", "fold").agg(F.first("threshold").alias("threshold"), *S.confusion(F.col("positive"), F.col("score") >= F.col("threshold"), _w()))
-    return m.select("head", "fold", F.round("threshold", 6).alias("threshold"), "tp", "fp", "fn", "tn")
+    t = S.best_threshold(other, "score", F.col("positive"), _w(), 2.0, True, ["arm", "head", "k"]).withColumnRenamed("k", "fold")
+    m = s.join(t.select("arm", "head", "fold", "threshold"), ["arm", "head", "fold"]).groupBy("arm", "head", "fold").agg(F.first("threshold").alias("threshold"), *S.confusion(F.col("positive"), F.col("score") >= F.col("threshold"), _w()))
+    return m.select("arm", "head", "fold", F.round("threshold", 6).alias("threshold"), "tp", "fp", "fn", "tn")
 
 
 def average_precision(spark, d):
@@ -60,18 +60,25 @@ def roc_auc_midrank(spark, d):
 
 
 def top_decile_lift(spark, d):
-    s = S.quota_flags(long_scores(spark, d).where("arm = 'a'"), "score", "vec_id", 0.1, ["head"])
-    g = s.groupBy("head").agg(F.count_if("flag").alias("n"), F.count_if(F.col("flag") & F.col("positive")).alias("hits"), F.avg(F.col("positive").cast("double")).alias("base"))
-    return g.select("head", "n", "hits", F.round(F.try_divide(F.col("hits") / F.col("n"), F.col("base")), 6).alias("lift"))
+    """Rate of positives among the first tenth (rounded down, at least one row) over the rate of all."""
+    x = long_scores(spark, d)
+    n = x.groupBy("arm", "head").agg(F.greatest(F.lit(1), F.floor(F.count("*") / 10)).cast("long").alias("k"))
+    g = S.first_rows(x, "score", "vec_id", n, ["arm", "head"]).groupBy("arm", "head").agg(F.count_if("flag").alias("n"), F.count_if(F.col("flag") & F.col("positive")).alias("hits"), F.avg(F.col("positive").cast("double")).alias("base"))
+    return g.select("arm", "head", "n", "hits", F.round(F.try_divide(F.col("hits") / F.col("n"), F.col("base")), 6).alias("lift"))
 
 
 def cut_at_n(spark, d):
     """Threshold at the 25th highest score, ties kept."""
-    s = long_scores(spark, d)
-    g = s.groupBy("arm", "head", "score").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("arm", "head").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    t = g.withColumn("cum", F.sum("c").over(w)).where(F.col("cum") - F.col("c") < 25)
-    return t.groupBy("arm", "head").agg(F.min("score").alias("threshold"), F.max("cum").alias("kept"))
+    t = S.steps(long_scores(spark, d), "score", F.lit(True), F.lit(1.0), ["arm", "head"]).where(F.col("cum") - F.col("ga") < 25)
+    return t.groupBy("arm", "head").agg(F.min("score").alias("threshold"), F.max("cum").cast("long").alias("kept"))
+
+
+def auc_without_ties(spark, d):
+    """Pairs in which the positive is strictly above, over all pairs: no credit for ties."""
+    s = S.steps(long_scores(spark, d), "score", F.col("positive"), F.lit(1.0), ["arm", "head"])
+    g = s.groupBy("arm", "head").agg(F.sum("gp").alias("p"), F.sum(F.col("ga") - F.col("gp")).alias("n"))
+    below = F.col("n") - (F.col("cum") - F.col("tp"))
+    return s.join(g, ["arm", "head"]).groupBy("arm", "head").agg(F.round(F.try_divide(F.sum(F.col("gp") * below), F.first("p") * F.first("n")), 6).alias("auc"))
 
 
 def quota_topk(spark, d):
@@ -147,19 +154,20 @@ _G = "g AS (SELECT arm, head, score, sum(CASE WHEN positive THEN weight ELSE 0 E
 _Q = f"q AS (SELECT *, row_number() OVER (PARTITION BY arm, head ORDER BY score DESC, vec_id) <= round_even(count(*) OVER (PARTITION BY arm, head) * {RATE}::DOUBLE, 0) AS flag FROM p)"
 _R = "r AS (SELECT day(ts) AS round, user_id, round(sum(value), 4) AS v FROM events WHERE day(ts) <= 8 GROUP BY 1, 2)"
 _CONF = "sum(CASE WHEN positive AND {0} THEN weight ELSE 0 END) AS tp, sum(CASE WHEN NOT positive AND {0} THEN weight ELSE 0 END) AS fp, sum(CASE WHEN positive AND NOT {0} THEN weight ELSE 0 END) AS fn, sum(CASE WHEN NOT positive AND NOT {0} THEN weight ELSE 0 END) AS tn"
-QUERIES = {f.__name__: f for f in (weighted_confusion, fbeta_threshold, f2_low_tie, crossfit_f2, average_precision, roc_auc_midrank, top_decile_lift, cut_at_n, quota_topk, hybrid_fusion, uncertainty_max, categorical_argmax, decision_nulls, round_churn, round_gate, spearman_rounds, quantile_summary)}
+QUERIES = {f.__name__: f for f in (weighted_confusion, fbeta_threshold, f2_low_tie, crossfit_f2, average_precision, roc_auc_midrank, top_decile_lift, cut_at_n, auc_without_ties, quota_topk, hybrid_fusion, uncertainty_max, categorical_argmax, decision_nulls, round_churn, round_gate, spearman_rounds, quantile_summary)}
 ORACLE = {
     "weighted_confusion": f"WITH {_P}, c AS (SELECT arm, head, {_CONF.format('score > 0')} FROM p GROUP BY 1, 2) SELECT *, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(5 * tp / nullif(5 * tp + 4 * fn + fp, 0), 6) AS f2 FROM c",
     "fbeta_threshold": f"WITH {_P}, {_G}, f AS (SELECT *, round(2 * tp / (pos + cum), 15) AS f FROM s) SELECT arm, head, round(score, 6) AS threshold, round(f, 6) AS f FROM (SELECT *, row_number() OVER (PARTITION BY arm, head ORDER BY f DESC, score DESC) AS k FROM f) WHERE k = 1",
     "f2_low_tie": f"WITH {_P}, {_G}, f AS (SELECT *, round(5 * tp / (4 * pos + cum), 15) AS f FROM s) SELECT arm, head, round(score, 6) AS threshold, round(f, 6) AS f FROM (SELECT *, row_number() OVER (PARTITION BY arm, head ORDER BY f DESC, score) AS k FROM f) WHERE k = 1",
-    "crossfit_f2": f"""WITH {_P}, a AS (SELECT *, CAST(vec_id % 3 AS INTEGER) AS fold FROM p WHERE arm = 'a'), o AS (SELECT head, k, score, sum(CASE WHEN positive THEN weight ELSE 0 END) AS gp, sum(weight) AS ga FROM a, (VALUES (0), (1), (2)) AS t(k) WHERE fold <> k GROUP BY 1, 2, 3),
-s AS (SELECT *, sum(gp) OVER w AS tp, sum(ga) OVER w AS cum, sum(gp) OVER (PARTITION BY head, k) AS pos FROM o WINDOW w AS (PARTITION BY head, k ORDER BY score DESC)),
-t AS (SELECT head, k AS fold, score AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY head, k ORDER BY round(5 * tp / (4 * pos + cum), 15) DESC, score) AS n FROM s) WHERE n = 1)
-SELECT a.head, a.fold, round(threshold, 6) AS threshold, {_CONF.format('score >= threshold')} FROM a JOIN t ON a.head = t.head AND a.fold = t.fold GROUP BY 1, 2, 3""",
+    "crossfit_f2": f"""WITH {_P}, a AS (SELECT *, CAST(vec_id % 3 AS INTEGER) AS fold FROM p), o AS (SELECT arm, head, k, score, sum(CASE WHEN positive THEN weight ELSE 0 END) AS gp, sum(weight) AS ga FROM a, (VALUES (0), (1), (2)) AS t(k) WHERE fold <> k GROUP BY 1, 2, 3, 4),
+s AS (SELECT *, sum(gp) OVER w AS tp, sum(ga) OVER w AS cum, sum(gp) OVER (PARTITION BY arm, head, k) AS pos FROM o WINDOW w AS (PARTITION BY arm, head, k ORDER BY score DESC)),
+t AS (SELECT arm, head, k AS fold, score AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY arm, head, k ORDER BY round(5 * tp / (4 * pos + cum), 15) DESC, score) AS n FROM s) WHERE n = 1)
+SELECT a.arm, a.head, a.fold, round(threshold, 6) AS threshold, {_CONF.format('score >= threshold')} FROM a JOIN t ON a.arm = t.arm AND a.head = t.head AND a.fold = t.fold GROUP BY 1, 2, 3, 4""",
     "average_precision": f"WITH {_P}, {_G} SELECT arm, head, round(sum(gp * tp / cum) / nullif(sum(gp), 0), 6) AS ap FROM s GROUP BY 1, 2",
     "roc_auc_midrank": f"WITH {_P}, {_G} SELECT arm, head, round(sum(gp * (neg - (cum - tp) + 0.5::DOUBLE * (ga - gp))) / nullif(max(pos) * max(neg), 0), 6) AS auc FROM s GROUP BY 1, 2",
-    "top_decile_lift": f"WITH {_P}, {_Q} SELECT head, count(*) FILTER (WHERE flag) AS n, count(*) FILTER (WHERE flag AND positive) AS hits, round((count(*) FILTER (WHERE flag AND positive)::DOUBLE / count(*) FILTER (WHERE flag)) / nullif(avg(CAST(positive AS DOUBLE)), 0), 6) AS lift FROM q WHERE arm = 'a' GROUP BY 1",
+    "top_decile_lift": f"WITH {_P}, q AS (SELECT *, row_number() OVER (PARTITION BY arm, head ORDER BY score DESC, vec_id) <= greatest(1, count(*) OVER (PARTITION BY arm, head) // 10) AS flag FROM p) SELECT arm, head, count(*) FILTER (WHERE flag) AS n, count(*) FILTER (WHERE flag AND positive) AS hits, round((count(*) FILTER (WHERE flag AND positive)::DOUBLE / count(*) FILTER (WHERE flag)) / nullif(avg(CAST(positive AS DOUBLE)), 0), 6) AS lift FROM q GROUP BY 1, 2",
     "cut_at_n": f"WITH {_P}, k AS (SELECT *, rank() OVER (PARTITION BY arm, head ORDER BY score DESC) AS r FROM p) SELECT arm, head, min(score) AS threshold, count(*) AS kept FROM k WHERE r <= 25 GROUP BY 1, 2",
+    "auc_without_ties": f"WITH {_P} SELECT a.arm, a.head, round(avg(CAST(a.score > b.score AS DOUBLE)), 6) AS auc FROM p a JOIN p b ON a.arm = b.arm AND a.head = b.head AND a.positive AND NOT b.positive GROUP BY 1, 2",
     "quota_topk": f"WITH {_P}, {_Q} SELECT vec_id, arm, head FROM q WHERE flag",
     "hybrid_fusion": f"WITH {_P}, {_Q}, h AS (SELECT vec_id, head, bool_or(flag) AS c, bool_and(flag) AS s, max(score) - min(score) AS spread FROM q GROUP BY 1, 2) SELECT vec_id, coalesce(string_agg('h' || CAST(head AS VARCHAR), ',' ORDER BY head) FILTER (WHERE c), '') AS candidates, coalesce(string_agg('h' || CAST(head AS VARCHAR), ',' ORDER BY head) FILTER (WHERE s), '') AS consensus, round(max(spread), 6) AS spread_max FROM h GROUP BY 1",
     "uncertainty_max": f"WITH {_P} SELECT vec_id, round(max(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE - abs(score - 0.3::DOUBLE) / CASE WHEN score < 0.3::DOUBLE THEN 0.3::DOUBLE ELSE 1.0::DOUBLE - 0.3::DOUBLE END))), 6) AS uncertainty FROM p GROUP BY 1",

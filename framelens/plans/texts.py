@@ -79,8 +79,8 @@ def strip_html(spark, d):
 
 
 def fts_title(spark, d):
-    """Full-text membership by a token table: every token of the first 80 characters, then an equi-join."""
-    t = _docs(spark, d).select("doc_id", F.explode(F.array_distinct(T.tokens(F.substring("text", 1, 80)))).alias("token"))
+    """Full-text membership by a token table of whole texts: how many documents hold each token of a search."""
+    t = _docs(spark, d).select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token"))
     return t.where(F.col("token").isin("the", "der", "la", "los")).groupBy("token").agg(F.count("*").alias("docs"))
 
 
@@ -109,14 +109,14 @@ ORACLE = {
     "facet_source": "SELECT source, CAST(count(*) AS INTEGER) AS works FROM documents WHERE source <> '' GROUP BY 1",
     "facet_topk": "SELECT p_type, CAST(count(*) AS INTEGER) AS works FROM part GROUP BY 1 ORDER BY works DESC, p_type LIMIT 10",
     "typeahead": "SELECT * FROM (SELECT p_brand, CAST(count(*) AS INTEGER) AS works FROM part GROUP BY 1) WHERE p_brand ILIKE '%#1%'",
-    "invert_index": f"WITH w AS (SELECT doc_id, string_split({_SQ.format('text')}, ' ')[1:40] AS ws FROM documents WHERE lang = 'en'), u AS (SELECT doc_id, p - 1 AS p, ws[p] AS token FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM w)) SELECT doc_id, token, CAST(count(*) AS INTEGER) AS n, string_agg(CAST(p AS VARCHAR), ',' ORDER BY p) AS positions FROM u GROUP BY 1, 2",
-    "deinvert_roundtrip": f"SELECT doc_id, nullif(array_to_string(string_split({_SQ.format('text')}, ' ')[1:200], ' '), '') AS text FROM documents",
+    "invert_index": f"WITH w AS (SELECT doc_id, string_split({_SQ.format('text')}, ' ') AS ws FROM documents), u AS (SELECT doc_id, p - 1 AS p, ws[p] AS token FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM w)) SELECT doc_id, token, CAST(count(*) AS INTEGER) AS n, string_agg(CAST(p AS VARCHAR), ',' ORDER BY p) AS positions FROM u GROUP BY 1, 2",
+    "deinvert_roundtrip": f"SELECT doc_id, nullif(array_to_string(string_split({_SQ.format('text')}, ' '), ' '), '') AS text FROM documents",
     "render_tagged": "SELECT doc_id, concat_ws(' ', CASE WHEN coalesce(substr(text, 1, 40), '') <> '' THEN 'TITLE ' || substr(text, 1, 40) END, CASE WHEN coalesce(nullif(lang, 'es'), '') <> '' THEN 'LANG ' || lang END, CASE WHEN coalesce(source, '') <> '' THEN 'SOURCE ' || source END) AS rendered FROM documents",
     "encoder_text": "SELECT doc_id, substr(text, 1, 20) || ' [SEP] ' || substr(text, 21, 30) || ' [SEP] ' || concat_ws('; ', nullif(lang, 'en'), source) AS rendered FROM documents",
     "norm_keys": "SELECT page_id, lower(replace(url, 'https://', '')) AS bare, regexp_replace(url, '.*/', '') AS suffix, coalesce(nullif(regexp_replace(url, '.*/', ''), ''), CAST(page_id AS VARCHAR)) AS fallback FROM pages",
     "truncate_text": "SELECT doc_id, CASE WHEN length(text) > 60 THEN substr(text, 1, 60) || '...' ELSE text END AS short FROM documents",
     "strip_html": f"SELECT page_id, {_SQ.format(chr(39).join(['regexp_replace(regexp_replace(html, ', '<!--.*?-->', ', ', '', ', ', 'gs', '), ', '<[^>]*>', ', ', ' ', ', ', 'g', ')']))} AS plain FROM pages",
-    "fts_title": "WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(substr(text, 1, 80)), '[^\\p{L}\\p{N}]+')) AS token FROM documents) SELECT token, count(*) AS docs FROM t WHERE token IN ('the', 'der', 'la', 'los') GROUP BY 1",
-    "top_values": "SELECT value, count(*) AS n FROM (SELECT regexp_replace(trim(unnest(string_split(regexp_replace(text, '[\\n.]', ';', 'g'), ';'))), '^\\+', '') AS value FROM documents WHERE n_chars < 400) WHERE value <> '' GROUP BY 1 ORDER BY n DESC, value LIMIT 15",
+    "fts_title": "WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS token FROM documents) SELECT token, count(*) AS docs FROM t WHERE token IN ('the', 'der', 'la', 'los') GROUP BY 1",
+    "top_values": "SELECT value, count(*) AS n FROM (SELECT regexp_replace(trim(unnest(string_split(regexp_replace(text, '[\\n.]', ';', 'g'), ';'))), '^\\+', '') AS value FROM documents) WHERE value <> '' GROUP BY 1 ORDER BY n DESC, value LIMIT 15",
     "year_bins": "SELECT CASE WHEN y > 1991 AND y <= 1993 THEN '1992-1993' WHEN y > 1993 AND y <= 1996 THEN '1994-1996' WHEN y > 1996 AND y <= 1998 THEN '1997-1998' END AS bin, count(*) AS n FROM (SELECT year(o_orderdate) AS y FROM orders) GROUP BY 1",
 }

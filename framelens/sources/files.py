@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from framelens.operators.contracts import inventory
+
 
 def partitioned(spark: SparkSession, root: str, column: str, cutoff: str) -> DataFrame:
     """A tree of column=value folders up to a cutoff; folders beyond it aren't read."""
@@ -17,10 +19,16 @@ def recursive(spark: SparkSession, root: str, schema: StructType | str) -> DataF
 
 
 def csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """With a header; rows that don't fit the schema are dropped."""
+    """With a header; rows that don't fit the schema are dropped. refused_csv gives them."""
     return spark.read.schema(schema).options(header=True, mode="DROPMALFORMED").csv(path)
 
 
+def refused_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows that csv drops: what could be read of them, the line and its file."""
+    rows = spark.read.schema(f"{schema}, line string").options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="line").csv(path)
+    return rows.select("*", F.col("_metadata.file_name").alias("file")).where("line IS NOT NULL")
+
+
 def json_arrays(spark: SparkSession, path: str, schema: StructType | str, id_col: str, keep: str = "last") -> DataFrame:
     """Files that each hold a JSON array; of rows with one id the first or last by file name and then by content stays."""
     rows = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("_file", F.input_file_name())
@@ -46,3 +54,21 @@ def to_csv(df: DataFrame, path: str, compression: str | None = None, mode: str =
 
 def missing_parts(listed: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return listed.select(key).distinct().join(done.select(key), key, "left_anti")
+
+
+def write_parts(df: DataFrame, path: str, part: str, id_col: str) -> DataFrame:
+    """df under path, a folder for each part, and its inventory under path-inventory. Returns the inventory."""
+    df.write.partitionBy(part).option("compression", "zstd").parquet(path)
+    inventory(df, part, id_col).write.parquet(f"{path}-inventory")
+    return df.sparkSession.read.parquet(f"{path}-inventory")
+
+
+def merged_parts(spark: SparkSession, path: str, part: str, id_col: str) -> DataFrame:
+    """The parts under path in order of part and id. Refused where a part isn't what the inventory says."""
+    df = spark.read.parquet(path)
+    said = spark.read.parquet(f"{path}-inventory")
+    have = inventory(df, part, id_col)
+    wrong = said.exceptAll(have.select(*said.columns)).select(part).union(have.select(*said.columns).exceptAll(said).select(part)).distinct().limit(5).collect()
+    if wrong:
+        raise ValueError(f"parts differ from their inventory: {sorted(str(r[0]) for r in wrong)}")
+    return df.orderBy(part, id_col)

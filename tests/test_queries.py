@@ -7,18 +7,16 @@ from tests.compare import same
 from tests.conftest import SF
 
 QUERIES, ORACLE = catalog.queries(), catalog.oracle_sql()
-EMPTY = {"hash_extend_prefix", "group_folds", "invariant_routes"}
+#: Queries for rows that the smallest tables may not have.
+MAY_BE_EMPTY: set[str] = set()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     got = QUERIES[name](spark, SF).toPandas()
-    if name in EMPTY:
-        assert len(got) == 0
+    assert len(got) > 0 or name in MAY_BE_EMPTY
     if name in ORACLE:
         same(got, duck.sql(ORACLE[name]).df())
-    elif name not in EMPTY:
-        assert len(got) > 0
 
 
 def test_entry(spark):
