@@ -182,7 +182,7 @@ def parquet_metadata(spark, d):
     out = None
     for name in ("documents", "labels", "orders"):
         t = table(spark, d, name)
-        row = t.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows", F.lit(len(t.columns)).alias("columns"))
+        row = t.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows", F.lit(len(t.columns)).cast("long").alias("columns"))
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -349,7 +349,7 @@ SELECT conv_id, attempt, '[{"id":"W' || conv_id || '","more":[[1],[2]],"note":"a
     "unnest_params": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT unnest([3, 7, 11, 11, NULL, 1000000000]))",
     "bytes_by_part": "WITH g AS (SELECT source AS part, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes, substr(md5(source), 1, 1) < '8' AS done FROM documents GROUP BY 1) SELECT *, round(100.0::DOUBLE * (SELECT coalesce(sum(bytes) FILTER (WHERE done), 0) FROM g) / (SELECT sum(bytes) FROM g), 1) AS pct_done FROM g",
     "parts_inventory": "SELECT o_orderkey // 2000 AS part, count(*) AS rows, min(o_orderkey) AS first, max(o_orderkey) AS last, sha256(unhex(string_agg(printf('%08x', length(CAST(o_orderkey AS VARCHAR))) || hex(CAST(o_orderkey AS VARCHAR)), '' ORDER BY o_orderkey))) AS digest FROM orders GROUP BY 1",
-    "parquet_metadata": "SELECT 'documents' AS name, count(*) AS rows, 5 AS columns FROM documents UNION ALL SELECT 'labels', count(*), 3 FROM labels UNION ALL SELECT 'orders', count(*), (SELECT count(*) FROM (DESCRIBE orders)) FROM orders",
+    "parquet_metadata": "SELECT 'documents' AS name, count(*) AS rows, CAST(5 AS BIGINT) AS columns FROM documents UNION ALL SELECT 'labels', count(*), 3 FROM labels UNION ALL SELECT 'orders', count(*), (SELECT count(*) FROM (DESCRIBE orders)) FROM orders",
     "attach_view": "SELECT n_regionkey, count(*) AS nations FROM nation GROUP BY 1",
     "parity_check": "SELECT unnest(['abstract', 'venue']) AS field",
     "nested_routes": """WITH w AS (SELECT l_orderkey, bool_or(l_suppkey % 5 = 3 OR l_suppkey % 7 = 6) AS route_aff, bool_or(l_suppkey IN (2, 4, 8)) AS route_fund FROM lineitem GROUP BY 1)
