@@ -1,9 +1,14 @@
 """Exact line deduplication by levelled sorted runs of line hashes.
 
-A run is a Parquet table of (h, owner), sorted by h: h is the 128-bit hash of a line's key, owner the
-smallest doc_id that holds the line. Documents come in batches of ascending doc_id. Each batch
-merge-anti-joins the runs, so that only keys no run has remain, and adds these as a run of its own at
-level 0. When a level has `fanout` runs they are merged into one sorted run of the next level.
+A run is a table of (h, owner) in buckets by h, each sorted by h: h is the 128-bit hash of a line's key, owner
+the smallest doc_id that holds the line. Documents come in batches of ascending doc_id. Each batch's distinct
+keys are bucketed in the same way, merge-anti-join the runs bucket by bucket without a shuffle, and those that
+no run has are added as a run of their own at level 0. When a level has `fanout` runs they are merged, again
+bucket by bucket, into one sorted run of the next level. The runs stay under a path with a manifest, so a
+later job can reopen them and give them further batches; a line that a run has then stays with its owner.
+
+Owners come back to the lines by a join on h. A key of more than 1/HOT of a batch's lines is joined by a
+broadcast, as there are fewer than HOT of these, so that no task gets all lines of a common key.
 
 A line's key is the line without `[\\x20\\x09-\\x0D]` at both ends, A-Z in lower case. Keys of 10 code
 points or more that at least two documents hold lose all their lines but those of the smallest doc_id.
@@ -15,12 +20,14 @@ table gives an empty result; other columns of the input, whatever their names, a
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelens.llm.common import NULL_ID, bound, keyed, scratch, unkeyed, written
 
-MIN_KEY = 10
+MIN_KEY, HOT = 10, 1000
 WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -31,41 +38,80 @@ def line_key(line: Column) -> Column:
     return F.when(F.octet_length(core) == F.char_length(core), F.lower(core)).otherwise(F.translate(core, UPPER, LOWER))
 
 
-class LineRuns:
-    """The runs by level. Runs that a merge has replaced stay readable for plans that use them."""
+def _bucketed(df: DataFrame, path: str, n: int) -> DataFrame:
+    """df (h, ...) written in n buckets by h, sorted by h. Only the files stay: the catalog's entry goes at once."""
+    spark = df.sparkSession
+    if n != int(spark.conf.get("spark.sql.shuffle.partitions")):
+        df = df.repartition(n, "h")
+    name = f"line_run_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(n, "h").sortBy("h").option("compression", "zstd").option("path", path).saveAsTable(name)
+    return _opened(spark, name)
 
-    def __init__(self, spark: SparkSession, fanout: int = 4):
-        self.spark, self.fanout, self.levels = spark, fanout, [[]]
+
+def _opened(spark: SparkSession, name: str) -> DataFrame:
+    df = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return df
+
+
+class LineRuns:
+    """The runs by level, under a folder that all executors reach. Runs that a merge has replaced stay readable for
+    plans that use them. The number of buckets is that of the session's shuffle partitions when the folder is new,
+    and stays what it was."""
+
+    MANIFEST = "version long, level int, run string, buckets int"
+
+    def __init__(self, spark: SparkSession, fanout: int = 4, path: str | None = None):
+        self.spark, self.fanout, self.path = spark, fanout, path or scratch(spark, "line-runs")
+        self.buckets, self.version, self.levels = int(spark.conf.get("spark.sql.shuffle.partitions")), 0, [[]]
+
+    @classmethod
+    def reopen(cls, spark: SparkSession, path: str, fanout: int = 4) -> LineRuns:
+        """The runs that the newest version of the manifest names."""
+        self = cls(spark, fanout, path)
+        said = spark.read.schema(cls.MANIFEST).json(f"{path}/manifest")
+        newest = said.where(F.col("version") == said.agg(F.max("version")).first()[0]).orderBy("level", "run").collect()
+        self.version, self.buckets = newest[0]["version"], newest[0]["buckets"]
+        self.levels = [[] for _ in range(newest[-1]["level"] + 1)]
+        for r in newest:
+            name, at = f"line_run_{uuid.uuid4().hex}", f"{path}/{r['run']}"
+            spark.sql(f"CREATE TABLE {name} (h BINARY, owner BIGINT) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {self.buckets} BUCKETS LOCATION '{at}'")
+            self.levels[r["level"]].append((r["run"], _opened(spark, name)))
+        return self
 
     def runs(self) -> list[DataFrame]:
-        return [r for level in self.levels for r in level]
+        return [df for level in self.levels for _, df in level]
+
+    def _write(self, df: DataFrame, level: int) -> None:
+        run = f"run-{self.version:06d}-l{level}-{uuid.uuid4().hex[:8]}"
+        self.levels[level].append((run, _bucketed(df, f"{self.path}/{run}", self.buckets)))
+
+    def _commit(self) -> None:
+        self.version += 1
+        rows = [F.struct(F.lit(self.version).cast("long").alias("version"), F.lit(k).alias("level"), F.lit(run).alias("run"), F.lit(self.buckets).alias("buckets")) for k, level in enumerate(self.levels) for run, _ in level]
+        self.spark.range(0, 1, 1, 1).select(F.inline(F.array(*rows))).write.mode("append").json(f"{self.path}/manifest")
 
-    def _write(self, df: DataFrame, level: int) -> DataFrame:
-        path = scratch(self.spark, f"line-run-l{level}")
-        df.sortWithinPartitions("h").write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema("h binary, owner long").parquet(path)
+    def bucketed(self, df: DataFrame, name: str) -> DataFrame:
+        """df (h, ...) written in the buckets of the runs, so that it meets them without a shuffle."""
+        return _bucketed(df, scratch(self.spark, name), self.buckets)
 
     def add(self, firsts: DataFrame) -> None:
-        """firsts: (h, owner), one row a key. Keys that a run has already are dropped by anti join."""
+        """firsts: (h, owner), one row a key, bucketed. Keys that a run has already are dropped by anti join."""
         for run in self.runs():
-            firsts = firsts.join(run.select("h"), "h", "left_anti")
-        self.levels[0].append(self._write(firsts, 0))
+            firsts = firsts.join(run.select("h").hint("merge"), "h", "left_anti")
+        self._write(firsts, 0)
         level = 0
         while len(self.levels[level]) >= self.fanout:
-            merged = self.levels[level][0]
-            for run in self.levels[level][1:]:
-                merged = merged.union(run)
+            merged = self.levels[level][0][1]
+            for _, run in self.levels[level][1:]:
+                # no two runs share a key
+                merged = merged.join(run.withColumnRenamed("owner", "_other").hint("merge"), "h", "full").select("h", F.coalesce("owner", "_other").alias("owner"))
             if level + 1 == len(self.levels):
                 self.levels.append([])
-            self.levels[level + 1].append(self._write(merged.repartition("h"), level + 1))
+            self._write(merged, level + 1)
             self.levels[level] = []
             level += 1
-
-    def owners(self) -> DataFrame | None:
-        out = None
-        for run in self.runs():
-            out = run if out is None else out.union(run)
-        return out
+        self._commit()
 
 
 def _bounds(docs: DataFrame, n: int) -> list[int]:
@@ -75,8 +121,9 @@ def _bounds(docs: DataFrame, n: int) -> list[int]:
     return sorted(set(got or []))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 4, fanout: int = 4, kept_col: str = "kept_text") -> DataFrame:
-    """All columns of docs, then n_lines, n_dropped (long) and the text without the dropped lines; they replace columns of these names."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 4, fanout: int = 4, kept_col: str = "kept_text", runs: LineRuns | None = None) -> DataFrame:
+    """All columns of docs, then n_lines, n_dropped (long) and the text without the dropped lines; they replace columns of these names.
+    runs: those of earlier documents, whose lines go from these too; they get the keys of docs."""
     spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_dropped", *([kept_col] if kept_col != text_col else []))
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
@@ -95,13 +142,23 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = keys.where(F.char_length("_key") >= MIN_KEY).select("_batch", "_id", "_tx", "_pos", F.unhex(F.md5("_key")).alias("h"))
     keys = written(keys, "line-keys", ["_batch"])
 
-    runs, drops = LineRuns(spark, fanout), None
+    runs, drops = runs or LineRuns(spark, fanout), None
     for i in range(len(cuts) + 1):
         own = keys.where(F.col("_batch") == i).drop("_batch")
-        runs.add(own.groupBy("h").agg(F.min("_id").alias("owner")))
-        lost = own.join(runs.owners(), "h").where(F.col("_id") > F.col("owner")).select("_id", "_tx", "_pos")
+        seen = runs.bucketed(own.groupBy("h").agg(F.min("_id").alias("owner"), F.max("_id").alias("last"), F.count("*").alias("n")), "line-firsts")
+        runs.add(seen.select("h", "owner"))
+        found = None
+        for run in runs.runs():
+            one = seen.select("h", F.col("owner").alias("_first"), "last", "n").join(run.hint("merge"), "h")
+            one = one.where((F.col("_first") != F.col("owner")) | (F.col("last") != F.col("owner"))).select("h", "owner", "n")
+            found = one if found is None else found.union(one)
+        found = written(found, "line-owners")
+        often = F.col("n") * HOT > (seen.agg(F.sum("n")).first()[0] or 0)
+        hot = F.broadcast(found.where(often).select("h", "owner"))
+        other = own.join(hot.select("h"), "h", "left_anti").join(found.where(~often).select("h", "owner"), "h")
+        lost = own.join(hot, "h").unionByName(other).where(F.col("_id") != F.col("owner")).select("_id", "_tx", "_pos")
         drops = lost if drops is None else drops.union(lost)
-    drops = drops.groupBy("_id", "_tx").agg(F.array_distinct(F.collect_list("_pos")).alias("_drop"))
+    drops = drops.groupBy("_id", "_tx").agg(F.collect_set("_pos").alias("_drop"))
 
     out = base.withColumn("_tx", F.xxhash64(text)).join(drops, ["_id", "_tx"], "left")
     keep = bound("split(coalesce(_text, ''), '\\n', -1)", "array_join(transform(array_except(sequence(0, size(l) - 1), _drop), i -> l[i]), '\\n')", "l")
