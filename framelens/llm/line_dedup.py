@@ -154,9 +154,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             found = one if found is None else found.union(one)
         found = written(found, "line-owners")
         often = F.col("n") * HOT > (seen.agg(F.sum("n")).first()[0] or 0)
-        hot = F.broadcast(found.where(often).select("h", "owner"))
-        other = own.join(hot.select("h"), "h", "left_anti").join(found.where(~often).select("h", "owner"), "h")
-        lost = own.join(hot, "h").unionByName(other).where(F.col("_id") != F.col("owner")).select("_id", "_tx", "_pos")
+        hot, other = found.where(often).select("h", "owner"), found.where(~often).select("h", "owner")
+        if hot.isEmpty():
+            lost = own.join(other, "h")
+        else:
+            hot = F.broadcast(hot)
+            lost = own.join(hot, "h").unionByName(own.join(hot.select("h"), "h", "left_anti").join(other, "h"))
+        lost = lost.where(F.col("_id") != F.col("owner")).select("_id", "_tx", "_pos")
         drops = lost if drops is None else drops.union(lost)
     drops = drops.groupBy("_id", "_tx").agg(F.collect_set("_pos").alias("_drop"))
 
