@@ -11,10 +11,11 @@ that go over the end of a partition are joined by bridges. Prefixes start at DEP
 shortened, one tree at a time, each time in the tree where that adds the fewest grouped texts, until two
 sets of similarity THRESHOLD share a prefix in some tree with probability RECALL or more.
 
-Texts connected by groups are a candidate component. Within a component every pair is verified exactly, in
-blocks of BLOCK texts, a task a pair of blocks at a time, so a large component is many tasks; only links per
-text and a spanning set of links leave a block pair, never all pairs. Results are whole: no cap on groups,
-candidates or partners.
+Texts connected by groups are a candidate component. A component of more than BLOCK texts is cut into blocks,
+texts of the same groups side by side, and two blocks are compared only where some group has texts of both; within
+blocks that are compared every pair is verified exactly. A task takes a pair of blocks at a time, so a large
+component is many tasks; only links per text and a spanning set of links leave a block pair, never all pairs.
+Results are whole: no cap on groups, candidates or partners.
 
 A text is named by a 64-bit hash of its words' 128-bit digest; texts that share a name get others until none do.
 
@@ -293,17 +294,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # roots have no row of their own in `found`
     members = found.select("id", F.col("root").alias("comp")).unionByName(found.select(F.col("root").alias("id"), F.col("root").alias("comp")).distinct())
     sizes = members.groupBy("comp").agg(F.count("*").alias("n"))
-    members = written(members.join(sizes, "comp").join(texts.select("id", "first", "copies", "_key"), "id"), "ngram-members")
+    root = F.element_at("roots", chosen[F.col("tree")] - least + 1)
+    near = runs.groupBy("id").agg(F.min(root).alias("near"))
+    members = members.join(sizes, "comp").join(texts.select("id", "first", "copies", "_key"), "id").join(near, "id", "left")
+    members = members.repartitionByRange("comp", "near", "id").sortWithinPartitions("comp", "near", "id")
+    # the place of a row over all partitions: a number of a partition is never that of another
+    members = written(members.withColumn("own_block", F.when(F.col("n") > block, F.expr(f"monotonically_increasing_id() div {block}")).otherwise(0)), "ngram-members")
     # the sets of members only, from their first documents
     want = written(members.select(F.col("first").alias("_id")).distinct(), "ngram-wanted")
     sets = join_small(base, want, "_id", "left_semi").select("_id", "_text").mapInArrow(_keyed_sets, "_id long, _key binary, own array<long>")
     if rows.groupBy("_id", "_key").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
         sets = sets.dropDuplicates(["_id", "_key"])  # rows that repeat an id with the same words
-    n = F.ceil(F.col("n") / F.lit(block)).cast("int")
-    place = members.select(F.col("first").alias("_id"), "_key", "id", "comp", "copies", n.alias("blocks"), F.pmod(F.xxhash64(F.col("id"), F.lit(7)), n).cast("int").alias("own_block"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own_block")).alias("i"), F.greatest(o, F.col("own_block")).alias("j")))
-    dealt = sets.join(place, ["_id", "_key"]).select("id", "comp", "copies", "own", "own_block", F.explode(pairs).alias("p"))
-    dealt = dealt.select("comp", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "id", F.when(F.col("p.i") == F.col("p.j"), 0).when(F.col("own_block") == F.col("p.i"), 1).otherwise(2).alias("side"), "copies", "own")
+    place = members.select(F.col("first").alias("_id"), "_key", "id", "comp", "copies", "n", "own_block")
+    prefix = F.substring("label", F.lit(1), 4 * chosen[F.col("tree")]).alias("prefix")
+    split = runs.select("id", "tree", prefix).join(place.where(F.col("n") > block).select("id", "comp", "own_block"), "id")
+    held = split.groupBy("comp", "tree", "prefix", "own_block").agg(F.lit(1).alias("_one"))
+    met = held.select("comp", "tree", "prefix", F.col("own_block").alias("i")).join(held.select("comp", "tree", "prefix", F.col("own_block").alias("j")), ["comp", "tree", "prefix"])
+    met = written(met.where("i <= j").select("comp", "i", "j").distinct(), "ngram-blocks")
+    sides = met.withColumn("own_block", F.col("i")).unionByName(met.where("i < j").withColumn("own_block", F.col("j")))
+    alone = place.where(F.col("n") <= block).withColumns({"i": F.col("own_block"), "j": F.col("own_block")})
+    place = alone.unionByName(place.where(F.col("n") > block).join(sides, ["comp", "own_block"]))
+    side = F.when(F.col("i") == F.col("j"), 0).when(F.col("own_block") == F.col("i"), 1).otherwise(2)
+    dealt = sets.join(place, ["_id", "_key"]).select("comp", "i", "j", "id", side.alias("side"), "copies", "own")
     dealt = dealt.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "id")
     links = written(dealt.mapInArrow(_verify(threshold), "id long, root long, links long, texts long"), "ngram-links")
     counts = links.groupBy("id").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
