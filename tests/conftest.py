@@ -15,12 +15,17 @@ def spark():
     return build_session("tests", cpus=4)
 
 
-@pytest.fixture(scope="session")
-def duck():
+def over(folder):
+    """A DuckDB connection with a view for each table of a folder."""
     import duckdb
 
     con = duckdb.connect()
-    for f in os.listdir(SF):
-        if f.endswith(".parquet") and os.path.isfile(f"{SF}/{f}"):
-            con.sql(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM read_parquet('{SF}/{f}')")
+    for f in os.listdir(folder):
+        if f.endswith(".parquet") and os.path.isfile(f"{folder}/{f}"):
+            con.sql(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM read_parquet('{folder}/{f}')")
     return con
+
+
+@pytest.fixture(scope="session")
+def duck():
+    return over(SF)
