@@ -80,7 +80,13 @@ def op10_source_mixing(spark, sf_dir):
     return mix(_docs(spark, sf_dir).select("doc_id", "source"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_line_dedup, op3_media_chunks, op4_toxicity, op5_warc, op6_byte_bpe, op7_html_text, op8_token_counts, op9_quality_rules, op10_source_mixing)}
+def op12_fill_in_middle(spark, sf_dir):
+    from framelens.llm.fill_middle import fim_facts
+
+    return fim_facts(_docs(spark, sf_dir).select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_line_dedup, op3_media_chunks, op4_toxicity, op5_warc, op6_byte_bpe, op7_html_text, op8_token_counts, op9_quality_rules, op10_source_mixing, op12_fill_in_middle)}
 
 _FOLD = "translate(trim({x}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -102,6 +108,20 @@ SELECT p.page_id, p.payload_bytes, p.payload_digest,
        CASE WHEN p.page_id <> f.original THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN p.page_id <> f.original THEN f.original END AS refers_to
 FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >= 100""",
+    "op12_fill_in_middle": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+         [CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 8 * i + 1, 8) AS BIGINT) FOR i IN range(4)] AS h
+  FROM documents),
+c AS (SELECT *, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 50 THEN 'plain'
+                  WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT doc_id, t, len(u) AS n, form, array_to_string(u[1:a], '') AS x, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(x) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || x || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || x || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p""",
 }
 
 
