@@ -95,7 +95,13 @@ def op12_fill_in_middle(spark, sf_dir):
     return fim_facts(_docs(spark, sf_dir).select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_line_dedup, op3_media_chunks, op4_toxicity, op5_warc, op6_byte_bpe, op7_html_text, op8_token_counts, op9_quality_rules, op10_source_mixing, op11_chat_windows, op12_fill_in_middle)}
+def op13_collocations(spark, sf_dir):
+    from framelens.llm.collocations import collocations
+
+    return collocations(_docs(spark, sf_dir).select("lang", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_line_dedup, op3_media_chunks, op4_toxicity, op5_warc, op6_byte_bpe, op7_html_text, op8_token_counts, op9_quality_rules, op10_source_mixing, op11_chat_windows, op12_fill_in_middle, op13_collocations)}
 
 _FOLD = "translate(trim({x}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -150,6 +156,26 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST
 FROM p""",
 }
 
+ORACLE["op13_collocations"] = """
+WITH s AS (SELECT row_number() OVER () AS i, coalesce(lang, 'und') AS lang,
+                  string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]') AS ps FROM documents),
+q AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM (SELECT lang, unnest(ps) AS p FROM s)),
+t AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM q GROUP BY 1),
+g AS (SELECT lang, k, array_to_string(w[j:j + k - 1], ' ') AS phrase, count(*) AS f
+      FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS j FROM (SELECT lang, w, unnest(range(1, 6)) AS k FROM q))
+      GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE k >= 2),
+longer AS (SELECT DISTINCT lang, x.phrase, x.f FROM (
+      SELECT lang, unnest([{'phrase': array_to_string(w[:k - 1], ' '), 'f': a}, {'phrase': array_to_string(w[2:], ' '), 'f': a}]) AS x FROM c WHERE k >= 3)),
+kept AS (SELECT c.* FROM c WHERE NOT EXISTS (SELECT 1 FROM longer o WHERE o.lang = c.lang AND o.phrase = c.phrase AND 100 * o.f >= 100 * c.a)),
+cut AS (SELECT lang, phrase, a, w, unnest(range(1, k)) AS m FROM kept),
+r AS (SELECT cut.lang, cut.phrase, cut.a, cut.m, x.f AS l, y.f AS r, t.n, (1000 * CAST(cut.a AS HUGEINT) * t.n) // (CAST(x.f AS HUGEINT) * y.f) AS score
+      FROM cut JOIN t ON t.lang = cut.lang JOIN g x ON x.lang = cut.lang AND x.phrase = array_to_string(w[:m], ' ') JOIN g y ON y.lang = cut.lang AND y.phrase = array_to_string(w[m + 1:], ' ')),
+b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, m) = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM o WHERE rank <= 2000"""
+
 
 def queries():
     return dict(QUERIES)
