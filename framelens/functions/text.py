@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once a row. A filter on it stays above it; pushed below a projection it would be computed again."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def quoted(term: str) -> str:
     """A term as a pattern that matches itself."""
     return re.sub(r"([^\w\s])", r"\\\1", term)

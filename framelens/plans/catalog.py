@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MODULES = ["relations", "routes", "samples", "texts", "joins", "scoring", "agreement", "publishing", "records"]
+MODULES = ["relations", "routes", "samples", "texts", "joins", "scoring", "agreement", "publishing", "records", "screening"]
 
 
 def _each(name: str) -> dict:

@@ -77,7 +77,7 @@ RECORD = "id string, categories array<string>, domain string, genre string, abou
 def returned(spark, d):
     """(doc_id, json): a record for each document as an arm returned it, some with faults."""
     n = lambda k: _digit("doc_id", "r", k)
-    r = table(spark, d, "documents").select("doc_id", *[n(k).alias(f"d{k}") for k in range(1, 7)])
+    r = T.once(table(spark, d, "documents").select("doc_id"), "_d", F.struct(*[n(k).alias(f"d{k}") for k in range(1, 7)])).select("doc_id", "_d.*")
     c = F.col
     words = lambda *w: F.array(*map(F.lit, w)) if w else F.array().cast("array<string>")
     cats = F.when(c("d2") < 5, words()).when(c("d2") < 9, words("methods")).when(c("d2") < 12, words("methods", "sts")).when(c("d2") == 12, words("sts", "sts"))
@@ -87,14 +87,13 @@ def returned(spark, d):
         F.when(c("d3") >= 8, F.when(c("d3") < 14, "reporting").otherwise("astrology")).alias("domain"),
         F.when(c("d4") != 14, F.when(c("d4") == 15, "poem").otherwise("review")).alias("genre"), F.when(c("d5") != 15, c("d5") % 2 == 0).alias("about"),
     )
-    j = F.to_json(own)
-    return r.select("doc_id", F.when(c("d6") == 15, F.substring(j, 1, 10)).when(c("d6") == 14, F.regexp_replace(j, r"\}$", ',"extra":1}')).otherwise(j).alias("json"))
+    r = T.once(r.select("doc_id", "d6", own.alias("own")), "j", F.to_json("own"))
+    return T.once(r, "json", F.when(c("d6") == 15, F.substring("j", 1, 10)).when(c("d6") == 14, F.regexp_replace("j", r"\}$", ',"extra":1}')).otherwise(F.col("j"))).select("doc_id", "json")
 
 
-def record_codes(json):
-    """Codes of the rules that a record breaks: JSON, closed set of fields, required fields, pattern, vocabularies, repeats,
+def record_codes(json, r):
+    """Codes of the rules that a record breaks, given as JSON and parsed: JSON, closed set of fields, required fields, pattern, vocabularies, repeats,
     a domain if and only if the record is of methods, nothing beside unscreenable."""
-    r = F.from_json(json, RECORD)
     cats = F.coalesce(r["categories"], F.array().cast("array<string>"))
     methods = F.array_contains(cats, "methods")
     known = F.forall(cats, lambda x: x.isin("methods", "sts", "unscreenable")) & F.coalesce(r["genre"].isin("review", "empirical"), F.lit(True)) & F.coalesce(r["domain"].isin("reporting", "evaluation"), F.lit(True))
@@ -112,7 +111,8 @@ def record_codes(json):
 
 
 def json_validate(spark, d):
-    return returned(spark, d).select("doc_id", F.array_join(record_codes(F.col("json")), ",").alias("codes")).where("codes <> ''")
+    r = T.once(returned(spark, d), "record", F.from_json("json", RECORD))
+    return T.once(r, "codes", F.array_join(record_codes(F.col("json"), F.col("record")), ",")).select("doc_id", "codes").where("codes <> ''")
 
 
 def chunk_ids(spark, d):
@@ -136,7 +136,7 @@ def json_array_salvage(spark, d):
     conv = F.col("conv_id").cast("string")
     good = F.concat(F.lit('[{"id":"W'), conv, F.lit('","note":"a ] b [ \\"c","more":[[1],[2]]}]'))
     made = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("[cut "), F.lit('[{"id":'))).when(F.col("turn") % 3 == 1, F.lit('first [1,2] then [{"id":"none"}]')).otherwise(F.concat(F.lit("[note] "), good, F.lit(" and "), good))
-    c = table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), r"\[", "("), F.lit(" "), made, F.lit(" end")).alias("raw"))
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), made, F.lit(" "), F.coalesce("text", F.lit(""))).alias("raw"))
     ok = lambda x: F.forall(F.from_json(x, "array<struct<id:string>>"), lambda r: r["id"].rlike(r"^W\d+$"))
     found = salvage.candidates(c, ["conv_id"], ["turn"], F.col("raw"), ok)
     out = found.groupBy("conv_id").agg(F.max(F.when(F.col("chosen"), F.col("turn"))).alias("attempt"), F.max(F.when(F.col("chosen"), F.col("candidate"))).alias("accepted"), F.count_if(~F.col("chosen")).alias("set_aside"))

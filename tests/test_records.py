@@ -18,11 +18,6 @@ def rows(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
-def test_scan_arrays():
-    assert salvage.scan_arrays('x [1, 2] y [{"a": "] [ \\" "}, [3]] [cut') == ["[1,2]", '[{"a":"] [ \\" "},[3]]']
-    assert salvage.scan_arrays("[broken [4]]") == ["[4]"] and salvage.scan_arrays("none") == []
-
-
 def test_candidates(spark):
     df = spark.createDataFrame([(1, 2, '[{"id":"W1"}] [{"id":"W2"}]'), (1, 1, "[] text [7"), (1, 0, None), (2, 0, "nothing")], "k int, turn int, raw string")
     ok = lambda c: F.size(F.from_json(c, "array<struct<id:string>>")) > 0
