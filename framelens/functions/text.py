@@ -108,3 +108,21 @@ def packed_scores(scores: Column) -> Column:
     bad = F.exists(scores, lambda x: x.isNull() | F.isnan(x) | (x < 0) | (x > 1))
     word = F.transform(scores, lambda x: F.lpad(F.hex(F.floor(x.cast("double") * 65535.0 + 0.5).cast("long")), 4, "0"))
     return F.when(~bad, F.lower(F.array_join(F.transform(word, lambda h: F.concat(F.substring(h, 3, 2), F.substring(h, 1, 2))), "")))
+
+
+def prefixed(df: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+    """df with every column but the keys renamed."""
+    return df.select(*keys, *[F.col(f"`{c}`").alias(f"{prefix}_{c}") for c in df.columns if c not in keys])
+
+
+def canonical_json(members: dict) -> Column:
+    """A JSON object with its names in order, without white space and without null members; characters stay as they are, but for quotes, backslashes and
+    control characters. Members are strings, whole numbers, Booleans, arrays of them, or dicts like this one."""
+
+    def struct(m: dict) -> Column:
+        return F.struct(*[(struct(v) if isinstance(v, dict) else v).alias(n) for n, v in sorted(m.items())])
+
+    out = F.to_json(struct(members))
+    for code in (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20)):  # the hex digits of escapes in lower case
+        out = F.regexp_replace(out, rf"(?<!\\)((?:\\\\)*)\\u{code:04X}", rf"$1\\u{code:04x}")
+    return out

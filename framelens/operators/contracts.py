@@ -66,6 +66,14 @@ def differing(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return x.join(y, key, "outer").where("_a IS NULL OR _b IS NULL").select(key, F.when(F.col("_a").isNull(), "first").otherwise("second").alias("missing_in"))
 
 
-def unserved(df: DataFrame, fields: list[str]) -> list[str]:
-    """Fields that df has no column for, sorted."""
-    return sorted(set(fields) - set(df.columns))
+def missing(df: DataFrame, columns: list[str]) -> DataFrame:
+    """A row for each value that must be there and isn't: the row and the name of its column."""
+    return df.select("*", F.explode(F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in columns]))).alias("column"))
+
+
+def served(df: DataFrame, fields: list[str]) -> DataFrame:
+    """For each field that is wanted: whether df has a column for it, its rows, and how many leave it null or empty."""
+    have = [f for f in fields if f in df.columns]
+    g = df.agg(F.count("*").alias("_rows"), *[F.count_if(F.coalesce(F.col(f).cast("string"), F.lit("")) == "").alias(f) for f in have])
+    rows = [F.struct(F.lit(f).alias("field"), F.lit(f in have).alias("has_column"), F.col("_rows").alias("rows"), F.col(f if f in have else "_rows").alias("empty")) for f in fields]
+    return g.select(F.explode(F.array(*rows)).alias("x")).select("x.*")

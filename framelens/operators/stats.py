@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -52,6 +53,79 @@ def kappa(agree: Column, expected: Column, n: Column) -> Column:
     return F.when(pe != 1, (po - pe) / (1 - pe))
 
 
+def hypergeometric(total: int, marked: int, drawn: int) -> tuple[int, np.ndarray]:
+    """The smallest number of marked ones among the drawn, and the chance of each number from there on. Where the chance is below 1e-30 it is left out, so a stratum of n
+    rows takes some square roots of n numbers."""
+    low, high = max(0, drawn + marked - total), min(drawn, marked)
+    mode = min(max((drawn + 1) * (marked + 1) // (total + 2), low), high)
+    # the ratio of neighbouring chances, walked both ways from the largest
+    up, down = [1.0], []
+    for x in range(mode, high):
+        up.append(up[-1] * (marked - x) * (drawn - x) / ((x + 1) * (total - marked - drawn + x + 1)))
+        if up[-1] < 1e-30:
+            break
+    now = 1.0
+    for x in range(mode, low, -1):
+        now *= x * (total - marked - drawn + x) / ((marked - x + 1) * (drawn - x + 1))
+        down.append(now)
+        if now < 1e-30:
+            break
+    chances = np.array([*reversed(down), *up])
+    return mode - len(down), chances / chances.sum()
+
+
+def shuffled(strata: list[tuple[int, int, int]]) -> tuple[int, np.ndarray]:
+    """The same for the sum over strata of (rows, marked, drawn): what shuffling the marks within strata gives, all shuffles being equally likely. Strata are
+    convolved, smallest first."""
+    at, chances = 0, np.ones(1)
+    parts = sorted((hypergeometric(*s) for s in strata), key=lambda p: len(p[1]))
+    for low, part in parts:
+        at, chances = at + low, np.convolve(chances, part)
+    return at, chances
+
+
+def reached(strata: list[tuple[int, int, int]], observed: int) -> float:
+    """The chance of at least so many."""
+    at, chances = shuffled(strata)
+    return float(min(1.0, chances[max(0, observed - at) :].sum()))
+
+
+def as_far(strata: list[tuple[int, int, int]], observed: int) -> float:
+    """The chance of a number as far or farther from what the totals alone would give, on either side: the test of a 2 x 2 statistic, which is the square of that distance
+    times a constant."""
+    at, chances = shuffled(strata)
+    n, marked, drawn = (sum(s[i] for s in strata) for i in range(3))
+    if n == 0:
+        return 1.0
+    far = abs((np.arange(len(chances)) + at) * n - marked * drawn) >= abs(observed * n - marked * drawn)
+    return float(min(1.0, chances[far].sum()))
+
+
+_STRATA = "array<struct<n:bigint,marked:bigint,drawn:bigint,both:bigint>>"
+
+
+def _over_strata(test):
+    def run(strata: pd.Series) -> pd.Series:
+        return strata.map(lambda s: test([(int(x["n"]), int(x["marked"]), int(x["drawn"])) for x in s], sum(int(x["both"]) for x in s)))
+
+    return F.pandas_udf(run, DoubleType())
+
+
+def permutation_reached(strata: Column) -> Column:
+    """Exact share of the shuffles within strata that have at least as many rows both marked and drawn. strata: array of (n, marked, drawn, both), counts."""
+    return _over_strata(reached)(strata.cast(_STRATA))
+
+
+def permutation_as_far(strata: Column) -> Column:
+    return _over_strata(as_far)(strata.cast(_STRATA))
+
+
+@F.pandas_udf(DoubleType())
+def chi_square_tail(statistic: pd.Series) -> pd.Series:
+    """Upper tail for one degree of freedom; null for null."""
+    return statistic.map(lambda x: None if x is None or x != x else chi_square_p(max(0.0, x)))
+
+
 def chi_square_p(statistic: float) -> float:
     """Upper tail for one degree of freedom."""
     return math.erfc(math.sqrt(statistic / 2))

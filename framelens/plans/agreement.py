@@ -153,20 +153,6 @@ def log_odds(spark, d):
     return g.select(F.round(F.log(F.col("a") * F.col("e") / (F.col("b") * F.col("c"))), 6).alias("log_or"), F.round(F.sqrt(1 / F.col("a") + 1 / F.col("b") + 1 / F.col("c") + 1 / F.col("e")), 6).alias("se"))
 
 
-def permutation_p(spark, d):
-    """Share of 2,000 within-language shuffles, by hash order, whose agreement reaches the observed one."""
-    from pyspark.sql.window import Window
-
-    a = arms(spark, d).where("b_quality IS NOT NULL").select("doc_id", "lang", "a_quality", "b_quality")
-    x = a.select("*", F.explode(F.sequence(F.lit(0), F.lit(2000))).alias("k"))
-    seat = Window.partitionBy("lang", "k")
-    own = x.withColumn("seat", F.row_number().over(seat.orderBy("doc_id"))).withColumn("to", F.when(F.col("k") == 0, F.col("seat")).otherwise(F.row_number().over(seat.orderBy(F.md5(F.concat_ws("-", "doc_id", "k")), "doc_id"))))
-    left, right = own.select("lang", "k", "seat", "a_quality"), own.select("lang", "k", F.col("to").alias("seat"), "b_quality")
-    t = left.join(right, ["lang", "k", "seat"]).groupBy("k").agg(F.count_if(F.col("a_quality") == F.col("b_quality")).alias("agree"))
-    obs = t.where("k = 0").select(F.col("agree").alias("observed"))
-    return t.where("k > 0").join(F.broadcast(obs)).groupBy("observed").agg(F.round((F.count_if(F.col("agree") >= F.col("observed")) + 1) / (F.count("*") + 1), 6).alias("p"))
-
-
 def audit_power(spark, d):
     """Expected hits over a grid of recalls from the observed base rate."""
     g = arms(spark, d).agg(F.avg(F.col("a_toxic").cast("double")).alias("rate"))
@@ -194,7 +180,7 @@ _J = "count(*) FILTER (WHERE a AND b) AS n_both, count(*) FILTER (WHERE a OR b)
 _ST = lambda c: f"CASE WHEN {c} IS NULL THEN 'unknown' WHEN {c} = 1 THEN 'yes' ELSE 'no' END"
 _T = "count(*) FILTER (WHERE a_quality = 1 AND a_toxic = 1)::DOUBLE{0} AS a, count(*) FILTER (WHERE a_quality = 1 AND a_toxic = 0)::DOUBLE{0} AS b, count(*) FILTER (WHERE a_quality = 0 AND a_toxic = 1)::DOUBLE{0} AS c, count(*) FILTER (WHERE a_quality = 0 AND a_toxic = 0)::DOUBLE{0} AS e"
 _LONG = f"{_A}, x AS (SELECT lang, w, 'quality' AS category, 'a' AS arm, a_quality AS v FROM arms UNION ALL SELECT lang, w, 'toxic', 'a', a_toxic FROM arms UNION ALL SELECT lang, w, 'quality', 'b', b_quality FROM arms UNION ALL SELECT lang, w, 'toxic', 'b', b_toxic FROM arms)"
-QUERIES = {f.__name__: f for f in (jaccard_pairs, jaccard_by_stratum, two_arm_report, kappa_by_category, agreement_by_stratum, crosstab, vote_consensus, pattern_counts, transition_table, weighted_rate, support_gate, head_gate, recall_route, recall_intervals, recall_adjusted, judge_bias, chisq_stat, cmh_stat, log_odds, permutation_p, audit_power, cost_model, loss_bias)}
+QUERIES = {f.__name__: f for f in (jaccard_pairs, jaccard_by_stratum, two_arm_report, kappa_by_category, agreement_by_stratum, crosstab, vote_consensus, pattern_counts, transition_table, weighted_rate, support_gate, head_gate, recall_route, recall_intervals, recall_adjusted, judge_bias, chisq_stat, cmh_stat, log_odds, audit_power, cost_model, loss_bias)}
 ORACLE = {
     "jaccard_pairs": f"WITH {_RW} SELECT category, {_J} FROM r GROUP BY 1",
     "jaccard_by_stratum": f"WITH {_RW} SELECT category, lang, {_J} FROM r GROUP BY 1, 2",

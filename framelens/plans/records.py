@@ -31,13 +31,15 @@ CUTS = {"a": 0.1, "b": 0.12}
 DOMAINS, KINDS = ["none", "methods", "reporting"], ["review", "empirical", "other"]
 
 
-def prediction_row(spark, d):
-    """The whole record of a decision: candidates and consensus of both arms, a domain only where c0 is decided, the largest
-    disagreement over all heads and the largest closeness to a cut."""
+AXES = {"domain": (DOMAINS, 11), "kind": (KINDS, 17)}
+
+
+def record(spark, d, axes, scores: bool):
+    """The record of a decision: candidates and consensus of both arms, a domain only where c0 is decided, the largest disagreement over all heads and the
+    largest closeness to a cut; with the packed scores that it follows from, if asked."""
     e = table(spark, d, "embeddings")
     at = lambda i: F.round(F.abs(F.element_at("embedding", i).cast("double")), 4)
     s = {arm: [at(5 * k + 1 + i) for i in range(5)] for k, arm in enumerate("ab")}
-    axes = {"domain": (DOMAINS, 11), "kind": (KINDS, 17)}
     cols = {f"{arm}_{h}": s[arm][i] for arm in "ab" for i, h in enumerate(HEADS)}
     for name, (_, start) in axes.items():
         for k, arm in enumerate("ab"):
@@ -56,18 +58,25 @@ def prediction_row(spark, d):
         x, t = F.col(f"{arm}_{h}"), CUTS[arm]
         return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - F.abs(x - t) / F.when(x < t, t).otherwise(1.0 - t)))
 
-    (da, db, dc, ds), (ka, kb, kc, ks) = axis("domain"), axis("kind")
+    done = {name: axis(name) for name in axes}
+    da, db, dc, _ = done["domain"]
     told = lambda c: F.nullif(c, F.lit("none"))
+    own = {"": lambda arm: F.array(*[F.col(f"{arm}_{h}") for h in HEADS[:3]])} | {f"{h}_": (lambda arm, h=h: F.array(F.col(f"{arm}_{h}"))) for h in HEADS[3:]} | {f"{n}_": (lambda arm, n=n: F.col(f"{arm}_{n}")) for n in axes}
     return e.select(
         "vec_id", F.lit("v1").alias("model_version"), listed(either).alias("candidates"), listed(both).alias("consensus"),
         *[f(h).alias(f"{h}_{n}") for h in HEADS[3:] for f, n in ((either, "candidate"), (both, "consensus"))],
         told(da).alias("domain_a"), told(db).alias("domain_b"), F.when(either("c0"), told(dc)).alias("domain_candidate"), F.when(both("c0") & (da == db), told(da)).alias("domain_consensus"),
-        ka.alias("kind_a"), kb.alias("kind_b"), kc.alias("kind_candidate"), F.when(ka == kb, ka).alias("kind_consensus"),
-        F.round(F.greatest(*[F.abs(F.col(f"a_{h}") - F.col(f"b_{h}")) for h in HEADS], ds, ks), 6).alias("disagreement"),
+        *[c for n, (a, b, m, _) in done.items() if n != "domain" for c in (a.alias(f"{n}_a"), b.alias(f"{n}_b"), m.alias(f"{n}_candidate"), F.when(a == b, a).alias(f"{n}_consensus"))],
+        *[T.packed_scores(f(arm)).alias(f"{n}scores_{arm}") for n, f in own.items() for arm in "ab" if scores],
+        F.round(F.greatest(*[F.abs(F.col(f"a_{h}") - F.col(f"b_{h}")) for h in HEADS], *[x[3] for x in done.values()]), 6).alias("disagreement"),
         F.round(F.greatest(*[close(arm, h) for arm in "ab" for h in HEADS]), 6).alias("uncertainty"), F.lit("unvalidated").alias("status"),
     )
 
 
+def prediction_row(spark, d):
+    return record(spark, d, AXES, False)
+
+
 # -- returned records
 
 FIELDS = ["id", "categories", "domain", "genre", "about"]
@@ -193,8 +202,8 @@ def attach_view(spark, d):
 
 
 def parity_check(spark, d):
-    """Fields that training wants and the table can't serve."""
-    return spark.createDataFrame([(f,) for f in C.unserved(table(spark, d, "documents"), ["text", "lang", "abstract", "venue"])], "field string")
+    """Fields that training wants and the table can't serve: no column, or no row that fills it."""
+    return C.served(table(spark, d, "documents"), ["text", "lang", "abstract", "venue"]).where("NOT has_column OR empty = rows").select("field")
 
 
 # -- routes over nested records
@@ -317,11 +326,28 @@ _HIT = lambda arm, i: f"{_PR[arm](i)} >= {CUTS[arm]}::DOUBLE"
 _EITHER, _BOTH = (lambda i: f"({_HIT('a', i)} OR {_HIT('b', i)})"), (lambda i: f"({_HIT('a', i)} AND {_HIT('b', i)})")
 _LISTED = lambda rule: "concat_ws(',', " + ", ".join(f"CASE WHEN {rule(i)} THEN '{HEADS[i]}' END" for i in range(3)) + ")"
 _BEST = lambda v, names: f"({names})[list_position({v}, list_max({v}))]"
-_NAMES = {n: "[" + ", ".join(f"'{x}'" for x in v) + "]" for n, v in (("d", DOMAINS), ("k", KINDS))}
 _CLOSE = lambda arm, i: f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE - abs({_PR[arm](i)} - {CUTS[arm]}::DOUBLE) / CASE WHEN {_PR[arm](i)} < {CUTS[arm]}::DOUBLE THEN {CUTS[arm]}::DOUBLE ELSE 1.0::DOUBLE - {CUTS[arm]}::DOUBLE END))"
 _V = lambda lo, hi: f"list_transform(embedding[{lo}:{hi}], lambda x: round(abs(x::DOUBLE), 4))"
 _PAIR = lambda x, y, f: "[" + ", ".join(f.format(f"{x}[{i}]", f"{y}[{i}]") for i in (1, 2, 3)) + "]"
 _TOLD = lambda x: f"nullif({x}, 'none')"
+_PACKED = lambda v: f"CASE WHEN list_max({v}) <= 1 THEN array_to_string(list_transform({v}, lambda x: substr(lpad(lower(to_hex(CAST(floor(x * 65535.0::DOUBLE + 0.5::DOUBLE) AS BIGINT))), 4, '0'), 3, 2) || substr(lpad(lower(to_hex(CAST(floor(x * 65535.0::DOUBLE + 0.5::DOUBLE) AS BIGINT))), 4, '0'), 1, 2)), '') END"
+
+
+def record_sql(axes, scores: bool) -> str:
+    names = {n: "[" + ", ".join(f"'{x}'" for x in v) + "]" for n, (v, _) in axes.items()}
+    vectors = ", ".join(f"{_V(at + 3 * k, at + 3 * k + 2)} AS {n}{arm}" for n, (_, at) in axes.items() for k, arm in enumerate("ab"))
+    best = ", ".join(f"{_BEST(f'{n}a', names[n])} AS x{n}a, {_BEST(f'{n}b', names[n])} AS x{n}b, {_BEST(_PAIR(f'{n}a', f'{n}b', '({} + {}) / 2'), names[n])} AS x{n}c" for n in axes)
+    others = "".join(f"x{n}a AS {n}_a, x{n}b AS {n}_b, x{n}c AS {n}_candidate, CASE WHEN x{n}a = x{n}b THEN x{n}a END AS {n}_consensus,\n" for n in axes if n != "domain")
+    own = {"": "{0}[1:3]", "sys_": "{0}[4:4]", "topic_": "{0}[5:5]"} | {f"{n}_": n + "{0}" for n in axes}
+    packed = "".join(f"{_PACKED(v.format(arm))} AS {n}scores_{arm},\n" for n, v in own.items() for arm in "ab") if scores else ""
+    apart = ", ".join(f"list_max({_PAIR(f'{n}a', f'{n}b', 'abs({} - {})')})" for n in axes)
+    return f"""WITH s AS (SELECT vec_id, {_V(1, 5)} AS a, {_V(6, 10)} AS b, {vectors} FROM embeddings), m AS (SELECT *, {best} FROM s)
+SELECT vec_id, 'v1' AS model_version, {_LISTED(_EITHER)} AS candidates, {_LISTED(_BOTH)} AS consensus, {_EITHER(3)} AS sys_candidate, {_BOTH(3)} AS sys_consensus, {_EITHER(4)} AS topic_candidate, {_BOTH(4)} AS topic_consensus,
+{_TOLD('xdomaina')} AS domain_a, {_TOLD('xdomainb')} AS domain_b, CASE WHEN {_EITHER(0)} THEN {_TOLD('xdomainc')} END AS domain_candidate, CASE WHEN {_BOTH(0)} AND xdomaina = xdomainb THEN {_TOLD('xdomaina')} END AS domain_consensus,
+{others}{packed}round(greatest({", ".join(f"abs(a[{i}] - b[{i}])" for i in range(1, 6))}, {apart}), 6) AS disagreement,
+round(greatest({", ".join(_CLOSE(arm, i) for arm in "ab" for i in range(5))}), 6) AS uncertainty, 'unvalidated' AS status FROM m"""
+
+
 _DIG = ", ".join(f"{_sql_digit('doc_id', 'r', k)} AS d{k}" for k in range(1, 7))
 _SG = f"""CASE {_sql_digit('doc_id', '{0}')} % 4 WHEN 0 THEN 'review' WHEN 1 THEN 'empirical' WHEN 2 THEN 'editorial' ELSE 'other' END"""
 _G = f"{agreement._A}, g AS (SELECT *, {_SG.format('ga')} AS a_genre, CASE WHEN {_sql_digit('doc_id', 'same')} < 11 THEN {_SG.format('ga')} ELSE {_SG.format('gb')} END AS b_genre FROM arms)"
@@ -329,13 +355,7 @@ _VOTES = f"{agreement._A}, v AS (SELECT lang, coalesce(a_quality, 0) AS x, coale
 _LOW = lambda k, n: f"CASE WHEN {n} > 0 THEN ({k}::DOUBLE / {n} + 3.841458881296::DOUBLE / (2 * {n}) - 1.959964::DOUBLE * sqrt(({k}::DOUBLE / {n} * (1 - {k}::DOUBLE / {n}) + 3.841458881296::DOUBLE / (4 * {n})) / {n})) / (1 + 3.841458881296::DOUBLE / {n}) END"
 QUERIES = {f.__name__: f for f in (prediction_row, json_validate, chunk_ids, json_array_salvage, replace_version, activate_version, unnest_params, bytes_by_part, parts_inventory, parquet_metadata, attach_view, parity_check, nested_routes, arm_fields, category_counts, vocab_audit, three_arm_jaccard, contested_by_stratum, prevalence_se, eligibility_gate, word_names, empty_strings)}
 ORACLE = {
-    "prediction_row": f"""WITH s AS (SELECT vec_id, {_V(1, 5)} AS a, {_V(6, 10)} AS b, {_V(11, 13)} AS da, {_V(14, 16)} AS db, {_V(17, 19)} AS ka, {_V(20, 22)} AS kb FROM embeddings),
-m AS (SELECT *, {_BEST('da', _NAMES['d'])} AS xa, {_BEST('db', _NAMES['d'])} AS xb, {_BEST(_PAIR('da', 'db', '({} + {}) / 2'), _NAMES['d'])} AS xc, {_BEST('ka', _NAMES['k'])} AS ya, {_BEST('kb', _NAMES['k'])} AS yb, {_BEST(_PAIR('ka', 'kb', '({} + {}) / 2'), _NAMES['k'])} AS yc FROM s)
-SELECT vec_id, 'v1' AS model_version, {_LISTED(_EITHER)} AS candidates, {_LISTED(_BOTH)} AS consensus, {_EITHER(3)} AS sys_candidate, {_BOTH(3)} AS sys_consensus, {_EITHER(4)} AS topic_candidate, {_BOTH(4)} AS topic_consensus,
-{_TOLD('xa')} AS domain_a, {_TOLD('xb')} AS domain_b, CASE WHEN {_EITHER(0)} THEN {_TOLD('xc')} END AS domain_candidate, CASE WHEN {_BOTH(0)} AND xa = xb THEN {_TOLD('xa')} END AS domain_consensus,
-ya AS kind_a, yb AS kind_b, yc AS kind_candidate, CASE WHEN ya = yb THEN ya END AS kind_consensus,
-round(greatest({", ".join(f"abs(a[{i}] - b[{i}])" for i in range(1, 6))}, list_max({_PAIR('da', 'db', 'abs({} - {})')}), list_max({_PAIR('ka', 'kb', 'abs({} - {})')})), 6) AS disagreement,
-round(greatest({", ".join(_CLOSE(arm, i) for arm in "ab" for i in range(5))}), 6) AS uncertainty, 'unvalidated' AS status FROM m""",
+    "prediction_row": record_sql(AXES, False),
     "json_validate": f"""WITH r AS (SELECT doc_id, {_DIG} FROM documents)
 SELECT * FROM (SELECT doc_id, CASE WHEN d6 = 15 THEN 'invalid_json' ELSE concat_ws(',', CASE WHEN d6 = 14 THEN 'extra' END, CASE WHEN d1 = 14 OR d4 = 14 OR d5 = 15 THEN 'required' END, CASE WHEN d1 = 15 THEN 'pattern' END,
 CASE WHEN d2 = 13 OR d3 >= 14 OR d4 = 15 THEN 'enum' END, CASE WHEN d2 = 12 THEN 'unique' END, CASE WHEN d2 BETWEEN 5 AND 11 AND (d3 < 8 OR d3 >= 14) THEN 'then_domain' END,
@@ -351,7 +371,7 @@ SELECT conv_id, attempt, '[{"id":"W' || conv_id || '","more":[[1],[2]],"note":"a
     "parts_inventory": "SELECT o_orderkey // 2000 AS part, count(*) AS rows, min(o_orderkey) AS first, max(o_orderkey) AS last, sha256(unhex(string_agg(printf('%08x', length(CAST(o_orderkey AS VARCHAR))) || hex(CAST(o_orderkey AS VARCHAR)), '' ORDER BY o_orderkey))) AS digest FROM orders GROUP BY 1",
     "parquet_metadata": "SELECT 'documents' AS name, count(*) AS rows, CAST(5 AS BIGINT) AS columns FROM documents UNION ALL SELECT 'labels', count(*), 3 FROM labels UNION ALL SELECT 'orders', count(*), (SELECT count(*) FROM (DESCRIBE orders)) FROM orders",
     "attach_view": "SELECT n_regionkey, count(*) AS nations FROM nation GROUP BY 1",
-    "parity_check": "SELECT unnest(['abstract', 'venue']) AS field",
+    "parity_check": "SELECT 'abstract' AS field UNION ALL SELECT 'venue' UNION ALL SELECT 'text' FROM documents HAVING count(*) = count(*) FILTER (WHERE coalesce(text, '') = '') UNION ALL SELECT 'lang' FROM documents HAVING count(*) = count(*) FILTER (WHERE coalesce(lang, '') = '')",
     "nested_routes": """WITH w AS (SELECT l_orderkey, bool_or(l_suppkey % 5 = 3 OR l_suppkey % 7 = 6) AS route_aff, bool_or(l_suppkey IN (2, 4, 8)) AS route_fund FROM lineitem GROUP BY 1)
 SELECT o_orderkey, route_aff, route_fund, CASE WHEN o_orderkey % 9 <> 0 THEN o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3) END AS route_venue FROM w JOIN orders ON o_orderkey = l_orderkey""",
     "arm_fields": f"""WITH {_G}, x AS (SELECT 'category_set' AS field, w, a_quality IS NOT DISTINCT FROM b_quality AND a_toxic IS NOT DISTINCT FROM b_toxic AS same FROM g UNION ALL SELECT 'genre', w, a_genre = b_genre FROM g)

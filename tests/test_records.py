@@ -45,7 +45,7 @@ def test_upsert_and_sets(spark):
     assert rows(C.upsert(old.limit(0), new.limit(0), ["k"], "version")) == []
     assert rows(C.differing(old.where("k = 1"), new.where("k IS NOT NULL"), "k")) == [(2, "first"), (3, "first")]
     assert rows(C.among(new, "k", [3, None, 3, 8]).select("v")) == [("z",)] and C.among(new, "k", []).count() == 0
-    assert C.unserved(new, ["v", "title"]) == ["title"]
+    assert [tuple(r) for r in C.served(new, ["v", "title"]).collect()] == [("v", True, 4, 0), ("title", False, 4, 4)]
 
 
 def test_parts(spark, tmp_path):
