@@ -2,14 +2,14 @@
 
 Base rules are fixed: a document fails with fewer than 50 words or with more than half of its words in
 3-word windows that the document repeats. On top, each rule of RULES compares one ratio with a cutoff.
-A cutoff is used in a stratum (by default the language) only if the labelled good documents of that
-stratum show, by an exact binomial test, that it rejects at most ALPHA / number of rules of them.
 
-Cutoffs of a rule are tested from the loosest to the tightest and the sequence stops at the first that
-fails, which needs no correction inside a sequence (fixed-sequence testing); DELTA is divided by the
-number of sequences, strata times rules (Bonferroni). With probability 1 - DELTA the union of all rules
-then rejects at most ALPHA of the good documents in every stratum. A stratum with too few labels gets no
-cutoff and loses nothing but what fails the base rules.
+The cutoffs of all rules are tightened together, in LEVELS steps from what hardly any text reaches to what clean texts
+seldom pass. In each stratum (by default the language) the levels are tested from the loosest on: a level is certified if
+the labelled good documents of the stratum show, by an exact binomial test, that it rejects at most ALPHA of them, by
+whichever rule. The sequence stops at the first level that fails, which needs no correction within a stratum
+(fixed-sequence testing); DELTA is divided by the strata that have enough labels to certify anything (Bonferroni). With
+probability 1 - DELTA no stratum's level then rejects more than ALPHA of its good documents. A stratum with too few labels
+gets no level and loses nothing but what fails the base rules.
 
 Everything is DataFrame and SQL expressions. Windows are compared by 64-bit hashes within one document.
 
@@ -20,6 +20,8 @@ empty label table certifies no cutoff; rows that repeat a doc_id get a row each.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,16 +33,23 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Beyond so many repeated windows of one document they are found by sorting, not by look-up in a list.
 FEW = 64
 
-#: Rule: its ratio, high is bad, and the cutoffs from the loosest to the tightest.
-_SHARES = [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06, 0.04, 0.02]
-RULES: dict[str, tuple[str, list[float]]] = {
-    "symbols_per_word": ("n_symbols / n_words", [3.0, 2.5, 2.0, 1.5, 1.0, *_SHARES]),
-    "repeated_words": ("n_repeat_words / n_words", _SHARES),
-    "repeated_lines": ("n_dup_lines / n_lines", _SHARES),
-    "capitals": ("n_capitals / word_chars", _SHARES),
-    "exclamations_per_word": ("n_exclamations / n_words", [3.0, 2.5, 2.0, 1.5, 1.0, *_SHARES]),
-    "word_length": ("word_chars / n_words", [30.0, 25.0, 20.0, 16.0, 14.0, 12.0, 11.0, 10.0, 9.0, 8.0, 7.5, 7.0]),
+#: Rule: its ratio, high is bad, and its cutoffs at the loosest and the tightest level.
+RULES: dict[str, tuple[str, float, float]] = {
+    "symbols_per_word": ("n_symbols / n_words", 3.0, 0.05),
+    "repeated_words": ("n_repeat_words / n_words", 0.9, 0.08),
+    "repeated_lines": ("n_dup_lines / n_lines", 0.9, 0.1),
+    "capitals": ("n_capitals / word_chars", 0.9, 0.04),
+    "exclamations_per_word": ("n_exclamations / n_words", 3.0, 0.05),
+    "word_length": ("word_chars / n_words", 15.0, 6.5),
 }
+LEVELS = 24
+
+
+def cutoffs(rule: str) -> list[float]:
+    """From the loosest to the tightest, each the same share of the one before."""
+    _, loose, tight = RULES[rule]
+    return [round(loose * (tight / loose) ** (t / (LEVELS - 1)), 4) for t in range(LEVELS)]
+
 
 _SPACE = r"[\\x20\\x09-\\x0D]"
 _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -93,25 +102,29 @@ def binomial_at_most(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.exp(log_k) * down)
 
 
-def certified_cutoffs(good: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """good: _stratum and the counts of labelled good documents that pass the base rules.
-    Returns _stratum, _cuts (map of rule to its tightest certified cutoff): a row for each labelled stratum."""
-    # within: how many of the loosest cutoffs the document satisfies; each further one rejects it
-    within = lambda rule, cuts: F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: ratio(rule) <= c))
-    level = F.array(*[F.struct(F.lit(r).alias("rule"), within(r, cuts).alias("within")) for r, (_, cuts) in RULES.items()])
-    hist = good.select("_stratum", F.explode(level).alias("x")).groupBy("_stratum", "x.rule", "x.within").agg(F.count("*").alias("n"))
-    hist = written(hist, "quality-levels")  # strata x rules x cutoffs rows
-    strata = hist.select("_stratum").distinct().count()
-    total = hist.groupBy("_stratum", "rule").agg(F.sum("n").alias("total"), F.collect_list(F.struct("within", "n")).alias("h"))
-    steps = F.create_map(*[x for r, (_, cuts) in RULES.items() for x in (F.lit(r), F.array(*map(F.lit, cuts)))])
-    tested = total.select("*", F.posexplode(steps[F.col("rule")]).alias("at", "cutoff")).withColumn(
-        "rejected", F.aggregate(F.filter("h", lambda x: x["within"] <= F.col("at")), F.lit(0).cast("long"), lambda s, x: s + x["n"])
+def within() -> Column:
+    """How many levels, from the loosest on, a document passes by all rules."""
+
+    def by(rule: str) -> Column:
+        return F.size(F.filter(F.array(*map(F.lit, cutoffs(rule))), lambda c: ratio(rule) <= c))
+
+    return F.least(*map(by, RULES))
+
+
+def certified_levels(good: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """good: _stratum and _within (levels passed) of labelled good documents that pass the base rules.
+    Returns _stratum, _level (from 0, null if none is certified), labels and rejected (at that level): a row for each labelled stratum."""
+    hist = written(good.groupBy("_stratum", "_within").agg(F.count("*").alias("n")), "quality-levels")  # strata x levels rows
+    total = hist.groupBy("_stratum").agg(F.sum("n").alias("labels"), F.collect_list(F.struct("_within", "n")).alias("h"))
+    # with fewer labels not even a level that rejects none of them could be certified
+    able = total.where(F.col("labels") >= math.log(min(delta, 1 - 1e-9)) / math.log(1 - alpha)).count()
+    tested = total.select("_stratum", "labels", "h", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("at")).withColumn(
+        "rejected", F.aggregate(F.filter("h", lambda x: x["_within"] <= F.col("at")), F.lit(0).cast("long"), lambda s, x: s + x["n"])
     )
-    each = alpha / len(RULES)
-    tested = tested.withColumn("ok", binomial_at_most(F.col("rejected"), F.col("total"), each) <= delta / (len(RULES) * max(strata, 1)))
-    w = Window.partitionBy("_stratum", "rule").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    kept = tested.withColumn("all_ok", F.min("ok").over(w)).where("all_ok").groupBy("_stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
-    return kept.groupBy("_stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cuts"))
+    tested = tested.withColumn("ok", binomial_at_most(F.col("rejected"), F.col("labels"), alpha) <= delta / max(able, 1))
+    w = Window.partitionBy("_stratum").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    kept = tested.withColumn("ok", F.min("ok").over(w)).groupBy("_stratum", "labels").agg(F.max(F.when(F.col("ok"), F.struct("at", "rejected"))).alias("best"))
+    return kept.select("_stratum", F.col("best.at").alias("_level"), "labels", F.col("best.rejected").alias("rejected"))
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -120,9 +133,10 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     src = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("\u0000null")).alias("_stratum"), F.col(text_col).alias("_text"))
     feats = written(base_features(src, "_text").select("_id", "_stratum", "_q.*").withColumn("base_failed", base_failed()), "quality-counts")
     good = labels.where(F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min("quality").alias("g")).where("g = 1").select("_id")
-    cuts = written(certified_cutoffs(feats.where(~F.col("base_failed")).join(good, "_id", "left_semi"), alpha, delta), "quality-cutoffs")
-    out = join_small(feats, cuts, "_stratum", "left", rows=100_000)
-    failed = F.array_compact(F.array(*[F.when(ratio(r) > F.col("_cuts")[r], F.lit(r)) for r in RULES]))
+    levels = written(certified_levels(feats.where(~F.col("base_failed")).join(good, "_id", "left_semi").select("_stratum", within().alias("_within")), alpha, delta), "quality-cutoffs")
+    out = join_small(feats, levels.select("_stratum", "_level"), "_stratum", "left", rows=100_000)
+    cut = lambda r: F.get(F.array(*map(F.lit, cutoffs(r))), F.col("_level"))
+    failed = F.array_compact(F.array(*[F.when(ratio(r) > cut(r), F.lit(r)) for r in RULES]))
     return out.withColumn("failed_rules", F.coalesce(failed, F.array().cast("array<string>"))).select(
         F.col("_id").alias(id_col), F.nullif("_stratum", F.lit("\u0000null")).alias(stratum_col),
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_exclamations", "base_failed",
