@@ -10,7 +10,9 @@ would be so many witnesses of one thing, the one of smallest id counts.
 Each match has a quotation score from the window of WINDOW words around it, 0 to 1: marks on both sides and words of
 report raise it. A match counts as much as it is not quoted, and a misspelled one a little less than an exact one;
 those that stand near a word of address are summed apart. To the fixed words of report and of address come those that
-the labelled rows show: words that stand nearer to the matches of clean, or of toxic, documents than chance explains. A logistic regression weighs the sums; a quoted match can't raise a score above that of one that is
+the labelled rows show: words that stand nearer to the matches of clean, or of toxic, documents than chance explains. A logistic regression weighs the sums. As labelled
+rows hold few misspelled terms, each toxic one counts in part (PLANTED) with a letter changed in every term that may be misspelled; and a misspelled match may not
+fall below LEAST_MISSPELLED of an exact one. A quoted match can't raise a score above that of one that is
 aimed at someone, as its weights may not have the wrong sign.
 
 Scoring reads whole texts in Arrow functions. A task matches each distinct word once. The number of terms is bounded
@@ -42,8 +44,12 @@ STEM_LENGTHS, STEM_ENDINGS = (4, 5, 6, 7), 3
 WINDOW, THRESHOLD = 6, 0.3
 #: What a misspelled match counts beside an exact one; what marks and what each word of report add to a quotation score.
 MISSPELLED, IN_MARKS, REPORTED = 0.7, 0.6, 0.4
-#: Signs that the weights of Scorer.features may have; 0: either.
-SIGNS = (1, 0, 0, -1, 1, 1)
+#: Least weight of misspelled matches, as a share of that of exact ones.
+LEAST_MISSPELLED = 0.6
+#: What the misspelled form of a labelled toxic document counts in the fit.
+PLANTED = 0.5
+#: Signs that the weights of Scorer.features may have; 0: either. A misspelled match counts no more than an exact one.
+SIGNS = (1, -1, 0, -1, 1, 1)
 MEMORY_WORDS, MEMORY_STATES = 400_000, 50_000
 WORD = re.compile(r"\w+")
 
@@ -295,34 +301,59 @@ def _choose(rows: list, clean: int, toxic: int) -> tuple[dict[str, float], dict[
     return {w: weight[w, False] for w in words}, {s: weight[s, True] for s in stems}
 
 
-def _regress(x: np.ndarray, y: np.ndarray, signs: tuple[int, ...] = SIGNS) -> np.ndarray:
-    """The intercept, then the weights: features whose weights have the wrong sign are left out."""
-    free = list(range(x.shape[1]))
-    while True:
-        got = _newton(x[:, free], y)
-        wrong = [j for j, w in zip(free, got[1:], strict=True) if signs[j] * w < 0]
-        if not wrong:
-            out = np.zeros(1 + x.shape[1])
-            out[[0, *[1 + j for j in free]]] = got
-            out[2:4] = np.maximum(out[2:4], -out[1])  # a misspelled or stem match may count for nothing, but not against
-            return out
-        free = [j for j in free if j not in wrong]
+def _regress(x: np.ndarray, y: np.ndarray, size: np.ndarray | None = None, signs: tuple[int, ...] = SIGNS) -> np.ndarray:
+    """The intercept, then the weights: features whose weights have the wrong sign are left out. size: the weights of the rows."""
+    size = np.ones(len(y)) if size is None else size
 
+    def of(free: list[int], tied: bool) -> np.ndarray:
+        z = x.copy()
+        if tied:  # misspelled matches at their least: a share of the weight of all is taken back
+            z[:, 0] -= (1 - LEAST_MISSPELLED) * x[:, 1]
+        while True:
+            got = _newton(z[:, free], y, size)
+            wrong = [j for j, w in zip(free, got[1:], strict=True) if signs[j] * w < 0]
+            if not wrong:
+                out = np.zeros(1 + x.shape[1])
+                out[[0, *[1 + j for j in free]]] = got
+                if tied:
+                    out[2] = -(1 - LEAST_MISSPELLED) * out[1]
+                out[3] = max(out[3], -out[1])  # a stem match may count for nothing, but not against
+                return out
+            free = [j for j in free if j not in wrong]
 
-def _newton(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    out = of(list(range(x.shape[1])), False)
+    return out if out[2] >= -(1 - LEAST_MISSPELLED) * out[1] else of([j for j in range(x.shape[1]) if j != 1], True)
+
+
+def _newton(x: np.ndarray, y: np.ndarray, size: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     """Logistic regression by Newton's method with a ridge on all but the intercept."""
     x = np.column_stack([np.ones(len(x)), x])
-    w, r = np.zeros(x.shape[1]), np.full(x.shape[1], ridge * max(1.0, len(x) ** 0.5))
+    w, r = np.zeros(x.shape[1]), np.full(x.shape[1], ridge * max(1.0, size.sum() ** 0.5))
     r[0] = 1e-6
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p) + 1e-9)[:, None]) + np.diag(r), x.T @ (y - p) - r * w)
+        step = np.linalg.solve(x.T @ (x * (size * p * (1 - p) + 1e-9)[:, None]) + np.diag(r), x.T @ (size * (y - p)) - r * w)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
+def slipped(scorer: Scorer, text: str) -> str:
+    """The text with one letter changed, after the first, in each word that is a term and may be misspelled; which one follows from the word."""
+
+    def slip(m: re.Match) -> str:
+        w = m.group()
+        if scorer.kind(w.lower())[0] != 1 or not allowed_edits(w):
+            return w
+        h = xxhash.xxh64_intdigest(w.lower())
+        at = 1 + h % (len(w) - 1)
+        other = next(c for c in "aeiornst"[h % 7 :] + "aeiornst" if c != w[at].lower())
+        return w[:at] + other + w[at + 1 :]
+
+    return WORD.sub(slip, text)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Model:
     """Learns only from labelled rows that held_out() does not hold out. A document with several labels is toxic if any says so."""
     own = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).cast("long").alias("_id")).agg((F.max("toxic") >= 1).cast("int").alias("_toxic"))
@@ -367,19 +398,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     model = Model(terms, stems, plain, report=report, address=address)
     # a clean document may not owe an exception to itself: new documents' words are not among the exceptions either
     others = Model(terms, stems, [w for w, n in plain.items() if n > 1], report=report, address=address)
-    got = sample.mapInArrow(_features([others, model]), "f array<double>, y double").toPandas()
-    model.weights = _regress(np.stack(got["f"].to_numpy()), got["y"].to_numpy()).tolist()
+    got = sample.mapInArrow(_features([others, model]), "f array<double>, y double, size double").toPandas()
+    model.weights = _regress(np.stack(got["f"].to_numpy()), got["y"].to_numpy(), got["size"].to_numpy()).tolist()
     return model
 
 
 def _features(models: list[Model]):
-    """models: for clean and for toxic documents."""
+    """models: for clean and for toxic documents. A toxic document with terms that may be misspelled gives two rows, which weigh one together."""
 
     def run(batches):
         s = [Scorer(m) for m in models]
         for b in batches:
-            own = [s[y].features(t) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.float64())), b.column(1).cast(pa.float64())], ["f", "y"])
+            rows = []
+            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                planted = slipped(s[1], text) if toxic else text
+                for t in (text,) if planted == text else (text, planted):
+                    rows.append((s[toxic].features(t), float(toxic), 1.0 if planted == text else PLANTED if t is planted else 1 - PLANTED))
+            cols = list(zip(*rows, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.list_(pa.float64())), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64())], ["f", "y", "size"])
 
     return run
 
