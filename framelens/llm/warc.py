@@ -12,8 +12,8 @@ through Concurrent-To and gives one nested row for each capture; a revisit's pay
 through WARC-Refers-To.
 
 Defined cases: null html is an empty payload; payloads under MIN_REVISIT bytes never become revisits; of
-equal payloads the smallest page_id is the response; rows that repeat a page_id get a capture each (the
-first by url is the response); equal rows get a capture each too, told apart by an occurrence number;
+equal payloads all rows of the smallest page_id are responses, whatever their urls, and revisits refer to the first of them by
+url; rows that repeat a page_id get a capture each; equal rows get a capture each too, told apart by an occurrence number;
 a null page_id sorts first; an empty table gives no captures.
 """
 
@@ -56,7 +56,7 @@ def archive_plan(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     names = written(p.select(*key, "_bytes"), "warc-names")
     long = names.where(F.col("_bytes") >= MIN_REVISIT).drop("_bytes")
     first = long.groupBy("_digest").agg(F.min(at).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    copies = long.join(first, "_digest").where(at != F.col("_first")).distinct()
+    copies = long.join(first, "_digest").where(F.col("_id") != F.col("_first._id")).distinct()
     repeats = written(names.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1"), "warc-repeats")
     # payloads stay where they are read: only the names of copies and of equal rows travel, if they are few enough
     p = join_small(p, written(copies.join(repeats, key, "full"), "warc-copies"), key, "left")
