@@ -18,8 +18,9 @@ def steps(df: DataFrame, score: str, positive: Column, weight: Column, by: list[
     """A row for each distinct score with weights of positives (gp) and all (ga), and running tp and all (cum), by score from the top."""
     by = list(by)
     g = df.groupBy(*by, F.col(score).alias("score")).agg(F.sum(F.when(positive, weight).otherwise(0.0)).alias("gp"), F.sum(weight).alias("ga"))
-    # cells of scores between quantiles of the whole table, at most CELLS of them
-    cuts = df.agg(F.percentile_approx(score, [i / CELLS for i in range(1, CELLS)], 1000).alias("cuts"))
+    # cells between quantiles of the distinct scores, at most CELLS of them; the sums are named so that the aggregation is the same one as below and read once
+    known = F.when(F.col("ga").isNotNull() | F.col("gp").isNotNull(), F.col("score"))
+    cuts = g.agg(F.percentile_approx(known, [i / CELLS for i in range(1, CELLS)], 1000).alias("cuts"))
     g = g.join(F.broadcast(cuts)).withColumn("cell", F.size(F.filter("cuts", lambda c: F.col("score") <= c))).drop("cuts")
     whole = g.groupBy(*by, "cell").agg(F.sum("gp").alias("cp"), F.sum("ga").alias("ca"))
     over = Window.partitionBy(*by).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -70,15 +71,15 @@ def confusion(label: Column, decision: Column, weight: Column) -> list[Column]:
 def quota_flags(df: DataFrame, score: str, id_col: str, rate: float, by: list[str]) -> DataFrame:
     """flag: among the first bround(rate * n) rows of the group by score, then id. Groups are whole heads, so the
     boundary row is found on the steps of distinct scores, whose totals go by ranges, not by sorting a head in one task."""
-    n = df.groupBy(*by).agg(F.bround(F.count("*") * F.lit(rate)).cast("long").alias("k"))
-    return first_rows(df, score, id_col, n, by)
+    return first_rows(df, score, id_col, lambda n: F.bround(n * F.lit(rate)), by)
 
 
-def first_rows(df: DataFrame, score: str, id_col: str, n: DataFrame, by: list[str]) -> DataFrame:
-    """flag: among the first k rows of the group by score, then id. n: by and k."""
+def first_rows(df: DataFrame, score: str, id_col: str, many, by: list[str]) -> DataFrame:
+    """flag: among the first rows of the group by score, then id; many: a function from the Column of the group's rows to how many."""
     s = steps(df, score, F.lit(True), F.lit(1.0), by)
+    n = s.groupBy(*by).agg(many(F.max("cum").cast("long")).cast("long").alias("k"))
     at = s.join(n, by).where((F.col("cum") >= F.col("k")) & (F.col("cum") - F.col("ga") < F.col("k")))
     at = at.select(*by, F.col("score").alias("threshold"), (F.col("k") - (F.col("cum") - F.col("ga"))).cast("long").alias("need"))
     tied = df.join(at, by).where(F.col(score) == F.col("threshold"))
-    edge = tied.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(id_col))).where("_r = need").select(*by, F.col(id_col).alias("boundary"))
-    return df.join(at.join(edge, by), by, "left").withColumn("flag", F.coalesce((F.col(score) > F.col("threshold")) | ((F.col(score) == F.col("threshold")) & (F.col(id_col) <= F.col("boundary"))), F.lit(False)))
+    edge = tied.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(id_col))).where("_r = need").select(*by, "threshold", F.col(id_col).alias("boundary"))
+    return df.join(edge, by, "left").withColumn("flag", F.coalesce((F.col(score) > F.col("threshold")) | ((F.col(score) == F.col("threshold")) & (F.col(id_col) <= F.col("boundary"))), F.lit(False)))

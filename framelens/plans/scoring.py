@@ -62,8 +62,7 @@ def roc_auc_midrank(spark, d):
 def top_decile_lift(spark, d):
     """Rate of positives among the first tenth (rounded down, at least one row) over the rate of all."""
     x = long_scores(spark, d)
-    n = x.groupBy("arm", "head").agg(F.greatest(F.lit(1), F.floor(F.count("*") / 10)).cast("long").alias("k"))
-    g = S.first_rows(x, "score", "vec_id", n, ["arm", "head"]).groupBy("arm", "head").agg(F.count_if("flag").alias("n"), F.count_if(F.col("flag") & F.col("positive")).alias("hits"), F.avg(F.col("positive").cast("double")).alias("base"))
+    g = S.first_rows(x, "score", "vec_id", lambda n: F.greatest(F.lit(1), F.floor(n / 10)), ["arm", "head"]).groupBy("arm", "head").agg(F.count_if("flag").alias("n"), F.count_if(F.col("flag") & F.col("positive")).alias("hits"), F.avg(F.col("positive").cast("double")).alias("base"))
     return g.select("arm", "head", "n", "hits", F.round(F.try_divide(F.col("hits") / F.col("n"), F.col("base")), 6).alias("lift"))
 
 
