@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MODULES = ["relations", "routes", "samples", "texts", "joins", "scoring", "agreement", "publishing", "records", "screening", "learning", "storage", "reports"]
+MODULES = ["relations", "routes", "samples", "texts", "joins", "scoring", "agreement", "publishing", "records", "screening", "learning", "storage", "reports", "roundtrips"]
 
 
 def _each(name: str) -> dict:

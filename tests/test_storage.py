@@ -187,3 +187,12 @@ def test_workspace(spark, tmp_path):
     assert df.count() == 3 and workspace.shared_dir(spark)
     workspace.removed(spark, str(tmp_path / "w"))
     assert not (tmp_path / "w").exists()
+
+
+def test_malformed_lines_whichever_columns_are_read(spark, tmp_path):
+    from framelens.sources import files
+
+    (tmp_path / "c.csv").write_text("a,b\n1,x\noops,y\n3,z\n")
+    path = str(tmp_path / "c.csv")
+    assert files.csv(spark, path, "a int, b string").select("b").count() == 2
+    assert rows(files.refused_csv(spark, path, "a int, b string").select("b")) == [("y",)]
