@@ -18,14 +18,20 @@ def recursive(spark: SparkSession, root: str, schema: StructType | str) -> DataF
     return spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(root)
 
 
+def _all_read(df: DataFrame) -> DataFrame:
+    """df with a condition that holds for every row and needs every column: Spark would otherwise check only the columns that a query uses."""
+    return df.where(F.xxhash64(*[f"`{c}`" for c in df.columns]) >= F.lit(-(2**63)))
+
+
 def csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """With a header; rows that don't fit the schema are dropped, whichever columns are read. refused_csv gives them."""
-    return spark.read.schema(schema).options(header=True, mode="DROPMALFORMED", columnPruning=False).csv(path)
+    return _all_read(spark.read.schema(schema).options(header=True, mode="DROPMALFORMED").csv(path))
 
 
 def refused_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The rows that csv drops: what could be read of them, the line and its file."""
-    rows = spark.read.schema(f"{schema}, line string").options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="line", columnPruning=False).csv(path)
+    rows = spark.read.schema(f"{schema}, line string").options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="line").csv(path)
+    rows = _all_read(rows)
     return rows.select("*", F.col("_metadata.file_name").alias("file")).where("line IS NOT NULL")
 
 
