@@ -1,12 +1,12 @@
 """Phrase collocations: minimal perfect hashes over Apriori-safe candidates, counted in numpy arrays by slot.
 
 Texts become numbers: each word that occurs MIN_COUNT times in its language gets one, from its slot in a perfect hash; other
-words and the ends of pieces are 0. A phrase of k words is the pair of the numbers of its first and last k - 1 words,
+words and the ends of pieces are 0. (A sieve, as below, lets most rare words go before words are counted.) A phrase of k words is the pair of the numbers of its first and last k - 1 words,
 and only pairs of two frequent ones are looked at (Apriori). For each k:
 
-1. Mappers bincount the hashes of the pairs into a sieve. A pair whose cell of the sieve holds less than MIN_COUNT is
+1. Mappers count the pairs in the cells of two hashes, the sieve. A pair with a cell that holds less than MIN_COUNT is
    out, which drops no frequent one.
-2. The distinct pairs that are left are the candidates. They are hashed in rounds of ROUND at most: the perfect hash of a
+2. The distinct pairs that are left, met by ranges of their hash, are the candidates. They are hashed in rounds of ROUND at most: the perfect hash of a
    round, with its keys, is broadcast, mappers bincount the slots whose stored key is the pair, the arrays are summed in a
    tree, and the counts are exact.
 3. The frequent ones get numbers by slot, which take the place of the last level's in the texts.
@@ -30,14 +30,37 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from framelens.llm.common import join_small, written
+from framelens.llm import common
+from framelens.llm.common import join_small
 from framelens.llm.perfect_hash import PerfectHash, mixed
 
 MIN_COUNT, MAX_WORDS, TOP, SCALE = 100, 5, 2000, 1000
-#: Keys of a perfect hash, cells of the sieve (most, and words for each), and bytes of a word's key.
-ROUND, SIEVE, LOAD, KEY = 1 << 21, 1 << 22, 32, 48
-#: Slots of a row of an array that is summed, rows that are summed in a step of the tree, and words that a task holds at once.
-CHUNK, FAN, HELD = 1 << 16, 64, 1 << 20
+#: Keys of a perfect hash, cells of a hash of the sieve (most, and words for each), and bytes of a word's key (most, and about).
+ROUND, SIEVE, LOAD, KEY, BYTES_A_WORD = 1 << 21, 1 << 23, 16, 48, 6
+#: Slots of a row of an array that is summed, arrays that are summed in a step of the tree, and ranges of candidates.
+CHUNK, FAN, RANGES = 1 << 18, 16, 64
+#: Numbers in a row (and one text more): less than half of a region of the JVM's heap.
+ROW = 1 << 16
+#: What a task holds at once: distinct words, pairs, and bytes of texts (and one text more).
+WORDS, PAIRS, BYTES = 1 << 18, 1 << 18, 1 << 18
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A table whose arrays tasks have packed already: Parquet's own codecs hold much memory outside the heap."""
+    return common.written(df, name, codec="uncompressed")
+
+
+def packed(array: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(array.tobytes())
+
+
+def unpacked(data, kind) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+
 
 BREAK = b"."
 #: A-Z in lower case, tabs as spaces, and all ends of pieces as one.
@@ -49,26 +72,104 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).replace(BREAK, b" . ").split()
 
 
-def _texts(batch: pa.RecordBatch):
-    return zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True)
+def _groups(batches):
+    """Lists of rows (lang, text and what else there is) of about BYTES."""
+    group, size = [], 0
+    for batch in batches:
+        texts = batch.column(1).cast(pa.binary())
+        for k in range(0, batch.num_rows, 64):
+            cols = [(texts if i == 1 else batch.column(i)).slice(k, 64).to_pylist() for i in range(batch.num_columns)]
+            for row in zip(*cols, strict=True):
+                group.append(row)
+                size += len(row[1])
+                if size >= BYTES:
+                    yield group
+                    group, size = [], 0
+    if group:
+        yield group
+
+
+def _counted_words(batches):
+    """Counters of words by language, emptied when they hold WORDS."""
+    counts: dict[str, Counter] = {}
+    for group in _groups(batches):
+        for lang, text in group:
+            counts.setdefault(lang, Counter()).update(words_of(text))
+        if sum(map(len, counts.values())) > WORDS:
+            yield counts
+            counts = {}
+    yield counts
 
 
-def _count_words(batches):
-    counts: dict[str, Counter] = {}
+def _word_hashes(lang: str, words) -> np.ndarray:
+    import xxhash
+
+    start = lang.encode()
+    return np.fromiter((xxhash.xxh3_64_intdigest(_key(start, w)) for w in words), np.uint64, len(words))
 
-    def flushed():
+
+def _word_keys(batches):
+    """Hashes of words and how often they occur."""
+    for counts in _counted_words(batches):
         for lang, c in counts.items():
             c.pop(BREAK, None)
-            if c:
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c)), pa.array(c.keys(), pa.binary()), pa.array(c.values(), pa.int64())], ["lang", "word", "n"])
-        counts.clear()
+            yield _word_hashes(lang, c), np.fromiter(c.values(), np.int64, len(c))
 
-    for batch in batches:
-        for lang, text in _texts(batch):
-            counts.setdefault(lang, Counter()).update(words_of(text))
-            if sum(map(len, counts.values())) > HELD:
-                yield from flushed()
-    yield from flushed()
+
+def _count_words(shared):
+    """Words that the sieve lets through and their counts, packed by language and range of their hash, and those of all words of a language under a null
+    word: once a task, but for WORDS of them."""
+
+    def out(held):
+        for lang, c in held.items():
+            every, words = c.pop(None), list(c)
+            at = (_word_hashes(lang, words) >> np.uint64(58)).astype(np.int64).tolist()
+            by: dict[int, list] = {0: [(None, every)]}
+            for r, w in zip(at, words, strict=True):
+                by.setdefault(r, []).append((w, c[w]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(by.keys(), pa.int32()), pa.array([lang] * len(by)), pa.array([[w for w, _ in x] for x in by.values()], pa.list_(pa.binary())), pa.array([[n for _, n in x] for x in by.values()], pa.list_(pa.int64()))], ["range", "lang", "words", "counts"]
+            )
+
+    def run(batches):
+        held: dict[str, Counter] = {}
+        for counts in _counted_words(batches):
+            for lang, c in counts.items():
+                c.pop(BREAK, None)
+                often = _alive(_word_hashes(lang, c), shared.value) if c else []
+                own = held.setdefault(lang, Counter())
+                own.update({w: n for (w, n), ok in zip(c.items(), often, strict=True) if ok})
+                own[None] += c.total()
+            if sum(map(len, held.values())) > WORDS:
+                yield from out(held)
+                held = {}
+        yield from out(held)
+
+    return run
+
+
+def _merged_words(least: int):
+    """lang, word and n of the words that occur often enough, from rows in order of their range; and the null words."""
+
+    def out(sums):
+        for lang, c in sums.items():
+            often = [(w, n) for w, n in c.items() if w is None or n >= least]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(often)), pa.array([w for w, _ in often], pa.binary()), pa.array([n for _, n in often], pa.int64())], ["lang", "word", "n"])
+
+    def run(batches):
+        at, sums = None, {}
+        for b in batches:
+            for k in range(b.num_rows):
+                r, lang, words, counts = (b.column(i)[k].as_py() for i in range(4))
+                if r != at:
+                    yield from out(sums)
+                    at, sums = r, {}
+                own = sums.setdefault(lang, Counter())
+                for w, n in zip(words, counts, strict=True):
+                    own[w] += n
+        yield from out(sums)
+
+    return run
 
 
 # -- word numbers
@@ -108,38 +209,42 @@ class WordHash:
 
 
 def _row(arrays: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([np.concatenate(arrays).tobytes()], pa.binary())], ["s"])
+    return pa.RecordBatch.from_arrays([pa.array([packed(np.concatenate(arrays))], pa.binary())], ["s"])
 
 
 def _number_texts(shared, last: bool):
-    """Texts as numbers, added to those that earlier rounds gave to other words (`s`). The last round gives rows of whole texts, up to
-    HELD words and one text more in each, with 0 between them; others a row for each text."""
+    """Texts as numbers, added to those that earlier rounds gave to other words (`s`). The last round gives rows of whole texts, with
+    0 between them; others a row for each text."""
 
     def run(batches):
         known: dict[str, dict[bytes, int]] = {}
         held: list[np.ndarray] = []
         size = 0
-        for batch in batches:
+        for group in _groups(batches):
+            if sum(map(len, known.values())) > WORDS:
+                known.clear()
+            split = [words_of(row[1]) for row in group]
+            new: dict[str, set[bytes]] = {}
+            for (lang, *_), words in zip(group, split, strict=True):
+                new.setdefault(lang, set()).update(words)
+            for lang, words in new.items():
+                memory = known.setdefault(lang, {BREAK: 0})
+                missing = [w for w in words if w not in memory]
+                memory.update(zip(missing, shared.value.numbers([_key(lang.encode(), w) for w in missing]), strict=True))
             each = []
-            for (lang, text), s in zip(_texts(batch), batch.column(2).to_pylist(), strict=True):
-                words, memory = words_of(text), known.setdefault(lang, {BREAK: 0})
-                if new := [w for w in set(words) if w not in memory]:
-                    memory.update(zip(new, shared.value.numbers([_key(lang.encode(), w) for w in new]), strict=True))
-                numbers = np.fromiter(map(memory.__getitem__, words), np.uint32, len(words))
-                if s:
-                    numbers |= np.frombuffer(s, np.uint32)
-                if sum(map(len, known.values())) > HELD:
-                    known.clear()
-                if not last:
-                    each.append(numbers.tobytes())
-                    continue
+            for (lang, _, s), words in zip(group, split, strict=True):
+                numbers = np.fromiter(map(known[lang].__getitem__, words), np.uint32, len(words))
+                each.append(numbers | np.frombuffer(s, np.uint32) if s else numbers)
+            if not last:
+                cols = [pa.array([row[0] for row in group]), pa.array([row[1] for row in group], pa.binary()).cast(pa.string()), pa.array([n.tobytes() for n in each], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["lang", "text", "s"])
+                continue
+            for numbers in each:
                 held += [numbers, np.zeros(1, np.uint32)]
-                size += len(words) + 1
-                if size > HELD:
+                size += len(numbers) + 1
+                if size > ROW:
                     yield _row(held)
                     held, size = [], 0
-            if not last:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(each, pa.binary())], ["lang", "text", "s"])
         if size:
             yield _row(held)
 
@@ -150,8 +255,8 @@ def _number_texts(shared, last: bool):
 
 def _rows(batches):
     for batch in batches:
-        for s in batch.column(0).to_pylist():
-            yield np.frombuffer(s, np.uint32)
+        for s in batch.column(0):
+            yield unpacked(s.as_buffer(), np.uint32)
 
 
 def _pairs(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,73 +265,116 @@ def _pairs(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, (s[at].astype(np.uint64) << np.uint64(32)) | s[at + 1].astype(np.uint64)
 
 
-def _cells(pairs: np.ndarray, width: int) -> np.ndarray:
-    return (mixed(pairs, 97) >> np.uint64(64 - width)).astype(np.int64)
+def _cells(pairs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of both hashes; those of the second follow those of the first."""
+    h, mask = mixed(pairs, 97), np.uint64((1 << width) - 1)
+    return (h >> np.uint64(64 - width)).astype(np.int64), ((h >> np.uint64(64 - 2 * width)) & mask).astype(np.int64) + (1 << width)
 
 
-def _chunks(counts: np.ndarray):
-    """The parts of an array that aren't all zero, in the smallest type that holds them, each with its number and the task's."""
+def _task() -> int:
     from pyspark import TaskContext
 
-    task = TaskContext.get().partitionId()
+    return TaskContext.get().partitionId()
+
+
+def _chunks(counts: np.ndarray):
+    """The parts of an array that aren't all zero, in the smallest type that holds them, each with its number and the task's."""
     for k in range(0, len(counts), CHUNK):
         part = counts[k : k + CHUNK]
         if part.any():
-            yield _chunk_row(k // CHUNK, task, part)
+            yield _chunk_row(k // CHUNK, part)
 
 
-def _chunk_row(chunk: int, branch: int, part: np.ndarray) -> pa.RecordBatch:
-    small = part.astype(np.min_scalar_type(int(part.max())))
-    return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([branch], pa.int64()), pa.array([small.dtype.str]), pa.array([small.tobytes()], pa.binary())], ["chunk", "branch", "kind", "counts"])
+def _chunk_row(chunk: int, part: np.ndarray) -> pa.RecordBatch:
+    small = part.astype(np.min_scalar_type(int(part.max())), copy=False)
+    return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([_task()], pa.int64()), pa.array([small.dtype.str]), pa.array([packed(small)], pa.binary())], ["chunk", "branch", "kind", "counts"])
 
 
 ARRAYS = "chunk long, branch long, kind string, counts binary"
 
 
-def _sieved(width: int, least: int):
-    """An array of the pairs in each cell of the sieve; counts beyond `least` needn't be told apart."""
+def _pair_keys(batches):
+    """Pairs of many rows at a time, each once."""
+    held, size = [], 0
+    for s in _rows(batches):
+        held.append(_pairs(s)[1])
+        size += len(held[-1])
+        if size > 2 * PAIRS:
+            yield np.concatenate(held), None
+            held, size = [], 0
+    if size:
+        yield np.concatenate(held), None
+
+
+def _sieved(keys, width: int, least: int):
+    """How many keys lie in each cell of the sieve; counts beyond `least` needn't be told apart. keys: from batches to keys and how often each
+    occurs (None: once)."""
 
     def run(batches):
-        counts = np.zeros(1 << width, np.int64)
-        held, size = [], 0
-        for s in _rows(batches):
-            held.append(_pairs(s)[1])
-            size += len(held[-1])
-            if size >= HELD:
-                counts += np.bincount(_cells(np.concatenate(held), width), minlength=1 << width)
-                held, size = [], 0
-        if size:
-            counts += np.bincount(_cells(np.concatenate(held), width), minlength=1 << width)
-        yield from _chunks(np.minimum(counts, least))
+        counts = np.zeros(2 << width, np.min_scalar_type(least))
+        for found, n in keys(batches):
+            cells, where = np.unique(np.concatenate(_cells(found, width)), return_inverse=True)
+            more = np.bincount(where, None if n is None else np.concatenate([n, n])).astype(np.int64)
+            counts[cells] = np.minimum(counts[cells] + more, least)
+        yield from _chunks(counts)
 
     return run
 
 
+def _sieve(df: DataFrame, keys, width: int, least: int) -> np.ndarray:
+    cells = tree_sum(written(df.mapInArrow(_sieved(keys, width, least), ARRAYS), "phrase-sieve"), 2 << width, least)
+    return np.packbits(cells >= least, bitorder="little")
+
+
 def _alive(pairs: np.ndarray, sieve: np.ndarray) -> np.ndarray:
-    cell = _cells(pairs, (len(sieve) * 8).bit_length() - 1)
-    return (sieve[cell >> 3] >> (cell & 7)) & 1 == 1
+    width = (len(sieve) * 4).bit_length() - 1
+    first, second = ((sieve[c >> 3] >> (c & 7)) & 1 for c in _cells(pairs, width))
+    return (first & second) == 1
 
 
-def _candidates(shared):
-    def run(batches):
-        held, size = [], 0
+def _ranged(pairs: np.ndarray) -> pa.RecordBatch:
+    """Distinct pairs, packed by the range of their hash."""
+    at = (mixed(pairs, 13) >> np.uint64(58)).astype(np.int64)
+    order = np.argsort(at, kind="stable")
+    cuts = np.searchsorted(at[order], np.arange(RANGES + 1))
+    full = [r for r in range(RANGES) if cuts[r] < cuts[r + 1]]
+    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([pairs[order[cuts[r] : cuts[r + 1]]].tobytes() for r in full], pa.binary())], ["range", "pairs"])
 
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(held)).view(np.int64), pa.int64())], ["pair"])
 
+def _candidates(shared):
+    def run(batches):
+        known, held, size = np.zeros(0, np.uint64), [], 0
         for s in _rows(batches):
             pairs = _pairs(s)[1]
             held.append(np.unique(pairs[_alive(pairs, shared.value)]))
             size += len(held[-1])
-            if size > HELD:
-                yield out()
-                held, size = [], 0
-        if size:
-            yield out()
+            if size > PAIRS:
+                known, held, size = np.unique(np.concatenate([known, *held])), [], 0
+                if len(known) > 2 * PAIRS:
+                    yield _ranged(known)
+                    known = known[:0]
+        known = np.unique(np.concatenate([known, *held]))
+        if len(known):
+            yield _ranged(known)
 
     return run
 
 
+def _merged(batches):
+    """The distinct pairs of each range."""
+    known: dict[int, list[np.ndarray]] = {}
+    held = 0
+    for b in batches:
+        for r, pairs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            known.setdefault(r, []).append(np.frombuffer(pairs, np.uint64))
+            held += len(pairs) // 8
+            if held > 2 * PAIRS:
+                known = {k: [np.unique(np.concatenate(parts))] for k, parts in known.items()}
+                held = 0
+    for parts in known.values():
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(parts)).view(np.int64), pa.int64())], ["pair"])
+
+
 def _counted(shared):
     def run(batches):
         sieve, perfect = shared.value
@@ -246,13 +394,14 @@ def _renumbered(shared):
     def run(batches):
         sieve, perfect, numbers = shared.value
         for batch in batches:
-            for s, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s, t = np.frombuffer(s, np.uint32), np.frombuffer(t, np.uint32).copy() if t else np.zeros(len(s) // 4, np.uint32)
-                at, pairs = _pairs(s)
+            for s, t in zip(batch.column(0), batch.column(1), strict=True):
+                own = unpacked(s.as_buffer(), np.uint32)
+                t = unpacked(t.as_buffer(), np.uint32).copy() if t.is_valid else np.zeros(len(own), np.uint32)
+                at, pairs = _pairs(own)
                 some = _alive(pairs, sieve)
                 at, slot = at[some], perfect.slots(pairs[some])
                 t[at[slot >= 0]] = numbers[slot[slot >= 0]]
-                yield pa.RecordBatch.from_arrays([pa.array([s.tobytes()], pa.binary()), pa.array([t.tobytes()], pa.binary())], ["s", "t"])
+                yield pa.RecordBatch.from_arrays([pa.array([s.as_py()], pa.binary()), pa.array([packed(t)], pa.binary())], ["s", "t"])
 
     return run
 
@@ -261,32 +410,32 @@ def _renumbered(shared):
 
 def _summed(least: int | None):
     def run(batches):
-        sums: dict[tuple[int, int], np.ndarray] = {}
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for chunk, branch, kind, counts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                part = np.frombuffer(counts, kind).astype(np.int64)
-                sums[chunk, branch] = sums[chunk, branch] + part if (chunk, branch) in sums else part
-        for (chunk, branch), part in sums.items():
-            yield _chunk_row(chunk, branch, part if least is None else np.minimum(part, least))
+            for chunk, kind, counts in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                part = unpacked(counts, kind)
+                if chunk in sums:
+                    total = sums[chunk].astype(np.int64) + part
+                    part = total if least is None else np.minimum(total, least)
+                sums[chunk] = part.astype(np.min_scalar_type(int(part.max())), copy=False)
+        for chunk, part in sums.items():
+            yield _chunk_row(chunk, part)
 
     return run
 
 
 def tree_sum(arrays: DataFrame, size: int, least: int | None = None) -> np.ndarray:
-    """The sum of the arrays of all tasks, FAN by FAN, each part of an array by itself; only the last sum, of `size` numbers, comes back.
-    arrays: a written table."""
-    top = arrays.agg(F.max("branch")).first()[0]
-    while top is not None:
-        top //= FAN
-        dealt = arrays.withColumn("branch", F.expr(f"branch div {FAN}")).repartition("chunk", "branch")
-        arrays = dealt.mapInArrow(_summed(least), ARRAYS)
-        if top == 0:
-            break
+    """The sum of the arrays that tasks have written, FAN by FAN; only the last one, of `size` numbers, comes back."""
+    branches = arrays.agg(F.count_distinct("branch")).first()[0]
+    while branches > 1:
+        branches = -(-branches // FAN)
+        arrays = written(arrays.coalesce(branches).mapInArrow(_summed(least), ARRAYS), "phrase-sums")
     out = np.zeros(size, np.int64)
     for r in arrays.toLocalIterator():
-        part = np.frombuffer(r["counts"], r["kind"])
-        out[r["chunk"] * CHUNK : r["chunk"] * CHUNK + len(part)] += part
-    return out
+        part = unpacked(r["counts"], r["kind"])
+        at = slice(r["chunk"] * CHUNK, r["chunk"] * CHUNK + len(part))
+        out[at] += part
+    return out if least is None else np.minimum(out, least)
 
 
 # -- levels
@@ -335,10 +484,10 @@ def _frequent_pairs(rows: DataFrame, width: int, least: int, size: int, renumber
     """first, last, f and id of the pairs of numbers side by side that occur `least` times, and the rows with the ids of those pairs."""
     spark = rows.sparkSession
     put = spark.sparkContext.broadcast
-    cells = tree_sum(written(rows.mapInArrow(_sieved(width, least), ARRAYS), "phrase-sieve"), 1 << width, least)
-    sieve = np.packbits(cells >= least, bitorder="little")
+    sieve = _sieve(rows, _pair_keys, width, least)
     shared_sieve = put(sieve)
-    pairs = written(rows.mapInArrow(_candidates(shared_sieve), "pair long").distinct(), "phrase-candidates")
+    ranged = rows.mapInArrow(_candidates(shared_sieve), "range int, pairs binary").repartition("range")
+    pairs = written(ranged.mapInArrow(_merged, "pair long"), "phrase-candidates")
     base, level, out = 1, None, rows.withColumn("t", F.lit(None).cast("binary"))
     for part in _rounds(pairs, "pair", size):
         perfect = PerfectHash(part.toArrow().column(0).to_numpy().view(np.uint64))
@@ -395,11 +544,14 @@ def collocations(
     it occurs at least `cover` percent as often. size: keys of a perfect hash; sieve: most cells of the sieve."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    counts = written(texts.mapInArrow(_count_words, "lang string, word binary, n long"), "phrase-counts")
-    totals = written(counts.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
-    every = totals.agg(F.sum("n")).first()[0] or 0
-    width = min(sieve.bit_length() - 1, max(16, (every // LOAD).bit_length()))
-    words = written(counts.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least).withColumn("key", key_column()), "phrase-frequent")
+    size_of_all = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    width = min(sieve.bit_length() - 1, max(16, (size_of_all // (LOAD * BYTES_A_WORD)).bit_length()))
+    shared = spark.sparkContext.broadcast(_sieve(texts, _word_keys, width, least))
+    ranged = texts.mapInArrow(_count_words(shared), "range int, lang string, words array<binary>, counts array<long>").repartition("range").sortWithinPartitions("range")
+    counts = written(ranged.mapInArrow(_merged_words(least), "lang string, word binary, n long"), "phrase-counts")
+    shared.unpersist()
+    totals = written(counts.where("word IS NULL AND n > 0").select("lang", "n"), "phrase-totals")
+    words = written(counts.where("word IS NOT NULL").withColumn("key", key_column()), "phrase-frequent")
     below, rows = _word_level(words, texts, size)
     below = written(below, "phrase-level")
 

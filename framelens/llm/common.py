@@ -24,23 +24,41 @@ def shared_dir(spark: SparkSession) -> str:
         sc = spark.sparkContext
         base = sc.getCheckpointDir()
         if not base:
-            if not sc.master.startswith("local"):
+            if sc.master != "local" and not sc.master.startswith("local["):
                 raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="framelens-"))
             base = sc.getCheckpointDir()
     return f"{base.rstrip('/')}/framelens-{spark.sparkContext.applicationId}"
 
 
+#: Paths that scratch() has given out in this process, and that weren't removed.
+_PATHS: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call gets. Remove the application's folder when its work is over."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _PATHS.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}")
+    return _PATHS[-1]
+
+
+def paths() -> list[str]:
+    return list(_PATHS)
+
+
+def remove(spark: SparkSession, some: list[str]) -> None:
+    """Removes tables that nothing reads any more."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in some:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+        _PATHS.remove(path)
 
 
-def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, partition_by: list[str] | None = None, codec: str = "zstd") -> DataFrame:
     """df as a Parquet table in the shared folder: it cuts the lineage and outlives any executor."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    w = df.write.option("compression", "zstd")
+    w = df.write.option("compression", codec)
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

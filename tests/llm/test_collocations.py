@@ -99,11 +99,13 @@ def test_sums_in_a_tree(spark, monkeypatch):
     from framelens.llm import collocations as C
 
     monkeypatch.setattr(C, "FAN", 3)
+    monkeypatch.setattr(C, "CHUNK", 1000)
     rng = np.random.default_rng(0)
-    parts = rng.integers(0, 300, (20, 2 * C.CHUNK + 5))
-    rows = [(c, b, "<i8", parts[b, c * C.CHUNK : (c + 1) * C.CHUNK].astype("<i8").tobytes()) for b in range(20) for c in range(3)]
-    got = C.tree_sum(spark.createDataFrame([(*r[:3], bytearray(r[3])) for r in rows], C.ARRAYS), parts.shape[1])
-    assert (got == parts.sum(0)).all()
+    parts = rng.integers(0, 300, (20, 2005))
+    rows = [(c, b, "<i8", C.packed(parts[b, c * C.CHUNK : (c + 1) * C.CHUNK].astype("<i8"))) for b in range(20) for c in range(-(-parts.shape[1] // C.CHUNK))]
+    df = spark.createDataFrame([(*r[:3], bytearray(r[3])) for r in rows], C.ARRAYS).repartition(9)
+    assert (C.tree_sum(df, parts.shape[1]) == parts.sum(0)).all()
+    assert (C.tree_sum(df, parts.shape[1], 700) == np.minimum(parts.sum(0), 700)).all()
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])

@@ -73,3 +73,14 @@ def test_oracle(spark, duck, name):
     from tests.compare import same
 
     same(queries.queries()[name](spark, SF).toPandas(), duck.sql(queries.oracle_sql()[name]).df())
+
+
+def test_nothing_is_left_in_the_shared_folder(spark):
+    import corpus_pipeline as c
+    from framelens.llm.common import paths
+
+    before = set(paths())
+    out = c.run(spark, SF)
+    left = [p for p in paths() if p not in before]
+    assert len(left) == 1 and "stage-byte_bpe" in left[0]
+    assert out.count() > 0 and out.where("n_tokens IS NULL").count() == 0
