@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelens.llm import bpe, line_dedup, mixing, ngram_join, toxicity
-from framelens.llm.common import join_small, keyed, written
+from framelens.llm.common import join_small, keyed, paths, remove, written
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
@@ -69,7 +69,12 @@ STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_repeated_lines), ("ngram
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage. When a stage is written, what it has left in the shared folder goes, and so does the stage before it."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
+        before = set(paths())
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        made = [p for p in paths() if p not in before]
+        remove(spark, made[:-1] + last)
+        last = made[-1:]
     return docs
