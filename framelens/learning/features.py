@@ -1,9 +1,15 @@
-"""Sparse text features in column expressions: windows of words and characters, counts, hashed buckets, tf-idf.
+"""Sparse text features: windows of words and characters, counts, hashed buckets, tf-idf.
 
-A row's features are worked out within the row, without a shuffle: windows are sorted and equal neighbours counted."""
+A row's features are worked out within the row, without a shuffle: windows are sorted and equal neighbours counted. The expressions are
+for names and the like; `with_vectors` makes the same buckets of whole texts in batches."""
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,9 +36,14 @@ def char_windows(text: Column, low: int = 3, high: int = 5) -> Column:
     return F.flatten(F.transform(words(text), lambda w: _let(F.concat(F.lit(" "), w, F.lit(" ")), of_word)))
 
 
+def word_tokens(text: Column) -> Column:
+    """Words of at least two letters or digits, in lower case."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+
+
 def word_windows(text: Column) -> Column:
     """Words of at least two letters or digits, and pairs of neighbours."""
-    one = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    one = word_tokens(text)
     two = lambda w: F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))).otherwise(F.array().cast("array<string>"))
     return _let(one, lambda w: F.concat(w, two(w)))
 
@@ -82,6 +93,109 @@ def beside(left: Column, right: Column, size: int) -> Column:
     return F.concat(left, F.transform(right, lambda x: F.struct((x["index"] + size).alias("index"), x["value"].alias("value"))))
 
 
+#: Windows that a task remembers the buckets of, bits of a character's number in a window, and elements of vectors that are handed on at once.
+KNOWN, BITS, HANDED = 1_000_000, 12, 2_000_000
+
+
+def _digests(terms, size: int) -> np.ndarray:
+    return np.frombuffer(b"".join(hashlib.md5(t.encode(), usedforsecurity=False).digest() for t in terms), ">u4")[::4].astype(np.int64) % size
+
+
+def _summed(bucket: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sublinear counts of distinct terms, added up by bucket in order of their size, at length one."""
+    own = 1.0 + np.log(n)
+    order = np.lexsort((own, bucket))
+    index, at = np.unique(bucket[order], return_inverse=True)
+    value = np.bincount(at, own[order], len(index))
+    return index, value / np.sqrt(np.cumsum(value * value)[-1:])
+
+
+class _Windows:
+    """Windows of 3 to `high` characters as numbers, so that they are counted without a string each, and the buckets of those seen before."""
+
+    def __init__(self, size: int, high: int):
+        self.size, self.high = size, high
+        self.number, self.seen = np.zeros(0x110000, np.int64), 0
+        self.of: dict[int, int] = {}
+
+    def _numbered(self, codes: np.ndarray) -> np.ndarray | None:
+        """Characters by number, from 1; None where they are more than the bits of a window hold."""
+        new = np.unique(codes[self.number[codes] == 0])
+        if self.seen + len(new) >= 1 << BITS:
+            self.number[:], self.seen, self.of = 0, 0, {}
+            new = np.unique(codes)
+            if len(new) >= 1 << BITS:
+                return None
+        self.number[new] = self.seen + 1 + np.arange(len(new))
+        self.seen += len(new)
+        return self.number[codes]
+
+    def vector(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        s = f" {' '.join(w for w in words if w)} "
+        if s == "  ":
+            return np.zeros(0, np.int64), np.zeros(0)
+        codes = np.frombuffer(s.encode("utf-32-le"), np.uint32)
+        number, gap = self._numbered(codes), codes == 32
+        # within a word with a space at both ends: no space but at the ends of the window
+        keys, at, sizes = [], [], []
+        inner = np.zeros(len(codes), bool)
+        key = None if number is None else number[:-1] | number[1:] << BITS
+        for n in range(3, self.high + 1):
+            inner = inner[: len(codes) - n + 1] | gap[n - 2 : len(codes) - 1]
+            here = np.flatnonzero(~inner)
+            if number is not None:
+                key = key[: len(codes) - n + 1] | number[n - 1 :] << BITS * (n - 1)
+                keys.append(key[here])
+            at.append(here)
+            sizes.append(np.full(len(here), n))
+        at, sizes = np.concatenate(at), np.concatenate(sizes)
+        if number is None:
+            count = Counter(s[i : i + n] for i, n in zip(at.tolist(), sizes.tolist(), strict=True))
+            return _summed(_digests(count, self.size), np.array(list(count.values()), float))
+        keys, first, n = np.unique(np.concatenate(keys), return_index=True, return_counts=True)
+        bucket = np.array([self.of.get(k, -1) for k in keys.tolist()], np.int64)
+        new = np.flatnonzero(bucket < 0)
+        if len(new):
+            bucket[new] = _digests([s[i : i + m] for i, m in zip(at[first[new]].tolist(), sizes[first[new]].tolist(), strict=True)], self.size)
+            self.of = self.of if len(self.of) < KNOWN else {}
+            self.of.update(zip(keys[new].tolist(), bucket[new].tolist(), strict=True))
+        return _summed(bucket, n.astype(float))
+
+
+def _pairs_vector(tokens: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    count = Counter(tokens)
+    count.update(f"{a} {b}" for a, b in zip(tokens, tokens[1:]))
+    return _summed(_digests(count, size), np.array(list(count.values()), float)) if count else (np.zeros(0, np.int64), np.zeros(0))
+
+
+_VECTOR = pa.struct([("index", pa.int32()), ("value", pa.float64())])
+
+
+def with_vectors(df: DataFrame, text_col: str, size: int, high: int = 5) -> DataFrame:
+    """df with `vector` in place of the text: `size` buckets of words and their pairs, then `size` of the windows of 3 to high (at most 5) characters, as
+    beside(hashed(counted(word_windows)), hashed(counted(char_windows))) with sublinear counts has them. Spark splits the text."""
+    if not 3 <= high <= 5:
+        raise ValueError("high must lie between 3 and 5")
+    text, rest = F.col(text_col), [c for c in df.columns if c != text_col]
+
+    def run(batches):
+        windows = _Windows(size, high)
+        for b in batches:
+            kept, made, n, first = b.select(range(len(rest))), [], 0, 0
+            for i in range(b.num_rows):
+                (a, x), (c, y) = _pairs_vector(b.column(len(rest))[i].as_py(), size), windows.vector(b.column(len(rest) + 1)[i].as_py())
+                made.append((np.concatenate([a, c + size]), np.concatenate([x, y])))
+                n += len(made[-1][0])
+                if n >= HANDED or i + 1 == b.num_rows:
+                    flat = pa.StructArray.from_arrays([pa.array(np.concatenate([v[0] for v in made]).astype(np.int32)), pa.array(np.concatenate([v[1] for v in made]))], fields=list(_VECTOR))
+                    ends = np.cumsum([0] + [len(v[0]) for v in made]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([*kept.slice(first, len(made)).columns, pa.ListArray.from_arrays(pa.array(ends), flat)], [*rest, "vector"])
+                    made, n, first = [], 0, i + 1
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*rest).schema.fields)
+    return df.select(*rest, word_tokens(text), F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+")).mapInArrow(run, f"{schema}, vector array<struct<index:int,value:double>>")
+
+
 def tfidf(df: DataFrame, id_col: str, windows: Column, least: int = 1, most: int = 300_000) -> DataFrame:
     """id, term, weight: sublinear counts times ln((1 + rows) / (1 + rows with the term)) + 1, at length one in each row, over the `most` most
     frequent terms (ties by term) of at least `least` rows. Rows without such a term have none."""

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -53,71 +54,98 @@ def balanced(rows: DataFrame) -> tuple[DataFrame, dict[int, tuple[float, float]]
 
 
 class _Run:
-    """One part of a pass: w = scale * v, and the sum of all w as mass * v - held, so that a step costs what its row has."""
-
-    def __init__(self, start: np.ndarray, alpha: float, rate: float, steps: int):
-        self.v, self.held = start.copy(), np.zeros_like(start)
-        self.scale, self.mass, self.steps, self.done = 1.0, 0.0, steps, 0
+    """One part of a pass, its models side by side: w = scale * v, and the sum of all w as mass * v - held, so that a step costs what its row has.
+    A place holds v of all models, then held of all, and is read and written as one item."""
+
+    def __init__(self, start: np.ndarray, alpha: float, rate: float, steps: np.ndarray):
+        k = start.shape[1]
+        self.both = np.zeros((len(start), 2 * k))
+        self.both[:, :k] = start
+        self.v, self.held, self.places = self.both[:, :k], self.both[:, k:], self.both.view(f"V{16 * k}").ravel()
+        self.scale, self.mass, self.steps, self.done = np.ones(k), np.zeros(k), steps.astype(float), np.zeros(k)
         self.alpha, self.rate = alpha, rate
-        self.loss = self.seen = 0.0
-
-    def step(self, at: np.ndarray, x: np.ndarray, label: float, weight: float) -> None:
-        z = self.scale * float(self.v[at] @ x) + self.v[-1]
-        self.loss += weight * (max(z, 0.0) - z * label + math.log1p(math.exp(-abs(z))))
-        self.seen += weight
-        eta = self.rate / (1.0 + self.alpha * self.rate * self.steps)
-        slope = weight * ((1.0 / (1.0 + math.exp(-z)) if z >= 0 else math.exp(z) / (1.0 + math.exp(z))) - label)
-        self.scale *= 1.0 - eta * self.alpha
-        change = -eta * slope / self.scale * x
-        self.v[at] += change
-        self.held[at] += self.mass * change
-        self.held[-1] += self.done * -eta * slope  # the bias doesn't shrink
-        self.v[-1] += -eta * slope
-        self.mass += self.scale
-        self.steps += 1
-        self.done += 1
-        if self.scale < 1e-6:
-            self._rescale()
-
-    def _rescale(self) -> None:
+        self.loss, self.seen = np.zeros(k), np.zeros(k)
+
+    def step(self, at: np.ndarray, x: np.ndarray, m: np.ndarray, label: np.ndarray, weight: np.ndarray) -> None:
+        """A row that trains the models m, each at most once; the others stay as they are."""
+        k, near = len(self.scale), self.both.take(at, axis=0)
+        z = self.scale[m] * (x @ near[:, :k])[m] + self.v[-1, m]
+        small = np.exp(-np.abs(z))
+        self.loss[m] += weight * (np.maximum(z, 0.0) - z * label + np.log1p(small))
+        self.seen[m] += weight
+        eta = self.rate / (1.0 + self.alpha * self.rate * self.steps[m])
+        move = -eta * weight * (np.where(z >= 0, 1.0, small) / (1.0 + small) - label)
+        self.scale[m] *= 1.0 - eta * self.alpha
+        by = np.zeros(2 * k)
+        by[m] = move / self.scale[m]
+        by[k:] = self.mass * by[:k]
+        near += np.multiply.outer(x, by)
+        self.places[at] = near.view(self.places.dtype).ravel()
+        self.held[-1, m] += self.done[m] * move  # the bias doesn't shrink
+        self.v[-1, m] += move
+        self.mass[m] += self.scale[m]
+        self.steps[m] += 1
+        self.done[m] += 1
+        for i in np.flatnonzero(self.scale < 1e-6):
+            self._rescale(i)
+
+    def _rescale(self, i: int) -> None:
         # the sum so far is mass * v - held; with v' = scale * v it is (mass / scale) * v' - held
-        self.v[:-1] *= self.scale
-        self.mass /= self.scale
-        self.scale = 1.0
-
-    def result(self) -> tuple[np.ndarray, np.ndarray]:
-        last, total = self.v.copy(), self.mass * self.v - self.held
-        last[:-1] *= self.scale
-        total[-1] = self.done * self.v[-1] - self.held[-1]
+        self.v[:-1, i] *= self.scale[i]
+        self.mass[i] /= self.scale[i]
+        self.scale[i] = 1.0
+
+    def result(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        last, total = self.v[:, i].copy(), self.mass[i] * self.v[:, i] - self.held[:, i]
+        last[:-1] *= self.scale[i]
+        total[-1] = self.done[i] * self.v[-1, i] - self.held[-1, i]
         return last, total
 
 
-def _pass(shared, alpha: float, rate: float, steps: dict, live: set):
+_BYTES = ["at", "x", "models", "labels", "weights"]
+
+
+def _packed(batches):
+    """Rows with their vector and tasks as bytes: a third of the size, moved and kept as they are."""
+    for b in batches:
+        out = []
+        for vector, given in zip(b.column("vector"), b.column("tasks"), strict=True):
+            v, t = vector.values, given.values
+            out.append([b"" if v is None else v.field(0).to_numpy().tobytes(), b"" if v is None else v.field(1).to_numpy().tobytes(), *(t.field(i).to_numpy().tobytes() for i in range(3))])
+        kept = ["part", "_at", "_id"]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *(pa.array([r[i] for r in out], pa.binary()) for i in range(len(_BYTES)))], [*kept, *_BYTES])
+
+
+def _pass(shared, alpha: float, rate: float, live: list[int]):
+    """A pass of some models. shared: the weights of all models, and for each part the steps that they have taken."""
+
     def run(batches):
-        part, runs = None, {}
+        part, now = None, None
+        place = np.full(max(live) + 1, -1)
+        place[live] = np.arange(len(live))
 
         def out():
-            for m, r in runs.items():
-                last, total = r.result()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([m], pa.int32()), pa.array([part], pa.int32()), pa.array([r.done], pa.int64()), pa.array([(r.done * last).tobytes()], pa.binary()), pa.array([total.tobytes()], pa.binary()), pa.array([r.loss]), pa.array([r.seen])],
-                    ["model", "part", "n", "last", "total", "loss", "seen"],
-                )
+            for i, m in enumerate(live):
+                if now is not None and now.done[i]:
+                    last, total = now.result(i)
+                    n = int(now.done[i])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([m], pa.int32()), pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([(n * last).tobytes()], pa.binary()), pa.array([total.tobytes()], pa.binary()), pa.array([now.loss[i]]), pa.array([now.seen[i]])],
+                        ["model", "part", "n", "last", "total", "loss", "seen"],
+                    )
 
         for b in batches:
-            for p, vector, given in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            for p, *row in zip(b.column(0).to_pylist(), *(b.column(i) for i in range(1, 6)), strict=True):
                 if p != part:
                     yield from out()
-                    part, runs = p, {}
-                flat = vector.values
-                at, x = (flat.field(0).to_numpy(), flat.field(1).to_numpy()) if flat is not None else (np.zeros(0, np.int32), np.zeros(0))
-                for t in given:
-                    m = t["model"]
-                    if m not in live:
-                        continue
-                    if m not in runs:
-                        runs[m] = _Run(shared.value[m], alpha, rate, steps.get((m, p), 0))
-                    runs[m].step(at, x, t["label"], t["weight"])
+                    weights, steps = shared.value
+                    part, now = p, _Run(weights[live].T, alpha, rate, steps[p, live])
+                at, x, m, label, weight = (np.frombuffer(c.as_buffer(), kind) for c, kind in zip(row, (np.int32, np.float64, np.int32, np.float64, np.float64), strict=True))
+                m = np.where(m < len(place), place[np.minimum(m, len(place) - 1)], -1)
+                if (m < 0).any():
+                    m, label, weight = m[m >= 0], label[m >= 0], weight[m >= 0]
+                if len(m):
+                    now.step(at, x, m, label, weight)
         yield from out()
 
     return run
@@ -138,7 +166,7 @@ def _summed(batches):
 
 
 def fit_sgd(rows: DataFrame, models: int, size: int, id_col: str = "id", alpha: float = 1e-5, rate: float = 0.5, passes: int = 20, tol: float = 1e-4, patience: int = 5, parts: int | None = None) -> Models:
-    """rows: id, vector (array of index and value) and tasks (see `tasks`). A model ends after `passes` or when its own loss hasn't improved by tol for
+    """rows: id, vector (array of index and value) and tasks (see `tasks`; a row trains a model at most once). A model ends after `passes` or when its own loss hasn't improved by tol for
     `patience` passes, so that no model depends on the rows of another. A model whose rows all have one label, or that has no rows, is constant: that label, or a half."""
     if not 0 < alpha * rate < 1:
         raise ValueError("alpha times rate must lie between 0 and 1")
@@ -157,18 +185,22 @@ def fit_sgd(rows: DataFrame, models: int, size: int, id_col: str = "id", alpha:
     part = F.pmod(F.conv(F.substring(digest, 9, 7), 16, 10).cast("long"), F.lit(parts)).cast("int")
     given = F.filter("tasks", lambda t: t["model"].isin(live))
     dealt = rows.select(part.alias("part"), "vector", given.alias("tasks"), digest.alias("_at"), F.col(id_col).alias("_id")).where(F.size("tasks") > 0)
-    dealt = dealt.repartition(parts, "part").sortWithinPartitions("part", "_at", "_id").select("part", "vector", "tasks").persist()
+    packed = dealt.mapInArrow(_packed, f"part int, _at string, _id {rows.schema[id_col].dataType.simpleString()}, {', '.join(f'{c} binary' for c in _BYTES)}")
+    # one part a task, whatever its number hashes to; kept as rows, as a cached plan isn't found again below a union
+    dealt = packed.repartitionById(parts, "part").sortWithinPartitions("part", "_at", "_id").select("part", *_BYTES).localCheckpoint()
 
     weights, total, count = np.zeros((models, size + 1)), np.zeros((models, size + 1)), np.zeros(models)
-    steps: dict[tuple[int, int], int] = {}
+    steps = np.zeros((parts, models), np.int64)
     best, stale = dict.fromkeys(live, math.inf), dict.fromkeys(live, 0)
     out.losses = {m: [] for m in live}
     for _ in range(passes):
-        shared = spark.sparkContext.broadcast(weights)
-        taken = dealt.mapInArrow(_pass(shared, alpha, rate, steps, set(live)), _OUT).persist()
+        shared = spark.sparkContext.broadcast((weights, steps))
+        # models don't meet within a pass: where there are fewer parts than cores, several tasks read a part, each for some models
+        groups = min(len(live), -(-spark.sparkContext.defaultParallelism // parts))
+        taken = reduce(DataFrame.union, [dealt.mapInArrow(_pass(shared, alpha, rate, live[i::groups]), _OUT) for i in range(groups)]).persist()
         for r in taken.select("model", "part", "n").collect():
-            steps[r["model"], r["part"]] = steps.get((r["model"], r["part"]), 0) + r["n"]
-        for r in taken.repartition(len(live), "model").mapInArrow(_summed, _OUT).toLocalIterator():
+            steps[r["part"], r["model"]] += r["n"]
+        for r in taken.repartitionById(len(live), F.array_position(F.array(*map(F.lit, live)), F.col("model")).cast("int") - 1).sortWithinPartitions("model", "part").mapInArrow(_summed, _OUT).collect():
             m, loss = r["model"], r["loss"] / r["seen"]
             weights[m] = np.frombuffer(r["last"]) / r["n"]
             total[m] += np.frombuffer(r["total"])
@@ -181,7 +213,6 @@ def fit_sgd(rows: DataFrame, models: int, size: int, id_col: str = "id", alpha:
         live = [m for m in live if stale[m] < patience]
         if not live:
             break
-    dealt.unpersist()
     out.weights = total / np.maximum(count, 1)[:, None]
     return out
 

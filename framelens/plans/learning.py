@@ -36,34 +36,36 @@ def char_hashed(spark, d):
     return _names(spark, d).select("p_partkey", F.explode(v).alias("x")).select("p_partkey", F.col("x.index").alias("bucket"), F.round("x.value", 6).alias("value"))
 
 
-def vectors(spark, d, name: str):
-    """id, lang, weight, fold (whole sources), part, quality, toxic (null without a label) and vector of every document, as a written table."""
-    docs = table(spark, d, "documents").join(table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")), "doc_id", "left")
+def vectors(spark, d, name: str, only=None):
+    """id, lang, weight, fold (whole sources), part, quality, toxic (null without a label) and vector of every document, or of those for which `only`, a
+    condition on the labels, holds, as a written table."""
+    labels = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    docs = table(spark, d, "documents").join(labels, "doc_id", "left")
+    docs = docs if only is None else docs.where(only)
     digit = lambda c, k: F.pmod(F.conv(F.substring(F.md5(c), 1, 7), 16, 10).cast("int"), F.lit(k)).cast("int")
-    word = features.hashed(features.counted(features.word_windows(F.col("text"))), SIZE, sublinear=True)
-    char = features.hashed(features.counted(features.char_windows(F.col("text"), LOW, HIGH)), SIZE, sublinear=True)
     rows = docs.select(
         F.col("doc_id").alias("id"), F.coalesce("lang", F.lit("und")).alias("lang"), (1.0 + F.col("doc_id") % 4).alias("weight"), digit(F.coalesce("source", F.lit("")), FOLDS).alias("fold"),
-        digit(F.concat(F.col("doc_id").cast("string"), F.lit("p")), INNER).alias("part"), "quality", "toxic", features.beside(word, char, SIZE).alias("vector"),
+        digit(F.concat(F.col("doc_id").cast("string"), F.lit("p")), INNER).alias("part"), "quality", "toxic", "text",
     )
-    return written(rows, scratch(spark, name))
+    # the text costs more than its bytes tell: dealt over all cores, however few files it comes from
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return written(features.with_vectors(rows.repartition(tasks), "text", SIZE, HIGH), scratch(spark, name))
 
 
 def sgd_scores(spark, d):
     """Out-of-fold scores of quality and toxicity by averaged gradient descent with balanced labels, folds of whole sources, all ten models in one run."""
-    rows = vectors(spark, d, "sgd")
+    rows = vectors(spark, d, "sgd", F.col("quality").isNotNull() | F.col("toxic").isNotNull())
     heads = ["quality", "toxic"]
     own = [(FOLDS * h + f, F.when(F.col("fold") != f, F.col(c)), F.col("weight")) for h, c in enumerate(heads) for f in range(FOLDS)]
     ready, _ = linear.balanced(rows.select("id", "vector", linear.tasks(*own).alias("tasks")))
     models = linear.fit_sgd(ready, FOLDS * len(heads), 2 * SIZE, passes=10)
-    labelled = rows.where("quality IS NOT NULL OR toxic IS NOT NULL")
-    out = linear.scored(labelled, models, only=F.array(*[F.col("fold") + FOLDS * h for h in range(len(heads))]))
+    out = linear.scored(rows, models, only=F.array(*[F.col("fold") + FOLDS * h for h in range(len(heads))]))
     return out.select("id", F.floor(F.col("model") / FOLDS).cast("int").alias("m"), F.round("score", 6).alias("score")).select("id", F.element_at(F.array(*map(F.lit, heads)), F.col("m") + 1).alias("head"), "score")
 
 
 def calibrated_scores(spark, d):
     """Out-of-fold scores of quality before and after sigmoid calibration within the training folds."""
-    rows = vectors(spark, d, "calibrated").where("quality IS NOT NULL").withColumnRenamed("quality", "label")
+    rows = vectors(spark, d, "calibrated", F.col("quality").isNotNull()).withColumnRenamed("quality", "label")
     out = calibration.calibrated_oof(rows, 2 * SIZE, FOLDS, scratch(spark, "margins"), INNER, passes=8)
     return out.select("id", "fold", F.round("plain", 6).alias("plain"), F.round("probability", 6).alias("probability"))
 
@@ -76,7 +78,7 @@ def _teachers(rows):
 
 def active_rounds(spark, d):
     """Rounds of active learning on the labelled documents, with a random control."""
-    rows = _teachers(vectors(spark, d, "active").where("toxic IS NOT NULL"))
+    rows = _teachers(vectors(spark, d, "active", F.col("toxic").isNotNull()))
     out = loops.active_loop(rows, ["first", "second"], "toxic", 2 * SIZE, scratch(spark, "active-rounds"), loops.Plan(rounds=4, disagree=20, uncertain=20, anchors=10), passes=5)
     return out.select("round", "n_revealed", "n_anchors", "anchor_positives", F.round("anchor_rate", 6).alias("anchor_rate"), F.round("holdout_ap", 6).alias("holdout_ap"), F.round("control_ap", 6).alias("control_ap"), F.round("churn", 6).alias("churn"), "stopped")
 
