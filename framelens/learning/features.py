@@ -202,7 +202,8 @@ def tfidf(df: DataFrame, id_col: str, windows: Column, least: int = 1, most: int
     terms = df.select(F.col(id_col).alias("_id"), F.explode(counted(windows)).alias("x")).select("_id", "x.term", "x.n")
     known = terms.groupBy("term").agg(F.count("*").alias("rows"), F.sum("n").alias("total")).where(F.col("rows") >= least).orderBy(F.desc("total"), "term").limit(most)
     size = df.agg(F.count("*").alias("size"))
-    known = known.join(size).select("term", (F.log((1.0 + F.col("size")) / (1.0 + F.col("rows"))) + 1.0).alias("idf"))
-    raw = terms.join(known, "term").select("_id", "term", ((1.0 + F.log(F.col("n").cast("double"))) * F.col("idf")).alias("w"))
+    known = known.join(F.broadcast(size)).select("term", (F.log((1.0 + F.col("size")) / (1.0 + F.col("rows"))) + 1.0).alias("idf"))
+    # of the two sides only the vocabulary has a bound: the windows of all rows must not be broadcast, however small they are guessed to be
+    raw = terms.join(F.broadcast(known), "term").select("_id", "term", ((1.0 + F.log(F.col("n").cast("double"))) * F.col("idf")).alias("w"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("_id")))
     return raw.select(F.col("_id").alias(id_col), "term", (F.col("w") / length).alias("weight"))

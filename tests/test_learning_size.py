@@ -27,3 +27,11 @@ def test_models_side_by_side(spark):
     for parts in (1, 5):
         together = fit(own, 3, parts)
         assert np.allclose(fit([(0, *own[2][1:])], 1, parts).weights[0], together.weights[2], atol=1e-12)
+
+
+def test_tfidf_broadcasts_the_vocabulary(spark):
+    """The exploded windows of a small file pass for small too; they stay where they are."""
+    df = spark.createDataFrame([(i, f"ab{i} cd") for i in range(50)], "id int, name string")
+    plan = features.tfidf(df, "id", features.char_windows(F.col("name")), 1, 10)._jdf.queryExecution().sparkPlan().toString()
+    join = next(x for x in plan.splitlines() if "BroadcastHashJoin [term" in x)
+    assert "BuildRight" in join and "Inner" in join
