@@ -22,8 +22,8 @@ def _terms(a, b):
 
 def fit_sigmoid(scores: DataFrame, by: str, rounds: int = 50) -> dict:
     """(a, b) of each group, so that 1 / (1 + exp(a score + b)) is the probability of label 1. scores, a written table: by, score (a margin), label
-    (0 or 1; null is left out). Labels are smoothed by the counts of both, so that separable scores have a finite fit. Each step is one pass for
-    the gradient and one for the lengths; only sums come to the driver, some numbers for each group."""
+    (0 or 1; null is left out). Labels are smoothed by the counts of both, so that separable scores have a finite fit. Each step is one pass, for the
+    losses of all lengths and the gradients there, of which the next step needs one; only sums come to the driver, some numbers for each group."""
     rows = scores.where("label IS NOT NULL AND score IS NOT NULL").select(F.col(by).alias("g"), F.col("score").cast("double"), F.col("label").cast("double").alias("y"))
     n = {r["g"]: (r["n1"], r["n0"]) for r in rows.groupBy("g").agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0")).collect()}
     spark = scores.sparkSession
@@ -37,36 +37,35 @@ def fit_sigmoid(scores: DataFrame, by: str, rounds: int = 50) -> dict:
     if not n:
         return {}
     aimed = rows.join(table(smooth, "high double, low double"), "g").withColumn("t", F.when(F.col("y") > 0, F.col("high")).otherwise(F.col("low")))
-    open_ = set(now)
-    for _ in range(rounds):
-        x = aimed.join(table({g: now[g] for g in open_}, "a double, b double"), "g")
+
+    def sums(tried: dict) -> dict:
+        """Loss, gradient and second derivatives at each of the (a, b) of each group, by group and number, in one pass."""
+        at = spark.createDataFrame([(g, i, float(a), float(b)) for g, each in tried.items() for i, (a, b) in enumerate(each)], f"g {kind}, i int, a double, b double")
         loss, p = _terms(F.col("a"), F.col("b"))
         d, h, s = F.col("t") - p, p * (1 - p), F.col("score")
-        sums = x.groupBy("g").agg(F.sum(loss).alias("loss"), F.sum(s * d).alias("g1"), F.sum(d).alias("g2"), F.sum(s * s * h).alias("h11"), F.sum(h).alias("h22"), F.sum(s * h).alias("h21")).collect()
-        steps, before, slope = {}, {}, {}
-        for r in sums:
+        each = aimed.join(F.broadcast(at), "g").groupBy("g", "i").agg(F.sum(loss).alias("loss"), F.sum(s * d).alias("g1"), F.sum(d).alias("g2"), F.sum(s * s * h).alias("h11"), F.sum(h).alias("h22"), F.sum(s * h).alias("h21"))
+        return {(r["g"], r["i"]): r for r in each.collect()}
+
+    found = sums({g: [x] for g, x in now.items()})
+    here = {g: found[g, 0] for g in now if (g, 0) in found}
+    for _ in range(rounds):
+        tried, slope = {}, {}
+        for g, r in here.items():
             if abs(r["g1"]) < GRADIENT and abs(r["g2"]) < GRADIENT:
-                open_.discard(r["g"])
                 continue
             h11, h22 = r["h11"] + RIDGE, r["h22"] + RIDGE
             det = h11 * h22 - r["h21"] ** 2
             da, db = -(h22 * r["g1"] - r["h21"] * r["g2"]) / det, -(h11 * r["g2"] - r["h21"] * r["g1"]) / det
-            steps[r["g"]], before[r["g"]] = (*now[r["g"]], da, db), r["loss"]
-            slope[r["g"]] = r["g1"] * da + r["g2"] * db
-        if not steps:
-            break
-        x = aimed.join(table(steps, "a double, b double, da double, db double"), "g")
-        tried = x.groupBy("g").agg(*[F.sum(_terms(F.col("a") + k * F.col("da"), F.col("b") + k * F.col("db"))[0]).alias(f"l{i}") for i, k in enumerate(LENGTHS)]).collect()
-        for r in tried:
-            g = r["g"]
-            good = [k for i, k in enumerate(LENGTHS) if r[f"l{i}"] < before[g] + 1e-4 * k * slope[g]]
-            if not good:
-                open_.discard(g)  # as good as sums can tell
-                continue
-            a, b, da, db = steps[g]
-            now[g] = (a + good[0] * da, b + good[0] * db)
-        if not open_:
+            a, b = now[g]
+            tried[g] = [(a + k * da, b + k * db) for k in LENGTHS]
+            slope[g] = r["g1"] * da + r["g2"] * db
+        if not tried:
             break
+        found, before, here = sums(tried), here, {}
+        for g, each in tried.items():
+            good = [i for i, k in enumerate(LENGTHS) if found[g, i]["loss"] < before[g]["loss"] + 1e-4 * k * slope[g]]
+            if good:  # else it is as good as sums can tell
+                now[g], here[g] = each[good[0]], found[g, good[0]]
     return now
 
 
@@ -96,10 +95,11 @@ def calibrated_oof(rows: DataFrame, size: int, folds: int, path: str, inner: int
     # a row is scored by the models of its own fold and by those that left out its part, for their calibration
     which = F.array_compact(F.array(*[F.when((F.col("fold") == f) | (F.lit(k is not None) & (F.col("part") == F.lit(k))), F.lit(i)) for (f, k), i in at.items()]))
     margins = linear.scored(rows.select(id_col, "vector", which.alias("_w")), models, id_col, F.col("_w"), margin=True)
-    margins.write.option("compression", "zstd").parquet(path)
     spark = rows.sparkSession
     names = spark.createDataFrame([(i, f, k) for (f, k), i in at.items()], "model int, of_fold int, of_part int")
-    all_ = spark.read.parquet(path).join(F.broadcast(names), "model").join(rows.select(id_col, "fold", "part", "label"), id_col)
+    # joined before they are written: the fit reads them in every step
+    margins.join(F.broadcast(names), "model").join(rows.select(id_col, "fold", "part", "label"), id_col).write.option("compression", "zstd").parquet(path)
+    all_ = spark.read.parquet(path)
     fits = fit_sigmoid(all_.where("of_part = part AND of_fold <> fold").select("model", "score", "label"), "model")
     held = calibrated(all_.where("of_fold = fold"), "model", fits)
     positives = rows.groupBy("fold").agg(F.sum("label").alias("own"))

@@ -54,66 +54,88 @@ def balanced(rows: DataFrame) -> tuple[DataFrame, dict[int, tuple[float, float]]
 
 
 class _Run:
-    """One part of a pass, its models side by side: w = scale * v, and the sum of all w as mass * v - held, so that a step costs what its row has.
-    A place holds v of all models, then held of all, and is read and written as one item."""
+    """One part of a pass, its models one after the other in each row: w = scale * v, and the sum of all w as mass * v - held, so that a step costs what
+    its row has. A place of a model holds v and held, read and written as one complex number; the bias is beside them."""
 
     def __init__(self, start: np.ndarray, alpha: float, rate: float, steps: np.ndarray):
-        k = start.shape[1]
-        self.both = np.zeros((len(start), 2 * k))
-        self.both[:, :k] = start
-        self.v, self.held, self.places = self.both[:, :k], self.both[:, k:], self.both.view(f"V{16 * k}").ravel()
-        self.scale, self.mass, self.steps, self.done = np.ones(k), np.zeros(k), steps.astype(float), np.zeros(k)
+        k = len(start)
+        self.both = [w[:-1].astype(complex) for w in start]
+        self.bias, self.bias_held = start[:, -1].tolist(), [0.0] * k
+        self.scale, self.mass, self.steps, self.done = [1.0] * k, [0.0] * k, steps.tolist(), [0] * k
         self.alpha, self.rate = alpha, rate
-        self.loss, self.seen = np.zeros(k), np.zeros(k)
+        self.loss, self.seen = [0.0] * k, [0.0] * k
 
     def step(self, at: np.ndarray, x: np.ndarray, m: np.ndarray, label: np.ndarray, weight: np.ndarray) -> None:
         """A row that trains the models m, each at most once; the others stay as they are."""
-        k, near = len(self.scale), self.both.take(at, axis=0)
-        z = self.scale[m] * (x @ near[:, :k])[m] + self.v[-1, m]
-        small = np.exp(-np.abs(z))
-        self.loss[m] += weight * (np.maximum(z, 0.0) - z * label + np.log1p(small))
-        self.seen[m] += weight
-        eta = self.rate / (1.0 + self.alpha * self.rate * self.steps[m])
-        move = -eta * weight * (np.where(z >= 0, 1.0, small) / (1.0 + small) - label)
-        self.scale[m] *= 1.0 - eta * self.alpha
-        by = np.zeros(2 * k)
-        by[m] = move / self.scale[m]
-        by[k:] = self.mass * by[:k]
-        near += np.multiply.outer(x, by)
-        self.places[at] = near.view(self.places.dtype).ravel()
-        self.held[-1, m] += self.done[m] * move  # the bias doesn't shrink
-        self.v[-1, m] += move
-        self.mass[m] += self.scale[m]
-        self.steps[m] += 1
-        self.done[m] += 1
-        for i in np.flatnonzero(self.scale < 1e-6):
-            self._rescale(i)
+        at = at.astype(np.intp)
+        for i, y, w in zip(m.tolist(), label.tolist(), weight.tolist(), strict=True):
+            near = self.both[i][at]
+            z = self.scale[i] * float(x @ near.real) + self.bias[i]
+            small = math.exp(-abs(z))
+            self.loss[i] += w * (max(z, 0.0) - z * y + math.log1p(small))
+            self.seen[i] += w
+            eta = self.rate / (1.0 + self.alpha * self.rate * self.steps[i])
+            move = -eta * w * ((1.0 if z >= 0 else small) / (1.0 + small) - y)
+            self.scale[i] *= 1.0 - eta * self.alpha
+            by = move / self.scale[i]
+            near += x * complex(by, self.mass[i] * by)
+            self.both[i][at] = near
+            self.bias_held[i] += self.done[i] * move  # the bias doesn't shrink
+            self.bias[i] += move
+            self.mass[i] += self.scale[i]
+            self.steps[i] += 1
+            self.done[i] += 1
+            if self.scale[i] < 1e-6:
+                self._rescale(i)
 
     def _rescale(self, i: int) -> None:
         # the sum so far is mass * v - held; with v' = scale * v it is (mass / scale) * v' - held
-        self.v[:-1, i] *= self.scale[i]
+        self.both[i].real *= self.scale[i]
         self.mass[i] /= self.scale[i]
         self.scale[i] = 1.0
 
     def result(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        last, total = self.v[:, i].copy(), self.mass[i] * self.v[:, i] - self.held[:, i]
-        last[:-1] *= self.scale[i]
-        total[-1] = self.done[i] * self.v[-1, i] - self.held[-1, i]
-        return last, total
+        v, held = self.both[i].real, self.both[i].imag
+        return np.append(self.scale[i] * v, self.bias[i]), np.append(self.mass[i] * v - held, self.done[i] * self.bias[i] - self.bias_held[i])
 
 
-_BYTES = ["at", "x", "models", "labels", "weights"]
+_BYTES = ["at", "codes", "values", "models", "labels", "weights"]
+_SHORT = 1 << 16
 
 
-def _packed(batches):
-    """Rows with their vector and tasks as bytes: a third of the size, moved and kept as they are."""
-    for b in batches:
-        out = []
-        for vector, given in zip(b.column("vector"), b.column("tasks"), strict=True):
-            v, t = vector.values, given.values
-            out.append([b"" if v is None else v.field(0).to_numpy().tobytes(), b"" if v is None else v.field(1).to_numpy().tobytes(), *(t.field(i).to_numpy().tobytes() for i in range(3))])
-        kept = ["part", "_at", "_id"]
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *(pa.array([r[i] for r in out], pa.binary()) for i in range(len(_BYTES)))], [*kept, *_BYTES])
+def _places(size: int):
+    """The least type for an index below size."""
+    return np.uint16 if size <= _SHORT else np.int32
+
+
+def _pack(at: np.ndarray, x: np.ndarray, size: int) -> list[bytes]:
+    """A vector as indexes, codes and values. Most values of a text's vector are alike: each is kept once, and its number for every index. Where more
+    differ than a code can number, the values stand in order without codes."""
+    values, codes = np.unique(x, return_inverse=True)
+    if len(values) > _SHORT:
+        return [at.astype(_places(size)).tobytes(), b"", x.tobytes()]
+    return [at.astype(_places(size)).tobytes(), codes.astype(np.uint16).tobytes(), values.tobytes()]
+
+
+def _unpack(at, codes, values, size: int) -> tuple[np.ndarray, np.ndarray]:
+    at, codes, values = np.frombuffer(at, _places(size)), np.frombuffer(codes, np.uint16), np.frombuffer(values)
+    return at, values[codes] if len(codes) else values
+
+
+def _packed(size: int):
+    """Rows with their vector and tasks as bytes: a fraction of the size, moved and kept as they are. Each task of a pass reads them."""
+    none = np.zeros(0, np.int32), np.zeros(0)
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for vector, given in zip(b.column("vector"), b.column("tasks"), strict=True):
+                v, t = vector.values, given.values
+                out.append([*_pack(*(none if v is None else (v.field(i).to_numpy() for i in range(2))), size), *(t.field(i).to_numpy().tobytes() for i in range(3))])
+            kept = ["part", "_at", "_id"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *(pa.array([r[i] for r in out], pa.binary()) for i in range(len(_BYTES)))], [*kept, *_BYTES])
+
+    return run
 
 
 def _pass(shared, alpha: float, rate: float, live: list[int]):
@@ -135,17 +157,17 @@ def _pass(shared, alpha: float, rate: float, live: list[int]):
                     )
 
         for b in batches:
-            for p, *row in zip(b.column(0).to_pylist(), *(b.column(i) for i in range(1, 6)), strict=True):
+            for p, *row in zip(b.column(0).to_pylist(), *(b.column(i) for i in range(1, 1 + len(_BYTES))), strict=True):
                 if p != part:
                     yield from out()
                     weights, steps = shared.value
-                    part, now = p, _Run(weights[live].T, alpha, rate, steps[p, live])
-                at, x, m, label, weight = (np.frombuffer(c.as_buffer(), kind) for c, kind in zip(row, (np.int32, np.float64, np.int32, np.float64, np.float64), strict=True))
+                    part, now = p, _Run(weights[live], alpha, rate, steps[p, live])
+                m, label, weight = (np.frombuffer(c.as_buffer(), kind) for c, kind in zip(row[3:], (np.int32, np.float64, np.float64), strict=True))
                 m = np.where(m < len(place), place[np.minimum(m, len(place) - 1)], -1)
                 if (m < 0).any():
                     m, label, weight = m[m >= 0], label[m >= 0], weight[m >= 0]
                 if len(m):
-                    now.step(at, x, m, label, weight)
+                    now.step(*_unpack(*(c.as_buffer() for c in row[:3]), weights.shape[1] - 1), m, label, weight)
         yield from out()
 
     return run
@@ -185,7 +207,7 @@ def fit_sgd(rows: DataFrame, models: int, size: int, id_col: str = "id", alpha:
     part = F.pmod(F.conv(F.substring(digest, 9, 7), 16, 10).cast("long"), F.lit(parts)).cast("int")
     given = F.filter("tasks", lambda t: t["model"].isin(live))
     dealt = rows.select(part.alias("part"), "vector", given.alias("tasks"), digest.alias("_at"), F.col(id_col).alias("_id")).where(F.size("tasks") > 0)
-    packed = dealt.mapInArrow(_packed, f"part int, _at string, _id {rows.schema[id_col].dataType.simpleString()}, {', '.join(f'{c} binary' for c in _BYTES)}")
+    packed = dealt.mapInArrow(_packed(size), f"part int, _at string, _id {rows.schema[id_col].dataType.simpleString()}, {', '.join(f'{c} binary' for c in _BYTES)}")
     # one part a task, whatever its number hashes to; kept as rows, as a cached plan isn't found again below a union
     dealt = packed.repartitionById(parts, "part").sortWithinPartitions("part", "_at", "_id").select("part", *_BYTES).localCheckpoint()
 

@@ -1,9 +1,11 @@
 """Features of whole texts in batches, models of a part side by side, and joins by a small vocabulary."""
 
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from framelens.learning import features, linear
+from framelens.learning import calibration, features, linear
 from tests.test_learning import SCHEMA, data
 
 
@@ -35,3 +37,34 @@ def test_tfidf_broadcasts_the_vocabulary(spark):
     plan = features.tfidf(df, "id", features.char_windows(F.col("name")), 1, 10)._jdf.queryExecution().sparkPlan().toString()
     join = next(x for x in plan.splitlines() if "BroadcastHashJoin [term" in x)
     assert "BuildRight" in join and "Inner" in join
+
+
+def test_packed_vectors():
+    """What each task of a pass reads: a third of index and value for the vectors of texts, and the same numbers back."""
+    rng = np.random.default_rng(1)
+    at = np.sort(rng.choice(1 << 16, 3000, replace=False)).astype(np.int32)
+    for x in ((1 + np.log(rng.integers(1, 9, 3000))) / 41, rng.random(3000), np.zeros(0), rng.random(70_000)):
+        own = at if len(x) == 3000 else np.arange(len(x), dtype=np.int32)
+        for size in (1 << 17,) if len(x) > 3000 else (1 << 16, 1 << 17):
+            kept = linear._pack(own, x, size)
+            back = linear._unpack(*kept, size)
+            assert (back[0] == own).all() and (back[1] == x).all()
+    kept = linear._pack(at, (1 + np.log(rng.integers(1, 9, 3000))) / 41, 1 << 16)
+    assert sum(map(len, kept)) < (at.nbytes + 8 * len(at)) / 2.9
+
+
+def test_sigmoid_fit_reads_once_a_step(spark):
+    """Three jobs a step: two small tables and one pass."""
+    df = spark.createDataFrame([(i % 2, math.sin(i), int(math.sin(i) + 0.8 * math.cos(7 * i) > 0)) for i in range(400)], "g int, score double, label int").coalesce(1)
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("fit"))
+    spark.sparkContext.setJobGroup("fit", "fit")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        calibration.fit_sigmoid(df, "g", rounds=1)
+        one = jobs()
+        calibration.fit_sigmoid(df, "g", rounds=3)
+        three = jobs() - one
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert three - one == 2 * 3
