@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelens.llm import bpe, line_dedup, mixing, ngram_join, toxicity
-from framelens.llm.common import join_small, keyed, paths, remove, written
+from framelens.llm.common import join_small, keyed, paths, remove, small_batches, written
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
@@ -28,6 +28,7 @@ def _kept_aside(docs: DataFrame, *more, leave: tuple[str, ...] = ()) -> DataFram
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the fitted model calls toxic go."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.fit(docs.select("doc_id", "text"), labels)
     return toxicity.score(_kept_aside(docs, "text"), model).where("predicted = 0").select("_row.*")

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelens.llm.common import bound, keyed, unkeyed
+from framelens.llm.common import bound, keyed, small_batches, unkeyed
 
 MEMORY_WORDS = 1_000_000
 LONG_WORD = 512
@@ -304,6 +304,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     """id, n_tokens, ids (array<int>) and decoded (binary) for each row; digests_only: their digests instead of both.
     path: a rank file that the driver can read."""
     spark = docs.sparkSession
+    small_batches(spark)
     ranks = load_ranks(path)
     # a rank file need not have all bytes or nothing but pieces of bytes; every single byte must have a rank
     if missing := [i for i in range(256) if bytes([i]) not in ranks]:

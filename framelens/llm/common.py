@@ -63,6 +63,18 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None, cod
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes after which Spark hands a batch of rows to Python. Spark's own 64 MB are held by the JVM outside its heap and again by the Python worker, for
+#: each Python step of each task that runs.
+ARROW_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of ARROW_BATCH for this session, unless it has a setting of its own. It holds on, as Spark reads it when a query runs."""
+    key, size = ARROW_BATCH
+    if spark.conf.get(key, "1b") == "1b":
+        spark.conf.set(key, size)
+
+
 def keyed(col: str = "doc_id") -> Column:
     return F.coalesce(F.col(col).cast("long"), F.lit(NULL_ID))
 

@@ -84,3 +84,30 @@ def test_nothing_is_left_in_the_shared_folder(spark):
     left = [p for p in paths() if p not in before]
     assert len(left) == 1 and "stage-byte_bpe" in left[0]
     assert out.count() > 0 and out.where("n_tokens IS NULL").count() == 0
+
+
+def test_small_batches(spark):
+    """The byte-pair step brings down what Spark gathers for Python at once; a session's own setting stays."""
+    import public_tokenizers
+    import pyarrow as pa
+    from framelens.llm import bpe, common
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    key = common.ARROW_BATCH[0]
+    before = spark.conf.get(key, "1b")
+    try:
+        spark.conf.unset(key)
+        docs = spark.range(0, 24, 1, 1).selectExpr("id as doc_id", "repeat('x', 1 << 20) as text")
+        bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+        got = [r["n"] for r in docs.mapInArrow(sizes, "n long").collect()]
+        assert len(got) > 2 and max(got) <= 10 << 20
+        spark.conf.set(key, "1m")
+        common.small_batches(spark)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key)
+        if before != "1b":
+            spark.conf.set(key, before)
