@@ -70,7 +70,8 @@ def bound(value: Column, body) -> Column:
 def inverted(df: DataFrame, id_col: str, text: Column) -> DataFrame:
     """(id, index): JSON inverted index {token: [positions]} of the text split at white space. Each row by itself, without a
     shuffle: the words are sorted with their positions, and each run of a word is one entry."""
-    z = F.array_sort(F.transform(F.split(squeeze(text), " "), lambda w, p: F.struct(w.alias("w"), p.alias("p"))))
+    # sort_array compares structs by itself; array_sort evaluates an expression for every comparison. No element is null
+    z = F.sort_array(F.transform(F.split(squeeze(text), " "), lambda w, p: F.struct(w.alias("w"), p.alias("p"))))
 
     def entries(z: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.size(z) - 1), lambda k: (k == 0) | (F.get(z, k - 1)["w"] != z[k]["w"]))
@@ -89,7 +90,7 @@ def deinvert(index: Column) -> Column:
         last = F.filter(ordered, lambda x, i: F.coalesce(F.get(ordered, i + 1)["p"] != x["p"], F.lit(True)))
         return F.array_join(F.transform(last, lambda x: x["w"]), " ")
 
-    return F.nullif(bound(F.array_sort(F.filter(flat, lambda x: x["p"] >= 0)), text), F.lit(""))
+    return F.nullif(bound(F.sort_array(F.filter(flat, lambda x: x["p"] >= 0)), text), F.lit(""))
 
 
 def tokens(text: Column) -> Column:
