@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from framelens.functions import text as T
 from framelens.operators import contracts as C
 from framelens.session import table
+from framelens.sources.workspace import scratch, written
 
 
 def quantize_pack(spark, d):
@@ -109,6 +110,13 @@ def tfidf_logreg(spark, d):
 
     data = table(spark, d, "documents").select("doc_id", "text", "source").join(table(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
     data = data.withColumn("fold", F.pmod(F.conv(F.substring(F.md5("source"), 1, 4), 16, 10).cast("int"), F.lit(FOLDS)))
+    # counts don't depend on the fold: texts are split and hashed once, and every pass of every fold reads the counts
+    steps = [RegexTokenizer(inputCol="text", outputCol="w1", pattern=r"\W+"), NGram(n=2, inputCol="w1", outputCol="w2")]
+    steps += [HashingTF(inputCol=w, outputCol=f"{w}_tf", numFeatures=1 << 15) for w in ("w1", "w2")]
+    steps += [VectorAssembler(inputCols=["w1_tf", "w2_tf"], outputCol="tf")]
+    for step in steps:
+        data = step.transform(data)
+    data = written(data.select("doc_id", "fold", "label", "tf"), scratch(spark, "tf"))
     counts = {(r["fold"], r["label"]): r["count"] for r in data.groupBy("fold", "label").count().collect()}
     out = None
     for k in sorted({f for f, _ in counts}):  # the vocabulary weights are fitted without the fold they score
@@ -117,12 +125,9 @@ def tfidf_logreg(spark, d):
         if not all(n.values()):
             got = test.select("doc_id", "fold", F.lit(float(n[1.0] > 0)).alias("score"))
         else:
-            steps = [RegexTokenizer(inputCol="text", outputCol="w1", pattern=r"\W+"), NGram(n=2, inputCol="w1", outputCol="w2")]
-            for w in ("w1", "w2"):
-                steps += [HashingTF(inputCol=w, outputCol=f"{w}_tf", numFeatures=1 << 15), IDF(inputCol=f"{w}_tf", outputCol=f"{w}_idf", minDocFreq=2)]
-            steps += [VectorAssembler(inputCols=["w1_idf", "w2_idf"], outputCol="both"), Normalizer(inputCol="both", outputCol="features"), LogisticRegression(maxIter=10, regParam=0.01, weightCol="balance")]
+            fold = [IDF(inputCol="tf", outputCol="both", minDocFreq=2), Normalizer(inputCol="both", outputCol="features"), LogisticRegression(maxIter=10, regParam=0.01, weightCol="balance")]
             balance = F.when(F.col("label") == 1, sum(n.values()) / (2 * n[1.0])).otherwise(sum(n.values()) / (2 * n[0.0]))
-            got = Pipeline(stages=steps).fit(train.withColumn("balance", balance)).transform(test).select("doc_id", "fold", vector_to_array("probability")[1].alias("score"))
+            got = Pipeline(stages=fold).fit(train.withColumn("balance", balance)).transform(test).select("doc_id", "fold", vector_to_array("probability")[1].alias("score"))
         out = got if out is None else out.unionByName(got)
     return out
 
