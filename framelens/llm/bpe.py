@@ -4,14 +4,15 @@ A text is split by the public pattern in the JVM, each match is a word. In one n
 shuffle, three steps follow each other on every partition:
 
 1. an Arrow function replaces the words by numbers and hands on each distinct word of the task once: its
-   bytes as a string of the code points 0 to 255, and as numbers of neighbouring bytes;
-2. a fold over each distinct word's byte array does the ranked merges: of all neighbours the pair of lowest
-   rank, leftmost first, joins, until no pair has a rank. Ranks come from literal maps: one by the number of
-   a pair of bytes, one, an array of buckets by hash, by piece, so that a look-up costs the same at any
-   vocabulary size. The state of a fold is one array: for each part the rank of its pair with the next part,
-   times 2^32, plus where the part begins, so that the smallest element is the next merge. The ids are
-   decoded again through a literal list of pieces, by concatenation;
-3. an Arrow function puts the ids and the decoded pieces of each document together.
+   bytes as a string of the code points 0 to 255, and as the parts that the fold begins with, one a byte;
+2. a fold over each distinct word's parts does the ranked merges: of all neighbours the pair of lowest
+   rank, leftmost first, joins, until no pair has a rank. Ranks come from an array of maps from pieces, in
+   buckets by hash, so that a look-up costs the same at any vocabulary size; it is the only row of a broadcast
+   table, as a literal would stand in every text of the plan that the driver keeps and in every task. The state
+   of a fold is one array: for each part the rank of its pair with the next part, where it begins and its own
+   id, in the bits of a number, so that the smallest element is the next merge and the last state has the ids;
+3. an Arrow function takes the pieces of the ids, so that they are decoded again, and puts the ids and the pieces of
+   each document together.
 
 The word memory of a task is emptied beyond MEMORY_WORDS. The fold is quadratic in a word's length, so
 words over LONG_WORD bytes (long runs of one kind of character) are merged in step 3 with a heap instead.
@@ -35,6 +36,7 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,8 +47,12 @@ MEMORY_WORDS = 1_000_000
 LONG_WORD = 512
 #: Most words of a block, the unit in which documents go through the steps; a longer text is a block by itself.
 BLOCK_WORDS = 500_000
-BUCKETS = 1 << 15
-NONE = 2**31 - 1
+BUCKETS = 1 << 17
+#: Bits of an id or rank, and of a place in a word of at most MOST_FOLDED bytes: both ids and the place fit in a long.
+ID_BITS, PLACE_BITS = 26, 10
+MOST_FOLDED = (1 << PLACE_BITS) - 2
+#: Rank of no pair.
+NONE = 1 << ID_BITS
 
 
 def _every() -> str:
@@ -90,15 +96,28 @@ def _member(name: str, more: set[int], less: set[int]) -> tuple[str, str]:
     return inside, outside
 
 
+#: The JVM's form of a pattern, by application: it takes Spark jobs over every code point.
+_PATTERNS: dict[tuple[str, str], str] = {}
+
+
 def java_pattern(spark: SparkSession, pattern: str) -> str:
-    """The pattern for the JVM, with the library's classes. Words of letters or digits are tried first, and without
+    """The pattern for the JVM, with the library's classes, worked out once an application."""
+    key = (spark.sparkContext.applicationId, pattern)
+    if key not in _PATTERNS:
+        _PATTERNS[key] = _java_pattern(spark, pattern)
+    return _PATTERNS[key]
+
+
+def _java_pattern(spark: SparkSession, pattern: str) -> str:
+    """Words of letters or digits are tried first, and without
     backtracking: no other alternative begins as they do, so the matches stay the same."""
     words = (r" ?\p{L}+", r" ?\p{N}+")
     if all(f"|{w}|" in pattern for w in words):
         for w in words:
             pattern = pattern.replace(f"|{w}|", "|")
         pattern = "|".join([w.replace("?", "?+").replace("}+", "}++") for w in words] + [pattern])
-    letter, digit = (_member(c, library_class(c) - java_class(spark, c), java_class(spark, c) - library_class(c)) for c in (r"\p{L}", r"\p{N}"))
+    classes = ((c, library_class(c), java_class(spark, c)) for c in (r"\p{L}", r"\p{N}"))
+    letter, digit = (_member(c, there - here, here - there) for c, there, here in classes)
     space = _ranges(library_class(r"\s"))
     put = [(r"[^\s\p{L}\p{N}]", f"[[^{space}]&&{letter[1]}&&{digit[1]}]"), (r"\p{L}", letter[0]), (r"\p{N}", digit[0]), (r"\S", f"[^{space}]"), (r"\s", f"[{space}]")]
     for i, (old, _) in enumerate(put):  # by marks first, as what is put in holds such names itself
@@ -113,25 +132,15 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def _literal(text: str, kind: str) -> Column:
-    return F.from_json(F.lit(text), F.lit(kind))
-
-
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """Literal array of BUCKETS maps from a piece to its rank; a piece stands in the bucket of its hash."""
-    table: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+def rank_table(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
+    """One row, _ranks: an array of BUCKETS maps from a piece to its rank; a piece stands in the bucket of its hash. Empty
+    buckets are null, so that most look-ups of what is no piece end there."""
+    table: list[dict[str, int] | None] = [None] * BUCKETS
     for piece, rank in ranks.items():
         s = piece.decode("latin-1")
-        table[xxhash.xxh64_intdigest(s.encode(), seed=42) % BUCKETS][s] = rank
-    return _literal(json.dumps(table), "array<map<string,int>>")
-
-
-def piece_list(ranks: dict[bytes, int]) -> Column:
-    """Literal array of the binary pieces by id."""
-    out = [""] * (max(ranks.values(), default=-1) + 1)
-    for piece, rank in ranks.items():
-        out[rank] = base64.b64encode(piece).decode()
-    return _literal(json.dumps(out), "array<binary>")
+        k = xxhash.xxh64_intdigest(s.encode(), seed=42) % BUCKETS
+        table[k] = (table[k] or {}) | {s: rank}
+    return spark.createDataFrame([(json.dumps(table),)], "_json string").select(F.from_json("_json", "array<map<string,int>>").alias("_ranks"))
 
 
 def _rank(x: str) -> str:
@@ -139,35 +148,33 @@ def _rank(x: str) -> str:
     return f"coalesce(try_element_at(m[cast(xxhash64({x}) & {BUCKETS - 1} as int)], {x}), {NONE})"
 
 
-_AT = 1 << 32
+def _let(var: str, value: str, body: str) -> str:
+    """SQL text that evaluates `value` once and `body` with it as `var`."""
+    return f"transform(array_repeat({value}, 1), {var} -> {body})[0]"
 
 
-def _let(var: str, value: str, body: str, kind: str) -> str:
-    """SQL text that evaluates `value` once and `body`, which is of the type `kind`, with it as `var`."""
-    return f"aggregate(array({value}), cast(null as {kind}), (z_, {var}) -> {body})"
+# An element of the state: the rank of its pair, the place where its part begins, from 1, and the part's id.
+_PLACE, _PAIR = ID_BITS, ID_BITS + PLACE_BITS
+_ID_MASK, _PLACE_MASK = (1 << _PLACE) - 1, ((1 << PLACE_BITS) - 1) << _PLACE
 
 
 def _begin(x: str) -> str:
-    return f"({x} & {_AT - 1}L)"
+    return f"cast(shiftright({x} & {_PLACE_MASK}L, {_PLACE}) as int)"
 
 
 def _joined(x: str, after: str) -> str:
     """Rank of the word's bytes from where x begins to where `after` does; of none, where there is no such element."""
-    return _let("v", f"substring(w, cast({_begin(x)} as int), cast({_begin(after)} - {_begin(x)} as int))", _rank("v"), "int")
+    return _rank(f"substring(w, {_begin(x)}, {_begin(after)} - {_begin(x)})")
 
 
 # s: an element for each part, and one where the word ends. k: the place of the smallest, from 1, so s[k] is the part that
-# joins it and goes, and only the elements from h on, the part before it, to k change. x: each element, i: its place from 0.
-_STATE = "array<bigint>"
-_MERGE = f"array_remove(transform(s, (x, i) -> if(i > k or i < h, x, if(i = k, -1L, {_joined('x', 'get(s, i + 3)')} * {_AT}L + {_begin('x')}))), -1L)"
-_STEP = _let("k", "cast(array_position(s, array_min(s)) as int)", f"if(s[k - 1] >= {NONE * _AT}L, s, {_let('h', 'k - 2', _MERGE, _STATE)})", _STATE)
-_FOLD = f"""
-if({_rank("w")} <> {NONE}, array({_rank("w")}), aggregate(
-  sequence(1, length(w) - 1),
-  transform(pairs[n], (x, i) -> t[x] * {_AT}L + i + 1),
-  (s, _) -> {_STEP},
-  s -> transform(slice(s, 1, size(s) - 1), (x, i) -> {_joined("x", "s[i + 1]")})))
-"""
+# joins it and goes. Only that and the one before the smallest change besides; a joined part's id is the rank that its pair had.
+# x: each element, i: its place from 0.
+_CHANGED = f"{_joined('x', 'get(s, i + 3)')} * {1 << _PAIR}L + if(i < k - 1, x & {_PLACE_MASK | _ID_MASK}L, (x & {_PLACE_MASK}L) + shiftright(x, {_PAIR}))"
+_MERGE = f"array_remove(transform(s, (x, i) -> if(i > k or i < k - 2, x, if(i = k, -1L, {_CHANGED}))), -1L)"
+_STEP = _let("k", "cast(array_position(s, array_min(s)) as int)", f"if(s[k - 1] >= {NONE << _PAIR}L, s, {_MERGE})")
+#: The last state of a word, of whose elements but the last the low bits are the ids. A word that is a piece itself is one part.
+_FOLD = _let("r", _rank("w"), f"if(r <> {NONE}, array(cast(r as bigint), 0L), aggregate(sequence(1, length(w) - 1), parts[n], (s, _) -> {_STEP}))")
 
 
 def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -194,30 +201,27 @@ def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i:e]] for i, e in enumerate(end) if e]
 
 
-#: Stands for "no pair" in the place of the number of a pair of bytes.
-LAST = 65536
-
-
-def pair_map(ranks: dict[bytes, int]) -> Column:
-    """Literal array of the ranks of the pairs of bytes, by first byte times 256 plus second."""
-    out = [NONE] * (LAST + 1)
+def first_parts(ranks: dict[bytes, int]):
+    """A function from words to the states that their folds begin with."""
+    single = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+    pair = np.full(1 << 16, NONE, np.int64)
     for piece, rank in ranks.items():
         if len(piece) == 2:
-            out[piece[0] * 256 + piece[1]] = rank
-    return _literal(json.dumps(out), "array<int>")
+            pair[piece[0] * 256 + piece[1]] = rank
 
+    def of(words: list[bytes]) -> pa.Array:
+        flat = np.frombuffer(b"\0".join(words) + b"\0", np.uint8).astype(np.int32)
+        sizes = np.array([len(w) + 1 for w in words])
+        ends = np.cumsum(sizes)
+        rank = pair[flat * 256 + np.append(flat[1:], 0)]
+        rank[ends - 1] = rank[ends - 2] = NONE
+        place = np.arange(1, len(flat) + 1) - np.repeat(ends - sizes, sizes)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array((rank << _PAIR) | (place << _PLACE) | single[flat]))
 
-def _neighbours(words: list[bytes]) -> pa.Array:
-    """For each word the numbers of its pairs of bytes, then LAST for its last byte and LAST for its end."""
-    flat = np.frombuffer(b"\0".join(words) + b"\0", np.uint8).astype(np.int32)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    pairs = flat * 256
-    pairs[:-1] += flat[1:]
-    pairs[ends - 1] = pairs[ends - 2] = LAST
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(pairs))
+    return of
 
 
-def _number(long_word: int):
+def _number(long_word: int, parts_of):
     """Step 1: (id, words) to one row a block: the words new to the task, and the documents as word numbers."""
 
     def blocks(offsets):
@@ -245,11 +249,11 @@ def _number(long_word: int):
                     codes[i] = c
                 flat = codes[words.indices.to_numpy()] if len(words) else np.array([], np.int32)
                 text = [w.decode("latin-1") if len(w) <= long_word else None for w in new]
-                pairs = _neighbours([w if len(w) <= long_word else b"?" for w in new]) if new else pa.array([], pa.list_(pa.int32()))
+                parts = parts_of([w if len(w) <= long_word else b"?" for w in new]) if new else pa.array([], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([turn], pa.int32()), pa.array([text], pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array([0, len(new)], pa.int32()), pairs), pa.array([[w for w in new if len(w) > long_word]], pa.list_(pa.binary())),
+                    [pa.array([turn], pa.int32()), pa.array([text], pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array([0, len(new)], pa.int32()), parts), pa.array([[w for w in new if len(w) > long_word]], pa.list_(pa.binary())),
                      pa.array([b.column(0).to_pylist()[at:end]], pa.list_(pa.int64())), pa.array([np.diff(offsets[at : end + 1]).astype(np.int32)], pa.list_(pa.int32())), pa.array([flat], pa.list_(pa.int32()))],
-                    ["turn", "words", "pairs", "long", "ids", "sizes", "flat"],
+                    ["turn", "words", "parts", "long", "ids", "sizes", "flat"],
                 )
 
     return run
@@ -263,29 +267,37 @@ def _assemble(ranks, digests_only):
 
         ids_of: list[bytes] = []
         bytes_of: list[bytes] = []
-        turn, table, pieces = -1, None, None
+        turn, table = -1, ranks.value
+        by_id = [b""] * (max(table.values()) + 1)
+        for piece, i in table.items():
+            by_id[i] = piece
+        pieces = pa.array(by_id, pa.binary())
         for b in batches:
             for row in range(len(b)):
                 if b.column(0)[row].as_py() != turn:
                     turn = b.column(0)[row].as_py()
                     ids_of.clear()
                     bytes_of.clear()
-                got = b.column(1)[row].values
-                lists = got.field("ids")
-                offsets = lists.offsets.to_numpy()
-                raw = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+                lists = b.column(1)[row].values
+                # an element more than ids in each list, at its end; null for long words
+                ends, folded = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.is_valid().to_numpy(zero_copy_only=False)
+                last = np.zeros(ends[-1], bool)
+                last[ends[1:][folded] - 1] = True
+                own = (lists.flatten().to_numpy()[~last] & _ID_MASK).astype("<u4")
+                ends = (ends - np.concatenate([[0], np.cumsum(folded)])).tolist()
+                raw = own.tobytes()
+                taken = pieces.take(pa.array(own))
+                at = np.concatenate([[0], np.cumsum(pc.binary_length(taken).to_numpy(zero_copy_only=False))]).tolist()
+                decoded = taken.buffers()[2].to_pybytes() if len(own) else b""
                 long = iter(b.column(2)[row].as_py())
-                for i, (is_set, piece) in enumerate(zip(got.field("ids").is_valid().to_pylist(), got.field("bytes").to_pylist(), strict=True)):
+                for i, is_set in enumerate(folded.tolist()):
                     if is_set:
-                        ids_of.append(raw[4 * (offsets[i] - offsets[0]) : 4 * (offsets[i + 1] - offsets[0])])
-                        bytes_of.append(piece)
+                        ids_of.append(raw[4 * ends[i] : 4 * ends[i + 1]])
+                        bytes_of.append(decoded[at[ends[i]] : at[ends[i + 1]]])
                     else:
-                        if table is None:
-                            table = ranks.value
-                            pieces = {v: k for k, v in table.items()}
-                        own = heap_merge(next(long), table)
-                        ids_of.append(np.array(own, "<u4").tobytes())
-                        bytes_of.append(b"".join(pieces[i] for i in own))
+                        merged = heap_merge(next(long), table)
+                        ids_of.append(np.array(merged, "<u4").tobytes())
+                        bytes_of.append(b"".join(map(by_id.__getitem__, merged)))
                 flat, at, out = b.column(5)[row].values.to_numpy(), 0, []
                 for n in b.column(4)[row].values.to_numpy():
                     codes = flat[at : at + n].tolist()
@@ -309,12 +321,15 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     # a rank file need not have all bytes or nothing but pieces of bytes; every single byte must have a rank
     if missing := [i for i in range(256) if bytes([i]) not in ranks]:
         raise ValueError(f"{path} has no rank for bytes {missing[:5]}")
+    if max(ranks.values()) >= NONE:
+        raise ValueError(f"{path} has ranks of {NONE} and more")
     base = docs.select(keyed(id_col).alias("_id"), F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(java_pattern(spark, pattern)), F.lit(0)).alias("_words"))
-    numbered = base.mapInArrow(_number(long_word), "turn int, words array<string>, pairs array<array<int>>, long array<binary>, ids array<long>, sizes array<int>, flat array<int>")
-    decoded = "named_struct('ids', i, 'bytes', aggregate(i, x'', (a, x) -> a || l[x]))"
-    # bound once each: a literal is copied to every place that names its column, and again for every task
-    got = bound("_ranks", bound("_pairs", bound("_pieces", f"transform(words, (w, n) -> if(w is null, null, {_let('i', _FOLD, decoded, 'struct<ids: array<int>, bytes: binary>')}))", "l"), "t"), "m")
-    both = numbered.withColumns({"_ranks": rank_map(ranks), "_pairs": pair_map(ranks), "_pieces": piece_list(ranks)}).select("turn", F.expr(got).alias("got"), "long", "ids", "sizes", "flat")
+    numbered = base.mapInArrow(_number(min(long_word, MOST_FOLDED), first_parts(ranks)), "turn int, words array<string>, parts array<array<bigint>>, long array<binary>, ids array<long>, sizes array<int>, flat array<int>")
+    # a row, which goes with every block of words
+    both = numbered.crossJoin(F.broadcast(rank_table(spark, ranks)))
+    # bound, as the name of a column inside a fold would be copied from the row at every look-up
+    got = bound("_ranks", f"transform(words, (w, n) -> if(w is null, null, {_FOLD}))", "m")
+    both = both.select("turn", F.expr(got).alias("got"), "long", "ids", "sizes", "flat")
     kept = "n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests_only else "ids array<int>, decoded binary")
     out = both.mapInArrow(_assemble(spark.sparkContext.broadcast(ranks), digests_only), "_id long, " + kept)
     return out.select(unkeyed("_id").alias(id_col), *out.columns[1:])

@@ -111,3 +111,12 @@ def test_small_batches(spark):
         spark.conf.unset(key)
         if before != "1b":
             spark.conf.set(key, before)
+
+
+def test_ranks_are_not_in_the_plan(spark):
+    """The driver keeps the text of every plan that ran: no vocabulary may stand in it."""
+    from framelens.llm import bpe
+
+    docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
+    out = bpe.encode_decode(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, digests_only=True)
+    assert len(out._jdf.queryExecution().executedPlan().toString()) < 50_000
