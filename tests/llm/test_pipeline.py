@@ -120,3 +120,27 @@ def test_ranks_are_not_in_the_plan(spark):
     docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
     out = bpe.encode_decode(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, digests_only=True)
     assert len(out._jdf.queryExecution().executedPlan().toString()) < 50_000
+
+
+def test_classes_are_asked_once(spark, monkeypatch):
+    """The pattern's classes take jobs over every code point: once an application, not once a query."""
+    from framelens.llm import bpe
+
+    want = bpe.java_pattern(spark, P.PATTERN)
+    monkeypatch.setattr(bpe, "java_class", None)
+    assert bpe.java_pattern(spark, P.PATTERN) == want
+
+
+def test_ids_of_the_fold_have_room(spark, tmp_path):
+    """Ids share a long with ranks and places: a rank that has no room is refused."""
+    import base64
+
+    from framelens.llm import bpe
+
+    path = tmp_path / "ranks"
+    path.write_text("".join(f"{base64.b64encode(bytes([i])).decode()} {i + bpe.NONE - 255}\n" for i in range(256)))
+    docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="ranks"):
+        bpe.encode_decode(docs, str(path), P.PATTERN)
+    path.write_text("".join(f"{base64.b64encode(bytes([i])).decode()} {i + bpe.NONE - 256}\n" for i in range(256)))
+    assert bpe.encode_decode(docs.limit(0), str(path), P.PATTERN).schema.names == ["doc_id", "n_tokens", "ids", "decoded"]
