@@ -2,12 +2,12 @@
 
 A run is a table of (h, owner) in buckets by h, each sorted by h: h is the 128-bit hash of a line's key, owner
 the smallest doc_id that holds the line. Documents come in batches of ascending doc_id. Each batch's distinct
-keys are bucketed in the same way, merge-anti-join the runs bucket by bucket without a shuffle, and those that
+keys are bucketed in the same way and meet all runs by merge joins, bucket by bucket, without a shuffle; those that
 no run has are added as a run of their own at level 0. When a level has `fanout` runs they are merged, again
 bucket by bucket, into one sorted run of the next level. The runs stay under a path with a manifest, so a
 later job can reopen them and give them further batches; a line that a run has then stays with its owner.
 
-Owners come back to the lines by a join on h. A key of more than 1/HOT of a batch's lines is joined by a
+Owners come back to the lines of all batches by one join on batch and h. A key of more than 1/HOT of a batch's lines is joined by a
 broadcast, as there are fewer than HOT of these, so that no task gets all lines of a common key.
 
 A line's key is the line without `[\\x20\\x09-\\x0D]` at both ends, A-Z in lower case. Keys of 10 code
@@ -91,15 +91,17 @@ class LineRuns:
         rows = [F.struct(F.lit(self.version).cast("long").alias("version"), F.lit(k).alias("level"), F.lit(run).alias("run"), F.lit(self.buckets).alias("buckets")) for k, level in enumerate(self.levels) for run, _ in level]
         self.spark.range(0, 1, 1, 1).select(F.inline(F.array(*rows))).write.mode("append").json(f"{self.path}/manifest")
 
-    def bucketed(self, df: DataFrame, name: str) -> DataFrame:
-        """df (h, ...) written in the buckets of the runs, so that it meets them without a shuffle."""
-        return _bucketed(df, scratch(self.spark, name), self.buckets)
-
-    def add(self, firsts: DataFrame) -> None:
-        """firsts: (h, owner), one row a key, bucketed. Keys that a run has already are dropped by anti join."""
+    def meet(self, firsts: DataFrame) -> DataFrame:
+        """firsts (h, ...), one row a key, with `known`, the owner in the run that has the key, or null: written in the
+        buckets of the runs, so that it meets them without a shuffle. At most one run has a key."""
+        out = firsts.withColumn("known", F.lit(None).cast("long"))
         for run in self.runs():
-            firsts = firsts.join(run.select("h").hint("merge"), "h", "left_anti")
-        self._write(firsts, 0)
+            out = out.join(run.withColumnRenamed("owner", "_other").hint("merge"), "h", "left").withColumn("known", F.coalesce("known", "_other")).drop("_other")
+        return _bucketed(out, scratch(self.spark, "line-firsts"), self.buckets)
+
+    def add(self, met: DataFrame) -> None:
+        """met: what meet() has given for rows (h, owner, ...). Keys that no run has are a run of their own."""
+        self._write(met.where("known IS NULL").select("h", "owner"), 0)
         level = 0
         while len(self.levels[level]) >= self.fanout:
             merged = self.levels[level][0][1]
@@ -142,22 +144,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = keys.where(F.char_length("_key") >= MIN_KEY).select("_batch", "_id", "_tx", "_pos", F.unhex(F.md5("_key")).alias("h"))
     keys = written(keys, "line-keys", ["_batch"])
 
-    runs, drops = runs or LineRuns(spark, fanout), None
+    # runs of this call alone need not have the keys of the last batch
+    stay, runs, found = runs is not None, runs or LineRuns(spark, fanout), None
     for i in range(len(cuts) + 1):
-        own = keys.where(F.col("_batch") == i).drop("_batch")
-        seen = runs.bucketed(own.groupBy("h").agg(F.min("_id").alias("owner"), F.max("_id").alias("last"), F.count("*").alias("n")), "line-firsts")
-        runs.add(seen.select("h", "owner"))
-        found = None
-        for run in runs.runs():
-            one = seen.select("h", F.col("owner").alias("_first"), "last", "n").join(run.hint("merge"), "h")
-            one = one.where((F.col("_first") != F.col("owner")) | (F.col("last") != F.col("owner"))).select("h", "owner", "n")
-            found = one if found is None else found.union(one)
-        found = written(found, "line-owners")
+        own = keys.where(F.col("_batch") == i)
+        seen = runs.meet(own.groupBy("h").agg(F.min("_id").alias("owner"), F.max("_id").alias("last"), F.count("*").alias("n")))
+        if stay or i < len(cuts):
+            runs.add(seen)
         often = F.col("n") * HOT > (seen.agg(F.sum("n")).first()[0] or 0)
-        hot = F.broadcast(found.where(often).select("h", "owner"))
-        other = own.join(hot.select("h"), "h", "left_anti").join(found.where(~often).select("h", "owner"), "h")
-        lost = own.join(hot, "h").unionByName(other).where(F.col("_id") != F.col("owner")).select("_id", "_tx", "_pos")
-        drops = lost if drops is None else drops.union(lost)
+        owner = F.coalesce("known", "owner")
+        one = seen.where((F.col("owner") != owner) | (F.col("last") != owner)).select(F.lit(i).alias("_batch"), "h", owner.alias("owner"), often.alias("_often"))
+        found = one if found is None else found.union(one)
+    found = written(found, "line-owners")
+    hot = F.broadcast(found.where("_often").drop("_often"))
+    other = keys.join(hot.drop("owner"), ["_batch", "h"], "left_anti").join(found.where("NOT _often").drop("_often"), ["_batch", "h"])
+    lost = keys.join(hot, ["_batch", "h"]).unionByName(other)
+    drops = lost.where(F.col("_id") != F.col("owner")).select("_id", "_tx", "_pos")
     drops = drops.groupBy("_id", "_tx").agg(F.collect_set("_pos").alias("_drop"))
 
     out = base.withColumn("_tx", F.xxhash64(text)).join(drops, ["_id", "_tx"], "left")

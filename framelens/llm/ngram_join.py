@@ -292,11 +292,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(inside.unionByName(bridges), "ngram-candidates")
 
     # roots have no row of their own in `found`
-    members = found.select("id", F.col("root").alias("comp")).unionByName(found.select(F.col("root").alias("id"), F.col("root").alias("comp")).distinct())
-    sizes = members.groupBy("comp").agg(F.count("*").alias("n"))
+    sizes = found.groupBy(F.col("root").alias("comp")).agg((F.count("*") + 1).alias("n"))
+    members = found.select("id", F.col("root").alias("comp")).join(sizes, "comp").unionByName(sizes.select("comp", F.col("comp").alias("id"), "n"))
     root = F.element_at("roots", chosen[F.col("tree")] - least + 1)
     near = runs.groupBy("id").agg(F.min(root).alias("near"))
-    members = members.join(sizes, "comp").join(texts.select("id", "first", "copies", "_key"), "id").join(near, "id", "left")
+    members = members.join(texts.select("id", "first", "copies", "_key"), "id").join(near, "id", "left")
     members = members.repartitionByRange("comp", "near", "id").sortWithinPartitions("comp", "near", "id")
     # the place of a row over all partitions: a number of a partition is never that of another
     members = written(members.withColumn("own_block", F.when(F.col("n") > block, F.expr(f"monotonically_increasing_id() div {block}")).otherwise(0)), "ngram-members")
