@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from framelens.learning import packing
+
 
 def _let(value: Column, body) -> Column:
     """body of a value that is evaluated once."""
@@ -171,9 +173,15 @@ def _pairs_vector(tokens: list[str], size: int) -> tuple[np.ndarray, np.ndarray]
 _VECTOR = pa.struct([("index", pa.int32()), ("value", pa.float64())])
 
 
-def with_vectors(df: DataFrame, text_col: str, size: int, high: int = 5) -> DataFrame:
+def _listed(made: list[tuple[np.ndarray, np.ndarray]]) -> pa.ListArray:
+    flat = pa.StructArray.from_arrays([pa.array(np.concatenate([v[0] for v in made]).astype(np.int32)), pa.array(np.concatenate([v[1] for v in made]))], fields=list(_VECTOR))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(v[0]) for v in made]).astype(np.int32)), flat)
+
+
+def with_vectors(df: DataFrame, text_col: str, size: int, high: int = 5, packed: bool = False) -> DataFrame:
     """df with `vector` in place of the text: `size` buckets of words and their pairs, then `size` of the windows of 3 to high (at most 5) characters, as
-    beside(hashed(counted(word_windows)), hashed(counted(char_windows))) with sublinear counts has them. Spark splits the text."""
+    beside(hashed(counted(word_windows)), hashed(counted(char_windows))) with sublinear counts has them. Spark splits the text. packed: as bytes, for
+    models of 2 * size, not as an array."""
     if not 3 <= high <= 5:
         raise ValueError("high must lie between 3 and 5")
     text, rest = F.col(text_col), [c for c in df.columns if c != text_col]
@@ -187,13 +195,12 @@ def with_vectors(df: DataFrame, text_col: str, size: int, high: int = 5) -> Data
                 made.append((np.concatenate([a, c + size]), np.concatenate([x, y])))
                 n += len(made[-1][0])
                 if n >= HANDED or i + 1 == b.num_rows:
-                    flat = pa.StructArray.from_arrays([pa.array(np.concatenate([v[0] for v in made]).astype(np.int32)), pa.array(np.concatenate([v[1] for v in made]))], fields=list(_VECTOR))
-                    ends = np.cumsum([0] + [len(v[0]) for v in made]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([*kept.slice(first, len(made)).columns, pa.ListArray.from_arrays(pa.array(ends), flat)], [*rest, "vector"])
+                    vector = packing.column([packing.pack(*v, 2 * size) for v in made]) if packed else _listed(made)
+                    yield pa.RecordBatch.from_arrays([*kept.slice(first, len(made)).columns, vector], [*rest, "vector"])
                     made, n, first = [], 0, i + 1
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*rest).schema.fields)
-    return df.select(*rest, word_tokens(text), F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+")).mapInArrow(run, f"{schema}, vector array<struct<index:int,value:double>>")
+    return df.select(*rest, word_tokens(text), F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+")).mapInArrow(run, f"{schema}, vector {packing.SCHEMA if packed else 'array<struct<index:int,value:double>>'}")
 
 
 def tfidf(df: DataFrame, id_col: str, windows: Column, least: int = 1, most: int = 300_000) -> DataFrame:

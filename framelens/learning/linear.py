@@ -15,9 +15,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framelens.learning import packing
+
 ROWS_A_PART = 20_000
 TASKS = "array<struct<model:int,label:double,weight:double>>"
 
@@ -99,41 +102,18 @@ class _Run:
         return np.append(self.scale[i] * v, self.bias[i]), np.append(self.mass[i] * v - held, self.done[i] * self.bias[i] - self.bias_held[i])
 
 
-_BYTES = ["at", "codes", "values", "models", "labels", "weights"]
-_SHORT = 1 << 16
-
-
-def _places(size: int):
-    """The least type for an index below size."""
-    return np.uint16 if size <= _SHORT else np.int32
-
-
-def _pack(at: np.ndarray, x: np.ndarray, size: int) -> list[bytes]:
-    """A vector as indexes, codes and values. Most values of a text's vector are alike: each is kept once, and its number for every index. Where more
-    differ than a code can number, the values stand in order without codes."""
-    values, codes = np.unique(x, return_inverse=True)
-    if len(values) > _SHORT:
-        return [at.astype(_places(size)).tobytes(), b"", x.tobytes()]
-    return [at.astype(_places(size)).tobytes(), codes.astype(np.uint16).tobytes(), values.tobytes()]
-
-
-def _unpack(at, codes, values, size: int) -> tuple[np.ndarray, np.ndarray]:
-    at, codes, values = np.frombuffer(at, _places(size)), np.frombuffer(codes, np.uint16), np.frombuffer(values)
-    return at, values[codes] if len(codes) else values
+_BYTES = [*packing.FIELDS, "models", "labels", "weights"]
+_pack, _unpack = packing.pack, packing.unpack
 
 
 def _packed(size: int):
     """Rows with their vector and tasks as bytes: a fraction of the size, moved and kept as they are. Each task of a pass reads them."""
-    none = np.zeros(0, np.int32), np.zeros(0)
 
     def run(batches):
         for b in batches:
-            out = []
-            for vector, given in zip(b.column("vector"), b.column("tasks"), strict=True):
-                v, t = vector.values, given.values
-                out.append([*_pack(*(none if v is None else (v.field(i).to_numpy() for i in range(2))), size), *(t.field(i).to_numpy().tobytes() for i in range(3))])
+            given = [[t.values.field(i).to_numpy().tobytes() for i in range(3)] for t in b.column("tasks")]
             kept = ["part", "_at", "_id"]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *(pa.array([r[i] for r in out], pa.binary()) for i in range(len(_BYTES)))], [*kept, *_BYTES])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *packing.parts(b.column("vector"), size), *(pa.array([g[i] for g in given], pa.binary()) for i in range(3))], [*kept, *_BYTES])
 
     return run
 
@@ -188,7 +168,7 @@ def _summed(batches):
 
 
 def fit_sgd(rows: DataFrame, models: int, size: int, id_col: str = "id", alpha: float = 1e-5, rate: float = 0.5, passes: int = 20, tol: float = 1e-4, patience: int = 5, parts: int | None = None) -> Models:
-    """rows: id, vector (array of index and value) and tasks (see `tasks`; a row trains a model at most once). A model ends after `passes` or when its own loss hasn't improved by tol for
+    """rows: id, vector (array of index and value, or packed for `size`) and tasks (see `tasks`; a row trains a model at most once). A model ends after `passes` or when its own loss hasn't improved by tol for
     `patience` passes, so that no model depends on the rows of another. A model whose rows all have one label, or that has no rows, is constant: that label, or a half."""
     if not 0 < alpha * rate < 1:
         raise ValueError("alpha times rate must lie between 0 and 1")
@@ -208,8 +188,9 @@ def fit_sgd(rows: DataFrame, models: int, size: int, id_col: str = "id", alpha:
     given = F.filter("tasks", lambda t: t["model"].isin(live))
     dealt = rows.select(part.alias("part"), "vector", given.alias("tasks"), digest.alias("_at"), F.col(id_col).alias("_id")).where(F.size("tasks") > 0)
     packed = dealt.mapInArrow(_packed(size), f"part int, _at string, _id {rows.schema[id_col].dataType.simpleString()}, {', '.join(f'{c} binary' for c in _BYTES)}")
-    # one part a task, whatever its number hashes to; kept as rows, as a cached plan isn't found again below a union
-    dealt = packed.repartitionById(parts, "part").sortWithinPartitions("part", "_at", "_id").select("part", *_BYTES).localCheckpoint()
+    # one part a task, whatever its number hashes to; kept as rows, as a cached plan isn't found again below a union, and
+    # on disk, as a pass reads them once and in order, and the heap is for what reads and sorts vectors
+    dealt = packed.repartitionById(parts, "part").sortWithinPartitions("part", "_at", "_id").select("part", *_BYTES).localCheckpoint(storageLevel=StorageLevel.DISK_ONLY)
 
     weights, total, count = np.zeros((models, size + 1)), np.zeros((models, size + 1)), np.zeros(models)
     steps = np.zeros((parts, models), np.int64)
@@ -235,6 +216,7 @@ def fit_sgd(rows: DataFrame, models: int, size: int, id_col: str = "id", alpha:
         live = [m for m in live if stale[m] < patience]
         if not live:
             break
+    dealt._jdf.logicalPlan().rdd().unpersist(False)  # else it stays until the driver happens to collect its garbage
     out.weights = total / np.maximum(count, 1)[:, None]
     return out
 
@@ -249,9 +231,7 @@ def scored(rows: DataFrame, models: Models, id_col: str = "id", only: Column | N
         known = shared.value
         for b in batches:
             ids, ms, out = [], [], []
-            for i, vector, which in zip(b.column(0), b.column(1), b.column(2).to_pylist(), strict=True):
-                flat = vector.values
-                at, x = (flat.field(0).to_numpy(), flat.field(1).to_numpy()) if flat is not None else (np.zeros(0, np.int32), np.zeros(0))
+            for i, (at, x), which in zip(b.column(0), packing.each(b.column(1), known.size), b.column(2).to_pylist(), strict=True):
                 for m in which:
                     if m in known.constant:
                         c = known.constant[m]

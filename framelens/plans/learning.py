@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from framelens.learning import calibration, features, linear, loops
 from framelens.session import table
-from framelens.sources.workspace import scratch, written
+from framelens.sources.workspace import scratch, small_batches, written
 
 LOW, HIGH, LEAST, MOST, BUCKETS = 3, 5, 3, 5000, 1 << 18
 #: Buckets of words and of characters for the models.
 SIZE = 1 << 15
 FOLDS, INNER = 5, 3
+#: Bytes of a row group of vectors. Spark reads up to 4096 rows of a group at once, each column of them as one array of the heap.
+GROUP = 8 << 20
 
 
 def _names(spark, d):
@@ -37,8 +39,9 @@ def char_hashed(spark, d):
 
 
 def vectors(spark, d, name: str, only=None):
-    """id, lang, weight, fold (whole sources), part, quality, toxic (null without a label) and vector of every document, or of those for which `only`, a
-    condition on the labels, holds, as a written table."""
+    """id, lang, weight, fold (whole sources), part, quality, toxic (null without a label) and packed vector of every document, or of those for which
+    `only`, a condition on the labels, holds, as a written table."""
+    small_batches(spark)
     labels = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     docs = table(spark, d, "documents").join(labels, "doc_id", "left")
     docs = docs if only is None else docs.where(only)
@@ -49,7 +52,7 @@ def vectors(spark, d, name: str, only=None):
     )
     # the text costs more than its bytes tell: dealt over all cores, however few files it comes from
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    return written(features.with_vectors(rows.repartition(tasks), "text", SIZE, HIGH), scratch(spark, name))
+    return written(features.with_vectors(rows.repartition(tasks), "text", SIZE, HIGH, packed=True), scratch(spark, name), **{"parquet.block.size": GROUP})
 
 
 def sgd_scores(spark, d):

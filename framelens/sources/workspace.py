@@ -36,6 +36,14 @@ def removed(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
-    df.write.option("compression", "zstd").parquet(path)
+def small_batches(spark: SparkSession) -> None:
+    """Batches of 1 MB between Spark and Python for this session, unless it has a setting of its own. Spark's own 64 MB are held outside the heap of an
+    executor and again by its Python, for each Python step of each task that runs."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "1b") == "1b":  # unset
+        spark.conf.set(key, "1m")
+
+
+def written(df: DataFrame, path: str, **options) -> DataFrame:
+    df.write.options(**{"compression": "zstd"} | options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,9 +3,12 @@
 import math
 
 import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from framelens.learning import calibration, features, linear
+from framelens.learning import calibration, features, linear, packing
+from framelens.plans import learning
+from tests.conftest import SF
 from tests.test_learning import SCHEMA, data
 
 
@@ -68,3 +71,38 @@ def test_sigmoid_fit_reads_once_a_step(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert three - one == 2 * 3
+
+
+def test_packed_vectors_train_and_score_as_arrays(spark):
+    """Vectors as bytes have the numbers of the arrays, and so have the models and scores made of them; a null is an empty vector."""
+    texts = [None, "", "aa bb aa", "İstanbul ßtraße"] + [f"w{i % 7} w{i % 5} {'x' * (i % 9)} w{i}" for i in range(60)]
+    df = spark.createDataFrame([(i, t, i % 3 % 2) for i, t in enumerate(texts)], "id long, text string, y int").coalesce(2)
+    lists, packed = (features.with_vectors(df, "text", 512, packed=p).withColumn("vector", F.expr("if(id = 9, null, vector)")).cache() for p in (False, True))
+    back = {r["id"]: packing.unpack(*r["vector"], 1024) for r in packed.where("id <> 9").collect()}
+    for r in lists.where("id <> 9").collect():
+        assert [x["index"] for x in r["vector"]] == back[r["id"]][0].tolist() and [x["value"] for x in r["vector"]] == back[r["id"]][1].tolist()
+    made = []
+    for rows in (lists, packed):
+        ready, _ = linear.balanced(rows.select("id", "vector", linear.tasks((0, F.col("y"), 1.0), (1, 1 - F.col("y"), 1.0)).alias("tasks")))
+        models = linear.fit_sgd(ready, 2, 1024, passes=3, parts=2)
+        made.append((models.weights, sorted(map(tuple, linear.scored(rows, models).collect()))))
+    assert (made[0][0] == made[1][0]).all() and made[0][1] == made[1][1] and len(made[0][1]) == 2 * len(texts)
+
+
+def test_vectors_are_read_in_small_groups(spark, monkeypatch):
+    """Spark reads up to 4096 rows of a row group at once: none of them may be nested by element, and a group ends at its bytes (looked at from 100 rows on)."""
+    monkeypatch.setattr(learning, "GROUP", 1 << 18)
+    rows = learning.vectors(spark, SF.replace("sf0.001", "sf0.01"), "groups")
+    assert rows.count() == 1000 and rows.schema["vector"].dataType.simpleString() == packing.SCHEMA
+    groups = [[m.row_group(i).num_rows for i in range(m.num_row_groups)] for m in (pq.read_metadata(f.removeprefix("file://")) for f in rows.inputFiles())]
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "1m"
+    assert any(sum(g) > 100 for g in groups) and all(max(g) <= 100 for g in groups)
+
+
+def test_fit_keeps_nothing(spark):
+    """The rows of a fit are on disk while it runs and gone after it, so that rounds don't add up."""
+    kept = lambda: set(spark.sparkContext._jsc.getPersistentRDDs().keys())
+    df = spark.createDataFrame(data(60, 12, 3), SCHEMA).select("id", "vector", linear.tasks((0, F.col("y"), 1.0)).alias("tasks"))
+    before = kept()
+    linear.fit_sgd(df, 1, 12, passes=2)
+    assert kept() <= before
