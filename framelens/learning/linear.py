@@ -200,7 +200,8 @@ def fit_sgd(rows: DataFrame, models: int, size: int, id_col: str = "id", alpha:
         shared = spark.sparkContext.broadcast((weights, steps))
         # models don't meet within a pass: where there are fewer parts than cores, several tasks read a part, each for some models
         groups = min(len(live), -(-spark.sparkContext.defaultParallelism // parts))
-        taken = reduce(DataFrame.union, [dealt.mapInArrow(_pass(shared, alpha, rate, live[i::groups]), _OUT) for i in range(groups)]).persist()
+        # a megabyte for each part and model, as many as the rows make: on disk
+        taken = reduce(DataFrame.union, [dealt.mapInArrow(_pass(shared, alpha, rate, live[i::groups]), _OUT) for i in range(groups)]).persist(StorageLevel.DISK_ONLY)
         for r in taken.select("model", "part", "n").collect():
             steps[r["part"], r["model"]] += r["n"]
         for r in taken.repartitionById(len(live), F.array_position(F.array(*map(F.lit, live)), F.col("model")).cast("int") - 1).sortWithinPartitions("model", "part").mapInArrow(_summed, _OUT).collect():

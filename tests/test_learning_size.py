@@ -99,10 +99,12 @@ def test_vectors_are_read_in_small_groups(spark, monkeypatch):
     assert any(sum(g) > 100 for g in groups) and all(max(g) <= 100 for g in groups)
 
 
-def test_fit_keeps_nothing(spark):
-    """The rows of a fit are on disk while it runs and gone after it, so that rounds don't add up."""
-    kept = lambda: set(spark.sparkContext._jsc.getPersistentRDDs().keys())
+def test_fit_keeps_nothing_in_memory(spark, monkeypatch):
+    """The rows of a fit and what the parts of a pass return are on disk while it runs and gone after it, so that rounds don't add up."""
+    stored = lambda: {x.id(): (x.memSize(), x.diskSize()) for x in spark.sparkContext._jsc.sc().getRDDStorageInfo()}
     df = spark.createDataFrame(data(60, 12, 3), SCHEMA).select("id", "vector", linear.tasks((0, F.col("y"), 1.0)).alias("tasks"))
-    before = kept()
-    linear.fit_sgd(df, 1, 12, passes=2)
-    assert kept() <= before
+    before, seen, free = set(spark.sparkContext._jsc.getPersistentRDDs().keys()), [], type(df).unpersist
+    monkeypatch.setattr(type(df), "unpersist", lambda self, *a: (seen.append({i: x for i, x in stored().items() if i not in before}), free(self, *a))[1])
+    linear.fit_sgd(df, 1, 12, passes=2, parts=3)
+    assert [len(x) for x in seen] == [2, 2] and all(memory == 0 and disk > 0 for x in seen for memory, disk in x.values())
+    assert set(spark.sparkContext._jsc.getPersistentRDDs().keys()) <= before
